@@ -20,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import free_name
-
 #: Entries in each of the two generations of a worker's memo, for pieces and for pairs. Results don't depend on it.
 MEMO = 300_000
 #: Pieces handled at once, so that a very long text needs little memory besides itself.
@@ -167,7 +165,7 @@ def encode_bpe(df: DataFrame, key: str = "doc_id", text: str = "text", *, path:
     surrogates can't occur, as Spark's strings are UTF-8 (invalid bytes count as U+FFFD).
     `path` must name the rank file on every executor.
     """
-    k = free_name(df.select(F.lit(0).alias("n_tokens"), F.lit(0).alias("ids_sha256"), F.lit(0).alias("decoded_sha256"), F.lit(0).alias("ids")), key)
+    k = "key_"
     kept = df.select(F.col(key).alias(k), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t_"))
     kind = kept.schema[k].dataType.simpleString()
     schema = f"`{k}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
@@ -191,4 +189,4 @@ def encode_bpe(df: DataFrame, key: str = "doc_id", text: str = "text", *, path:
             yield pa.RecordBatch.from_arrays(out + [pa.array(cols[3], pa.binary())] * with_ids, [k, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     out = kept.mapInArrow(run, schema)
-    return out if k == key else out.withColumnRenamed(k, key)
+    return out.withColumnRenamed(k, key)

@@ -22,10 +22,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
-
-def free_name(df: DataFrame, wanted: str) -> str:
-    """`wanted`, with underscores added until no column of `df` has that name (in any case)."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import bpe
+from pagewright.llm import bpe, dedup, secrets
 from pagewright.llm.common import table
 
 QUERIES = {}
@@ -26,3 +26,55 @@ def rank_file() -> tuple[str, str]:
 def op3_byte_bpe(spark, sf_dir):
     path, pattern = rank_file()
     return bpe.encode_bpe(table(spark, sf_dir, "documents"), path=path, pattern=pattern)
+
+
+@query
+def op5_block_dedup(spark, sf_dir):
+    return dedup.dedup_exact(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op5_block_dedup"] = r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       first_value(doc_id) OVER w = doc_id AS kept, sha256(t) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY t ORDER BY points DESC, doc_id)
+"""
+
+
+@query
+def op6_entropy_secrets(spark, sf_dir):
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def _secret_oracle() -> str:
+    """Each kind with the pattern that takes the gap before a match along; entropy() over every window instead of carried counts."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    allow = " AND ".join(f"NOT regexp_full_match(m, {text(a)})" for a in secrets.ALLOW)
+    bar = "CASE " + " ".join(f"WHEN regexp_full_match(m, {text(p)}) THEN {b}" for p, b in secrets.CLASSES) + " END"
+    w = secrets.WINDOW
+    entropy = f"list_max(list_transform(range(1, length(m) - {w - 2}), lambda i: list_aggregate(string_split(substr(m, i, {w}), ''), 'entropy')))"
+    kinds = (
+        ("assign", secrets.ASSIGN, 3, f"length(v) >= {secrets.ASSIGN_LEAST}"),
+        ("access", secrets.ACCESS, 2, "true"),
+        ("hex", secrets.HEX, 2, "true"),
+        ("entropy", secrets.CANDIDATE, 2, f"regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND {allow} AND {entropy} >= {bar}"),
+    )
+    parts = []
+    for k, (kind, pattern, group, keep) in enumerate(kinds):
+        whole = text(f"(?s)(.*?)(?:({pattern})|\\z)")
+        parts.append(f"""
+SELECT doc_id, {k} AS k, '{kind}' AS kind, e - length(m) AS s, e FROM (
+  SELECT doc_id, m, v, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+    SELECT doc_id, unnest(regexp_extract_all(t, {whole}, 1)) AS g, unnest(regexp_extract_all(t, {whole}, 2)) AS m,
+           unnest(regexp_extract_all(t, {whole}, {group})) AS v, generate_subscripts(regexp_extract_all(t, {whole}, 1), 1) AS i
+    FROM d)) WHERE m <> '' AND {keep}""")
+    joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS ({' UNION ALL '.join(parts)}),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS a0, count(*) FILTER (k = 1) AS a1, count(*) FILTER (k = 2) AS a2,
+             {joined} FILTER (k < 3) AS base, {joined} AS every FROM a GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a0, 0) AS n_assign, coalesce(a1, 0) AS n_access, coalesce(a2, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+ORACLE_SQL["op6_entropy_secrets"] = _secret_oracle()
