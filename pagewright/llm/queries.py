@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, chat, dedup, secrets
+from pagewright.llm import bpe, chat, dedup, media, secrets
 from pagewright.llm.common import table
 
 QUERIES = {}
@@ -100,3 +100,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op2_media_columns(spark, sf_dir):
+    return media.media_features(media.store_texts(table(spark, sf_dir, "documents")))
