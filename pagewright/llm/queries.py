@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, chat, dedup, media, secrets
+from pagewright.llm import bpe, chat, dedup, media, secrets, warc
 from pagewright.llm.common import table
 
 QUERIES = {}
@@ -105,3 +105,17 @@ FROM e GROUP BY conv_id
 @query
 def op2_media_columns(spark, sf_dir):
     return media.media_features(media.store_texts(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_warc_round_trip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+
+
+ORACLE_SQL["op7_warc_round_trip"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM f
+"""
