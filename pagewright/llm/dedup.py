@@ -92,7 +92,8 @@ def dedup_exact(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     named = checkpointed(block_names(texts, "raw", [F.col(k), F.col("points"), F.sha2("raw", 256).alias("text_sha256")], size))
     # the least of (-points, key is null, key) is the row that stays; both sides are pre-aggregated before the shuffle
     first = F.min(F.struct((-F.col("points")).alias("p"), F.col(k).isNull().alias("null"), F.col(k).alias("k")))
-    groups = named.groupBy("level", "name").agg(first.alias("first"), F.count("*").alias("group_size"))
+    # (kept as a table of its own, the groups leave the join with a plain shuffle on either side, which Spark can split where one group is hot)
+    groups = checkpointed(named.groupBy("level", "name").agg(first.alias("first"), F.count("*").alias("group_size")))
     return named.join(groups, ["level", "name"]).select(
         F.col(k).alias(key), F.col("first.k").alias("keep_id"), "group_size", F.col(k).eqNullSafe(F.col("first.k")).alias("kept"), "text_sha256"
     )

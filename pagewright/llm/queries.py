@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, chat, dedup, media, secrets, warc
+from pagewright.llm import bpe, chat, dedup, media, neardup, secrets, warc
 from pagewright.llm.common import table
 
 QUERIES = {}
@@ -119,3 +119,8 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM f
 """
+
+
+@query
+def op10_setsketch_neardup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
