@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, chat, dedup, media, neardup, secrets, warc
+from pagewright.llm import bpe, chat, dedup, media, mixing, neardup, secrets, urls, warc
 from pagewright.llm.common import table
 
 QUERIES = {}
@@ -124,3 +124,58 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 @query
 def op10_setsketch_neardup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_pfair_mix(spark, sf_dir):
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "source", "block", "slot", "place", "release", "deadline")
+
+
+#: Lists of op8: the tables have no list of their own, so each second domain of a page gets dated entries by a hash of its name.
+LISTS = ("adult", "allow", "malware", "spam")
+
+
+def list_entries(pages):
+    """Entries (list, pattern, at, action): a domain is added, removed again, and perhaps added a second time; one host in four gets an entry of its own."""
+    host = urls.host_of(F.coalesce(F.col("url"), F.lit("")))
+    names = pages.select(host.alias("h")).filter("h <> ''").select(F.explode(F.array("h", F.regexp_extract("h", "[^.]+[.][^.]+$", 0))).alias("pattern")).filter("pattern <> ''").distinct()
+    number = lambda i: F.conv(F.substring(F.md5("pattern"), i, 4), 16, 10).cast("int")
+    day = lambda d: F.date_add(F.lit("2024-01-01").cast("date"), d)
+    first = number(5) % 200
+    steps = F.array(
+        F.struct(first.alias("d"), F.lit("add").alias("action")),
+        F.struct((first + 20 + number(9) % 60).alias("d"), F.lit("remove").alias("action")),
+        F.struct((first + 100 + number(13) % 60).alias("d"), F.when(number(13) % 2 == 0, "add").otherwise("remove").alias("action")),
+    )
+    lists = F.element_at(F.array(*map(F.lit, LISTS)), number(1) % len(LISTS) + 1)
+    return names.filter(number(1) % 8 < 4).select(lists.alias("list"), "pattern", F.explode(steps).alias("x")).select("list", "pattern", day(F.col("x.d")).alias("at"), "x.action")
+
+
+@query
+def op8_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("page_id") * 37) % 365).cast("int")).alias("fetched"))
+    return urls.filter_urls(pages, list_entries(pages))
+
+
+ORACLE_SQL["op8_url_filter"] = r"""
+WITH u AS (SELECT page_id, regexp_replace(regexp_replace(trim(coalesce(url, '')), '^[A-Za-z][A-Za-z0-9+.-]*:', ''), '^//', '') AS rest,
+                  DATE '2024-01-01' + ((page_id * 37) % 365)::INT AS at FROM pages),
+c AS (SELECT page_id, at, regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?#]*'), '^.*@', ''), ':[0-9]*$', '')), '[.]+$', '') AS host,
+             list_filter(string_split(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM u),
+p AS (SELECT DISTINCT unnest([host, regexp_extract(host, '[^.]+[.][^.]+$')]) AS pattern FROM c WHERE host <> ''),
+n AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 4))::INT AS a, ('0x' || substr(md5(pattern), 5, 4))::INT % 200 AS f,
+             ('0x' || substr(md5(pattern), 9, 4))::INT AS b, ('0x' || substr(md5(pattern), 13, 4))::INT AS d FROM p WHERE pattern <> ''),
+e AS (SELECT (['adult', 'allow', 'malware', 'spam'])[a % 4 + 1] AS list, pattern,
+             unnest([{'d': f, 'x': 'add'}, {'d': f + 20 + b % 60, 'x': 'remove'}, {'d': f + 100 + d % 60, 'x': CASE WHEN d % 2 = 0 THEN 'add' ELSE 'remove' END}]) AS s
+      FROM n WHERE a % 8 < 4),
+x AS (SELECT list, pattern, DATE '2024-01-01' + s.d AS at, s.x AS action FROM e),
+i AS (SELECT *, lead(at) OVER (PARTITION BY list, pattern ORDER BY at) AS until FROM x),
+t AS (SELECT page_id, host, at, unnest(list_distinct(list_concat(
+        list_transform(range(1, len(string_split(host, '.')) + 1), lambda k: array_to_string((string_split(host, '.'))[k:], '.')),
+        list_transform(range(1, len(parts) + 1), lambda k: host || '/' || array_to_string(parts[1:k], '/'))))) AS pattern FROM c WHERE host <> ''),
+m AS (SELECT t.page_id, i.list, i.pattern FROM t JOIN i ON t.pattern = i.pattern AND i.action = 'add' AND t.at >= i.at AND (i.until IS NULL OR t.at < i.until)),
+g AS (SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, first(pattern ORDER BY length(pattern) DESC, pattern) AS pattern,
+             bool_or(list <> 'allow') AND NOT bool_or(list = 'allow') AS blocked FROM m GROUP BY page_id)
+SELECT c.page_id, c.host, coalesce(lists, '') AS lists, pattern, coalesce(blocked, false) AS blocked FROM c LEFT JOIN g USING (page_id)
+"""
