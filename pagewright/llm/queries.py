@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, chat, dedup, media, mixing, neardup, secrets, urls, warc
+from pagewright.llm import bpe, chat, dedup, media, mixing, neardup, quality, secrets, urls, warc
 from pagewright.llm.common import table
 
 QUERIES = {}
@@ -160,8 +160,8 @@ def op8_url_filter(spark, sf_dir):
 
 ORACLE_SQL["op8_url_filter"] = r"""
 WITH u AS (SELECT page_id, regexp_replace(regexp_replace(trim(coalesce(url, '')), '^[A-Za-z][A-Za-z0-9+.-]*:', ''), '^//', '') AS rest,
-                  DATE '2024-01-01' + ((page_id * 37) % 365)::INT AS at FROM pages),
-c AS (SELECT page_id, at, regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?#]*'), '^.*@', ''), ':[0-9]*$', '')), '[.]+$', '') AS host,
+                  DATE '2024-01-01' + ((page_id * 37) % 365)::INT AS day FROM pages),
+c AS (SELECT page_id, day, regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?#]*'), '^.*@', ''), ':[0-9]*$', '')), '[.]+$', '') AS host,
              list_filter(string_split(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM u),
 p AS (SELECT DISTINCT unnest([host, regexp_extract(host, '[^.]+[.][^.]+$')]) AS pattern FROM c WHERE host <> ''),
 n AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 4))::INT AS a, ('0x' || substr(md5(pattern), 5, 4))::INT % 200 AS f,
@@ -169,13 +169,21 @@ n AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 4))::INT AS a, ('0x' || s
 e AS (SELECT (['adult', 'allow', 'malware', 'spam'])[a % 4 + 1] AS list, pattern,
              unnest([{'d': f, 'x': 'add'}, {'d': f + 20 + b % 60, 'x': 'remove'}, {'d': f + 100 + d % 60, 'x': CASE WHEN d % 2 = 0 THEN 'add' ELSE 'remove' END}]) AS s
       FROM n WHERE a % 8 < 4),
-x AS (SELECT list, pattern, DATE '2024-01-01' + s.d AS at, s.x AS action FROM e),
-i AS (SELECT *, lead(at) OVER (PARTITION BY list, pattern ORDER BY at) AS until FROM x),
-t AS (SELECT page_id, host, at, unnest(list_distinct(list_concat(
+x AS (SELECT list, pattern, DATE '2024-01-01' + s.d AS day, s.x AS action FROM e),
+i AS (SELECT *, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS until FROM x),
+t AS (SELECT page_id, host, day, unnest(list_distinct(list_concat(
         list_transform(range(1, len(string_split(host, '.')) + 1), lambda k: array_to_string((string_split(host, '.'))[k:], '.')),
         list_transform(range(1, len(parts) + 1), lambda k: host || '/' || array_to_string(parts[1:k], '/'))))) AS pattern FROM c WHERE host <> ''),
-m AS (SELECT t.page_id, i.list, i.pattern FROM t JOIN i ON t.pattern = i.pattern AND i.action = 'add' AND t.at >= i.at AND (i.until IS NULL OR t.at < i.until)),
+m AS (SELECT t.page_id, i.list, i.pattern FROM t JOIN i ON t.pattern = i.pattern AND i.action = 'add' AND t.day >= i.day AND (i.until IS NULL OR t.day < i.until)),
 g AS (SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, first(pattern ORDER BY length(pattern) DESC, pattern) AS pattern,
              bool_or(list <> 'allow') AND NOT bool_or(list = 'allow') AS blocked FROM m GROUP BY page_id)
 SELECT c.page_id, c.host, coalesce(lists, '') AS lists, pattern, coalesce(blocked, false) AS blocked FROM c LEFT JOIN g USING (page_id)
 """
+
+
+@query
+def op1_lsa_quality(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(documents, table(spark, sf_dir, "labels"))
+    scored = quality.classify(documents, model).withColumn("held_out", quality.held_out("doc_id"))
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= quality.ACCEPT, 1).otherwise(0).alias("predicted"))
