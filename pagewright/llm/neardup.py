@@ -6,10 +6,10 @@ chance that a register agrees grows with the similarity. Steps:
 
 1. One pass over the texts gives each row its set's size, a 128-bit name of the set, and the sketch (one byte a register).
    Rows with equal sets form a class; only classes go on.
-2. ROWS registers make a band; classes that agree in a band share a bucket. Each member is compared with its bucket's first
-   member, not with all: a group of many near copies becomes a star.
+2. ROWS registers make a band; classes that agree in a band share a bucket. Each member is compared with its bucket's head,
+   not with all: a group of many near copies becomes a few stars.
 3. A pair's similarity is first estimated from both sketches by maximum likelihood; pairs for which the threshold is out of the
-   question (by a likelihood ratio of 5 standard deviations) are dropped, the others are verified on the full sets.
+   question (by a likelihood ratio of 4 standard deviations) are dropped, the others are verified on the full sets.
 4. Links make components. Buckets that then still hold several components get all their pairs across components compared, in
    blocks, so that no link between members of one bucket is lost; pairs within a component can't change it.
 
@@ -35,8 +35,12 @@ BANDS, ROWS = 51, 5
 M = BANDS * ROWS
 #: Base of the registers' logarithm, and what is added so that they fit a byte for sets of up to about 1e6 members; beyond, they are clamped.
 BASE, SHIFT = 1.1, 40
-#: Log-likelihood that the threshold may lie below the best estimate: 5 standard deviations.
-SLACK = 12.5
+#: Log-likelihood that the threshold may lie below the best estimate: 4 standard deviations.
+SLACK = 8.0
+#: Equal registers that a pair must have before its likelihood is computed: 5 standard deviations below what the threshold gives.
+SAME = int(M * PERCENT / 100 - 5 * math.sqrt(M * PERCENT / 100 * (1 - PERCENT / 100)))
+#: Rows of blocks that are handled at once in step 4, about.
+CHUNK = 4_000
 #: Members of a block in step 4.
 BLOCK = 512
 #: So many classes (of some 50 bytes) are broadcast to the texts at most; more meet them in a shuffle.
@@ -200,40 +204,49 @@ def _sketched(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the threshold.
-
-    Only the texts of classes in pairs are read into sets again. A class's sets travel once to each of its pairs.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = checkpointed(wanted.join(classes, "id").select("id", "key_", "s1", "s2"))
+def _sets(ids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """id and hashes (the full set) of the classes in `ids`. Only their texts are made into sets again."""
+    wanted = checkpointed(ids.select("id").distinct().join(classes, "id").select("id", "key_", "s1", "s2"))
     few = F.broadcast(wanted) if wanted.count() <= FEW else wanted
     found = texts.withColumnRenamed("key_", "k").join(few, F.col("k").eqNullSafe(F.col("key_")))
 
     def sets(batches):
         for b in batches:
-            ids, out, seen = [], [], set()
+            ids, out = [], []
             for i, s1, s2, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 s = shingles(v.as_buffer().to_pybytes())
-                if i not in seen and len(s) and set_name(s) == (s1, s2):  # a repeated key can have other texts, too
-                    seen.add(i)
+                if len(s) and set_name(s) == (s1, s2):  # a repeated key can have other texts, too
                     ids.append(i)
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "hashes"])
 
-    full = checkpointed(found.select("id", "s1", "s2", "t").mapInArrow(sets, "id bigint, hashes binary"))
+    made = found.select("id", "s1", "s2", "t").mapInArrow(sets, "id bigint, hashes binary")
+    return checkpointed(made.groupBy("id").agg(F.first("hashes").alias("hashes")))
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets (sorted, distinct) reach the threshold."""
+    if PERCENT * max(len(x), len(y)) > 100 * min(len(x), len(y)):
+        return False
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int(np.count_nonzero(y[at] == x))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets reach the threshold."""
+    full = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), classes, texts)
 
     def confirm(batches):
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), _U) for v in (x, y))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            ok = [similar(*(np.frombuffer(v.as_buffer(), _U) for v in xy)) for xy in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     joined = pairs.join(full.withColumnsRenamed({"id": "a", "hashes": "ha"}), "a").join(full.withColumnsRenamed({"id": "b", "hashes": "hb"}), "b")
-    return joined.select("a", "b", "ha", "hb").mapInArrow(confirm, "a bigint, b bigint").distinct()
+    return joined.select("a", "b", "ha", "hb").mapInArrow(confirm, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -281,19 +294,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     band = lambda i: F.conv(F.hex(F.substring("sketch", i * ROWS + 1, F.lit(ROWS))), 16, 10).cast("long") * 64 + i  # noqa: E731  5 bytes and the band's number: exact
     bands = sketch.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
-    heads = checkpointed(bands.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1"))
+    # the head of a bucket is the member whose id, mixed with the bucket's own number, is least: a group that shares many buckets has many heads
+    own = F.xxhash64("bucket").bitwiseAND(F.lit((1 << 62) - 1))
+    heads = checkpointed(bands.groupBy("bucket").agg(F.min(F.col("id").bitwiseXOR(own)).bitwiseXOR(own).alias("head"), F.count("*").alias("n")).filter("n > 1"))
     members = checkpointed(bands.join(heads, "bucket").select("bucket", "id", "head", "n"))
 
-    def compared(pairs):
-        a, b = (sketch.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-        return checkpointed(_verified(checkpointed(_likely(pairs.join(a, "a").join(b, "b"))), classes, texts))
-
-    links = compared(members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    stars = members.filter("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
+    a, b = (sketch.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    likely = checkpointed(_likely(stars.join(a, "a").join(b, "b")))
+    links = checkpointed(_verified(likely, classes, texts))
     found = checkpointed(components(links))
-    across = checkpointed(_across(members, found, sketch))
-    if not across.isEmpty():
-        links = links.union(compared(across))
-        found = components(links)
+    more = _across(members, found, sketch, classes, texts)
+    if more is not None:
+        found = components(links.union(more))
 
     # rows of one key are one document: their sets' components are one, too
     found = checkpointed(classes.join(found, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component")))
@@ -308,30 +321,84 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return out.select(F.col("key_").alias(key), "n_shingles", "component_id", F.col("key_").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _across(members: DataFrame, found: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of members of one bucket that are in different components, compared in blocks of the bucket."""
+def _pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of likely pairs of a table of blocks: of one block, of different components, in the first band in which they agree.
+
+    Rows are sorted by block, and a row is paired with the one `step` places further as long as their block goes on, for
+    all blocks at once.
+    """
+    bucket, x, y, part, component, size = (t.column(k).to_numpy() for k in ("bucket", "x", "y", "part", "component", "size"))
+    order = np.lexsort((y, x, bucket))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, M)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in (bucket, x, y)], axis=0)
+    end = np.append(np.flatnonzero(new), len(order))[np.cumsum(new)]  # behind the block of each row
+    out, step, at = [np.empty((2, 0), np.int64)], 0, np.arange(len(order))
+    while len(at):
+        step += 1
+        at = at[at + step < end[at]]
+        i, j = order[at], order[at + step]
+        ok = (component[i] != component[j]) & ((part[i] != part[j]) | (x[i] == y[i]))
+        i, j = i[ok], j[ok]
+        for k in range(0, len(i), 20_000):
+            p, q = i[k : k + 20_000], j[k : k + 20_000]
+            same = sketch[p] == sketch[q]
+            ok = (same.sum(axis=1) >= SAME) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == bucket[p] % 64)
+            p, q = p[ok], q[ok]
+            if len(p):
+                ok = estimate(sketch[p], sketch[q], size[p], size[q])
+                out.append(np.stack((p[ok], q[ok])))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def _across(members: DataFrame, found: DataFrame, sketch: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links (a, b) between members of one bucket that are in different components so far; None if no pair is likely.
+
+    Pairs are compared in blocks of a bucket and never leave them: first sketches tell which members have a likely partner,
+    then those members' sets are compared, and only links that join components are given.
+    """
     m = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    m = checkpointed(m.join(mixed, "bucket").select("bucket", "id", "component", "n").join(sketch.select("id", "sketch", F.col("n").alias("size")), "id"))
+    m = m.join(mixed, "bucket").select("bucket", "id", "component", "n").join(sketch.select("id", "sketch", F.col("n").alias("size")), "id")
     # a bucket of n members has ceil(n / BLOCK) parts; a block compares two of them, so a member goes to as many blocks as there are parts
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("id"), parts.cast("long")).cast("int")
-    m = m.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    m = m.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other"))
-
-    def block(key, t):
-        x, y = key[2].as_py(), key[3].as_py()
-        i, c, n, p = (t.column(k).to_numpy() for k in ("id", "component", "size", "part"))
-        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, M)
-        left, right = np.flatnonzero(p == x), np.flatnonzero(p == y)
-        out = [np.empty((0, 2), np.int64)]
-        for j in left:
-            r = right[(c[right] != c[j]) & ((i[right] > i[j]) | (x != y))]
-            if len(r):
-                r = r[estimate(np.broadcast_to(s[j], (len(r), M)), s[r], np.full(len(r), n[j]), n[r])]
-                out.append(np.column_stack((np.full(len(r), i[j]), i[r])))
-        found = np.concatenate(out)
-        return pa.table({"a": np.minimum(found[:, 0], found[:, 1]), "b": np.maximum(found[:, 0], found[:, 1])})
-
-    keys = m.select("bucket", "n", "x", "y", "id", "component", "sketch", "size", "part")
-    return keys.groupBy("bucket", "n", "x", "y").applyInArrow(block, "a bigint, b bigint").distinct()
+    m = m.withColumn("part", F.pmod(F.xxhash64("id"), parts.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    m = m.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "id", "component", "sketch", "size", "part")
+    m = checkpointed(m)
+    # several blocks are handled at once, about CHUNK rows of them
+    chunks = m.count() // CHUNK + 1
+
+    def chunked(d):
+        return d.groupBy(F.pmod(F.xxhash64("bucket", "x", "y"), F.lit(chunks)).alias("chunk"))
+
+    def flag(t):
+        return t.select(["bucket", "x", "y", "id"]).take(pa.array(np.unique(np.concatenate(_pairs(t)))))
+
+    flagged = checkpointed(chunked(m).applyInArrow(flag, "bucket bigint, x int, y int, id bigint"))
+    if flagged.isEmpty():
+        return None
+    full = _sets(flagged, classes, texts)
+    m = m.join(flagged, ["bucket", "x", "y", "id"]).join(full, "id")
+
+    def link(t):
+        i, j = _pairs(t)
+        component = t.column("component").to_pylist()
+        ids = t.column("id").to_numpy()
+        sets = [np.frombuffer(v.as_buffer(), _U) for v in t.column("hashes")]
+        up: dict[int, int] = {}
+
+        def top(c):
+            while c in up:
+                c = up[c]
+            return c
+
+        a, b = [], []
+        for p, q in zip(i.tolist(), j.tolist(), strict=True):
+            u, v = top(component[p]), top(component[q])
+            if u != v and similar(sets[p], sets[q]):
+                up[max(u, v)] = min(u, v)
+                a.append(ids[p])
+                b.append(ids[q])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return checkpointed(chunked(m).applyInArrow(link, "a bigint, b bigint"))
