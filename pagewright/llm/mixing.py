@@ -27,6 +27,7 @@ PERIOD = 1000
 ALPHA = 0.7
 #: Rows of a hash range, about.
 RANGE_ROWS = 20_000
+LEAST_RANGES = 64
 
 
 def units(weights: dict, period: int = PERIOD) -> dict:
@@ -62,9 +63,9 @@ def schedule(unit: dict) -> list[tuple]:
 
 def numbered(df: DataFrame, source: str, order: list[Column]) -> DataFrame:
     """`df` with n_: the number (from 0) of a row in its source, by a hash of `order` and then `order`."""
-    # as many ranges for each source as hold RANGE_ROWS of the largest on average
+    # as many ranges for each source as hold RANGE_ROWS of the largest on average, and so many that a hot source is spread at any size
     most = df.groupBy(source).count().agg(F.max("count")).first()[0] or 0
-    ranges = most // RANGE_ROWS + 1
+    ranges = most // RANGE_ROWS + LEAST_RANGES
     h = df.withColumn("h_", F.xxhash64(*order))
     h = h.withColumn("r_", F.floor((F.shiftrightunsigned("h_", 32) * ranges) / (1 << 32)).cast("int"))
     counts = checkpointed(h.groupBy(source, "r_").count())
