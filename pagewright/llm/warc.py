@@ -2,7 +2,7 @@
 
 Writing: a payload becomes an HTTP message in chunked transfer framing; what is longer than a segment is continued in
 continuation records that name the first record (WARC-Segment-Origin-ID) and their number, the last one with the total
-length. Records go through Spark's text writer, whose line separator is the two line ends behind a WARC record, in files of a bounded
+length. Records go through Spark's text writer (packed with gzip), whose line separator is the two line ends behind a WARC record, in files of a bounded
 number of bounded records.
 
 Reading: each file is parsed by the records' own lengths; continuation records are grouped by their origin, put in order by
@@ -11,18 +11,23 @@ segment number, their total length is verified, and the chunked framing is decod
 
 from __future__ import annotations
 
+import gzip
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import checkpointed
+
 #: Bytes of a record's block at most, and records of an archive file at most: a file has 32 MB or less.
 SEGMENT = 16_384
 RECORDS = 1_900
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
 CHUNK = 4_096
+#: Repeated digests (of some 100 bytes) that are broadcast at most.
+FEW = 50_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -82,9 +87,11 @@ def captures(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     rows = pages.select(F.col(key).alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), raw.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
     first = rows.filter(F.octet_length("payload") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = checkpointed(first.filter("n > 1").select("payload_digest", "first"))
     again = F.when(F.octet_length("payload") < LEAST, None).when(F.col("first") != F.col("page_id"), F.col("first"))
-    # only digests that occur again are joined, so that payloads need no shuffle where these are few
-    return rows.join(first.filter("n > 1").select("payload_digest", "first"), "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", again.alias("refers_to"))
+    # payloads are only shuffled where more digests occur again than may be broadcast
+    few = F.broadcast(first) if first.count() <= FEW else first
+    return rows.join(few, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", again.alias("refers_to"))
 
 
 def write_warc(caps: DataFrame, path: str) -> None:
@@ -98,7 +105,12 @@ def write_warc(caps: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     lines = caps.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, "record binary")
-    lines.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).mode("overwrite").text(path)
+    lines.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).mode("overwrite").text(path)
+
+
+def plain(data: bytes) -> bytes:
+    """An archive's bytes, unpacked if they are in gzip (of one or more members)."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
 def parse_records(data: bytes):
@@ -131,7 +143,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 rows = []
-                for h, block in parse_records(content.as_buffer().to_pybytes()):
+                for h, block in parse_records(plain(content.as_buffer().to_pybytes())):
                     more = h["warc-type"] == "continuation"
                     total = h.get("warc-segment-total-length") if more or "warc-segment-number" in h else len(block)
                     rows.append((h["warc-segment-origin-id"] if more else h["warc-record-id"], int(h.get("warc-segment-number", 1)), None if total is None else int(total), None if more else h["warc-type"], h.get("warc-target-uri"), h.get("warc-payload-digest"), h.get("warc-refers-to"), block))
