@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import small_batches
+
 #: Entries in each of the two generations of a worker's memo, for pieces and for pairs. Results don't depend on it.
 MEMO = 300_000
 #: Pieces handled at once, so that a very long text needs little memory besides itself.
@@ -166,7 +168,7 @@ def encode_bpe(df: DataFrame, key: str = "doc_id", text: str = "text", *, path:
     `path` must name the rank file on every executor.
     """
     k = "key_"
-    kept = df.select(F.col(key).alias(k), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t_"))
+    kept = small_batches(df).select(F.col(key).alias(k), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t_"))
     kind = kept.schema[k].dataType.simpleString()
     schema = f"`{k}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 

@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, after the session's Arrow batches have been limited, so that batches of long texts need little memory beside the heap."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        size = int(conf.get(name).rstrip("b"))
+        if size <= 0 or size > most:
+            conf.set(name, str(most))
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the folder that all executors share.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import checkpointed
+from pagewright.llm.common import checkpointed, small_batches
 
 WORDS = 5
 #: Percent of the union that the intersection must reach.
@@ -284,7 +284,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     (similarity 1). A repeated key is one document with the links of all its rows, so its rows are kept or not together; a
     null key comes after all others as a component_id. An empty table gives no rows. Other columns are not read.
     """
-    texts = df.select(F.col(key).alias("key_"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
+    texts = small_batches(df).select(F.col(key).alias("key_"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
     base = checkpointed(_sketched(texts).withColumn("row", F.monotonically_increasing_id()))
     full = base.filter("s1 IS NOT NULL")
     # of each set one row, by (key, row), nulls last: what is shuffled is pre-aggregated, however many rows have the set

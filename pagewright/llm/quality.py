@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import small_batches
+
 #: Labelled rows of each class that the model is fitted on at most: those with the smallest hashes of their keys.
 PER_CLASS = 2000
 #: Latent dimensions, voting neighbours, power of the cosine in a vote's weight, score from which a text is accepted.
@@ -119,7 +121,7 @@ def _with_terms(df: DataFrame, text: str) -> DataFrame:
             rows = [terms(v.as_buffer().to_pybytes() if v.is_valid else b"").tobytes() for v in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.binary())], ["label", "terms"])
 
-    return df.select("key_", "label", F.col(text).cast("string").cast("binary")).mapInArrow(run, "label int, terms binary")
+    return small_batches(df).select("key_", "label", F.col(text).cast("string").cast("binary")).mapInArrow(run, "label int, terms binary")
 
 
 def held_out(key: str) -> Column:
@@ -155,7 +157,7 @@ def classify(df: DataFrame, model: Voters, text: str = "text", score: str = "sco
     A null text counts as empty. An empty text has no terms and no neighbour, so that its score is the share of label 1; without
     any labelled rows all scores are 0.5.
     """
-    kept = df.drop(score)
+    kept = small_batches(df).drop(score)
     shared = df.sparkSession.sparkContext.broadcast(model)
     place = kept.columns.index(text)
     as_bytes = kept.withColumn(text, F.col(text).cast("string"))

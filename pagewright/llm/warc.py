@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import checkpointed
+from pagewright.llm.common import checkpointed, small_batches
 
 #: Bytes of a record's block at most, and records of an archive file at most: a file has 32 MB or less.
 SEGMENT = 16_384
@@ -104,7 +104,7 @@ def write_warc(caps: DataFrame, path: str) -> None:
                 out += records(str(i), u, p.as_buffer().to_pybytes(), d, None if r is None else str(r))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    lines = caps.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, "record binary")
+    lines = small_batches(caps).select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, "record binary")
     lines.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).mode("overwrite").text(path)
 
 
