@@ -89,5 +89,5 @@ def edges_of_blocks(resolved: DataFrame, blocks: DataFrame) -> DataFrame:
     """block_id, kind, dst, back: curated links of blocks, with the block of the first link back (or an empty one)."""
     r = resolved.filter("dst IS NOT NULL")
     back = r.groupBy(F.col("page_id").alias("dst"), F.col("dst").alias("page_id")).agg(F.min_by("block_id", "ord").alias("back"))
-    own = r.filter(F.col("kind").isin(*fixed.CURATED)).join(blocks.select("block_id"), "block_id", "left_semi")
+    own = r.filter(F.col("kind").isin(*fixed.CURATED) & (F.col("block_id") != "")).join(blocks.select("block_id"), "block_id", "left_semi")
     return own.join(back, ["page_id", "dst"], "left").select("page_id", "block_id", "kind", "dst", F.coalesce("back", F.lit("")).alias("back"))

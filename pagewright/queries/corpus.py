@@ -1 +1,210 @@
-"""Queries."""
+"""Queries over pages, blocks, tokens, links and the graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagewright.functions import text as T
+from pagewright.operators import graph, links
+from pagewright.operators import index as I
+from pagewright.queries import query
+from pagewright.queries.common import base, index
+from pagewright.queries.sql import sql
+from pagewright.sources import tables
+
+
+@query(sql("SELECT page_id, slug, title, type, updated, lang AS tags, source AS projects FROM page", "page"))
+def scan_pages(spark, d):
+    p = base(spark, d).pages
+    return p.select("page_id", "slug", "title", "type", "updated", F.array_join("tags", ",").alias("tags"), F.array_join("projects", ",").alias("projects"))
+
+
+@query(sql("SELECT page_id, pos, kind, block_id, text FROM blk", "blk"))
+def block_explode(spark, d):
+    return base(spark, d).blocks.select("page_id", "pos", "kind", "block_id", "text")
+
+
+@query(sql("SELECT n_pages, n_blocks, total_len, round(avg_len, 6) AS avg_len, round(avg_body, 6) AS avg_body FROM stats", "post"))
+def corpus_stats(spark, d):
+    return index(spark, d).stats.select("n_pages", "n_blocks", "total_len", F.round("avg_len", 6).alias("avg_len"), F.round("avg_body", 6).alias("avg_body"))
+
+
+@query(sql("SELECT page_id, pos, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM tok GROUP BY 1, 2", "post"))
+def tokenize_terms(spark, d):
+    i = index(spark, d)
+    return i.postings.groupBy("page_id", "pos").agg(F.sum("tf").cast("long").alias("n_tokens"), F.count("*").alias("n_terms"))
+
+
+@query(sql("SELECT term, df FROM term", "post"))
+def term_df(spark, d):
+    return index(spark, d).terms
+
+
+@query(sql("SELECT p.term, p.page_id, p.pos, p.tf, b.len, round(b.mult, 4) AS mult FROM post p JOIN iblk b ON b.page_id = p.page_id AND b.pos = p.pos WHERE p.term IN (SELECT term FROM term WHERE df BETWEEN 2 AND 50)", "post"))
+def posting_list(spark, d):
+    i = index(spark, d)
+    some = i.terms.filter("df BETWEEN 2 AND 50").select("term")
+    return i.postings.join(some, "term", "left_semi").select("term", "page_id", "pos", F.col("tf").cast("long").alias("tf"), F.col("len").cast("long").alias("len"), F.round("mult", 4).alias("mult"))
+
+
+@query(sql("SELECT term, df, round(ln(1.0::DOUBLE + (n_blocks - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM term, stats", "post"))
+def idf_table(spark, d):
+    from pagewright.plans.search import idf
+
+    i = index(spark, d)
+    return i.terms.crossJoin(F.broadcast(i.stats)).select("term", "df", F.round(idf(F.col("n_blocks"), F.col("df").cast("double")), 6).alias("idf"))  # one row of figures
+
+
+_KOREAN = ("정책은", "기능에서는", "결과", "바꿨다던데 컬럼은", "v2.3.1 login_rate_limited abc. a b", "réaux 되나요?")
+
+
+@query("SELECT * FROM (VALUES ('v2.3.1', 'v2.3.1'), ('login_rate_limited', 'login_rate_limited,login,rate,limited'), ('abc.', 'abc'), ('a b', ''), ('réaux', 'aux'), ('정책은', '정책,책은'), ('v', ''), ('ab-cd:x', 'ab-cd:x,ab,cd')) AS v(text, tokens)")
+def tokenize_literals(spark, d):
+    rows = spark.createDataFrame([(x,) for x in ("v2.3.1", "login_rate_limited", "abc.", "a b", "réaux", "정책은", "v", "ab-cd:x")], "text string")
+    return rows.select("text", F.array_join(T.tokens("text"), ",").alias("tokens"))
+
+
+@query("SELECT * FROM (VALUES ('정책은', '정책'), ('기능에서는', '기능'), ('결과', '결과'), ('바꿨다던데', '바꿨'), ('회의', '회의'), ('정도', '정도')) AS v(run, stem)")
+def query_stem_literals(spark, d):
+    rows = spark.createDataFrame([(x,) for x in ("정책은", "기능에서는", "결과", "바꿨다던데", "회의", "정도")], "run string")
+    return rows.select("run", T.query_stem(F.col("run")).alias("stem"))
+
+
+@query(sql("SELECT block_id, print FROM blk", "blk"))
+def fingerprint_ids(spark, d):
+    return base(spark, d).blocks.select("block_id", T.fingerprint("kind", "text").alias("print"))
+
+
+@query(sql("SELECT DISTINCT key, prio, page_id FROM keys WHERE key <> ''", "link"))
+def page_lookup_keys(spark, d):
+    return links.page_keys(base(spark, d).pages)
+
+
+@query("SELECT * FROM (VALUES ('Page:Alpha Platform', 'alpha-platform'), ('alpha_platform', 'alpha-platform'), (' __ ', ''), ('a  b', 'a-b')) AS v(value, key)")
+def link_key_cases(spark, d):
+    rows = spark.createDataFrame([(x,) for x in ("Page:Alpha Platform", "alpha_platform", " __ ", "a  b")], "value string")
+    return rows.select("value", T.link_key("value").alias("key"))
+
+
+@query("SELECT * FROM (VALUES ('pre_v0_1-1', 'pre-v0-1-1'), ('Pre V0.1 1', 'pre-v0-1-1'), ('a/b', 'a-b'), ('--', '')) AS v(tag, key)")
+def tag_key_cases(spark, d):
+    rows = spark.createDataFrame([(x,) for x in ("pre_v0_1-1", "Pre V0.1 1", "a/b", "--")], "tag string")
+    return rows.select("tag", T.tag_key("tag").alias("key"))
+
+
+@query("SELECT * FROM (VALUES ('[[b]] [[a|x]] [[b#c]] [[ ]]', 'a,b'), ('none', ''), ('[[Z z]][[y]]', 'Z z,y')) AS v(text, refs)")
+def wikilink_refs(spark, d):
+    rows = spark.createDataFrame([(x,) for x in ("[[b]] [[a|x]] [[b#c]] [[ ]]", "none", "[[Z z]][[y]]")], "text string")
+    return rows.select("text", F.array_join(T.refs_in("text"), ",").alias("refs"))
+
+
+@query("SELECT * FROM (VALUES (0, 'b', '', 'b'), (1, 'a', '', 'x'), (2, 'b', 'c', 'b')) AS v(i, target, anchor, label)")
+def page_link_rows(spark, d):
+    rows = spark.createDataFrame([("[[b]] [[a|x]] [[b#c]] [[ ]]",)], "text string")
+    return rows.select(F.posexplode(T.links_in("text")).alias("i", "l")).select("i", "l.target", "l.anchor", "l.label")
+
+
+@query(sql("SELECT page_id, ord, target, kind, block_id, dst FROM link", "link"))
+def link_resolve(spark, d):
+    return index(spark, d).links.select("page_id", "ord", "target", "kind", "block_id", "dst")
+
+
+@query(sql("SELECT page_id, ord, target, kind FROM link l WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.key = l.key)", "link"))
+def dangling_links(spark, d):
+    i = index(spark, d)
+    return links.dangling(i.links, i.pages)
+
+
+@query(sql("SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS ord, target, kind, block_id FROM linkkey", "link"))
+def implied_links(spark, d):
+    kb = base(spark, d)
+    return links.implied(kb.pages, kb.links, kb.blocks).select("page_id", "ord", "target", "kind", "block_id")
+
+
+EDGES = "edge AS (SELECT 'edge:' || left(sha256(page_id || '|' || dst), 16) AS edge_id, page_id AS source, dst AS target, arg_min(kind, ord) AS kind FROM link WHERE dst IS NOT NULL GROUP BY page_id, dst)"
+
+
+@query(sql("SELECT 'edge:' || left(sha256(page_id || '|' || dst), 16) AS edge_id, page_id AS source, dst AS target, arg_min(kind, ord) AS kind FROM link WHERE dst IS NOT NULL GROUP BY page_id, dst", "link"))
+def display_edges(spark, d):
+    return links.display_edges(index(spark, d).links)
+
+
+@query(sql("SELECT page_id, coalesce(i, 0) AS incoming, coalesce(o, 0) AS outgoing, coalesce(i, 0) + coalesce(o, 0) AS degree, coalesce(i, 0) + coalesce(o, 0) = 0 AS orphan FROM page LEFT JOIN (SELECT dst AS page_id, count(DISTINCT page_id) AS i FROM link WHERE dst IS NOT NULL GROUP BY dst) USING (page_id) LEFT JOIN (SELECT page_id, count(DISTINCT dst) AS o FROM link WHERE dst IS NOT NULL GROUP BY page_id) USING (page_id)", "link"))
+def degree_orphan(spark, d):
+    i = index(spark, d)
+    return links.degrees(i.pages, links.display_edges(i.links))
+
+
+@query(sql("SELECT page_id, weak_in FROM weak", "adj"))
+def weak_in_degree(spark, d):
+    return links.weak_degree(index(spark, d).links)
+
+
+@query(sql("SELECT src, dst, w, own_block FROM adj", "adj"))
+def adjacency_top64(spark, d):
+    return index(spark, d).adjacency
+
+
+@query(sql("SELECT page_id, head FROM head", "head"))
+def supersede_chains(spark, d):
+    return index(spark, d).heads.select("page_id", "head")
+
+
+@query(sql("SELECT state, count(*) AS n FROM head GROUP BY state", "head"))
+def supersede_state(spark, d):
+    return index(spark, d).heads.groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH RECURSIVE l(page_id, dst) AS (VALUES ('v3', 'v2'), ('v2', 'v1'), ('a', 'b'), ('b', 'a'), ('n1', 'old'), ('n2', 'old'), ('old', 'older'), ('a', 't')),
+succ AS (SELECT dst AS page_id, min(page_id) AS nxt, count(DISTINCT page_id) > 1 AS fork FROM l GROUP BY dst),
+walk AS (SELECT page_id, nxt AS hd, fork, [page_id, nxt] AS seen, false AS circle FROM succ
+  UNION ALL SELECT w.page_id, s.nxt, w.fork OR s.fork, list_append(w.seen, s.nxt), list_contains(w.seen, s.nxt) FROM walk w JOIN succ s ON w.hd = s.page_id WHERE NOT w.circle),
+ends AS (SELECT page_id, arg_max(hd, len(seen)) AS hd, arg_max(fork, len(seen)) AS fork, bool_or(circle) AS circle FROM walk GROUP BY page_id)
+SELECT page_id, CASE WHEN circle THEN page_id ELSE hd END AS head, CASE WHEN circle THEN 'cycle' WHEN fork THEN 'fork' ELSE 'stale' END AS state FROM ends""")
+def chain_literals(spark, d):
+    rows = [("v3", "v2"), ("v2", "v1"), ("a", "b"), ("b", "a"), ("n1", "old"), ("n2", "old"), ("old", "older"), ("a", "t")]
+    return graph.chains(spark.createDataFrame([(a, b, "supersedes") for a, b in rows], "page_id string, dst string, kind string"))
+
+
+@query(sql("SELECT b.block_id, l.kind, l.dst, coalesce(r.b, '') AS back FROM link l JOIN blk b ON b.block_id = l.block_id LEFT JOIN (SELECT page_id, dst, arg_min(block_id, ord) AS b FROM link WHERE dst IS NOT NULL GROUP BY 1, 2) r ON r.page_id = l.dst AND r.dst = l.page_id WHERE l.dst IS NOT NULL AND l.kind IN ('related', 'supersedes')", "link"))
+def edges_back(spark, d):
+    i = index(spark, d)
+    return links.edges_of_blocks(i.links, i.blocks).select("block_id", "kind", "dst", "back")
+
+
+@query(sql("SELECT DISTINCT p FROM (SELECT dst AS p FROM link WHERE page_id LIKE '%7' AND dst IS NOT NULL UNION SELECT page_id FROM link WHERE dst LIKE '%7') WHERE p NOT LIKE '%7'", "link").replace("SELECT DISTINCT p FROM", "SELECT DISTINCT p AS page_id FROM"))
+def neighbour_pages(spark, d):
+    i = index(spark, d)
+    return links.neighbours(i.links, i.pages.filter("page_id LIKE '%7'").select("page_id"))
+
+
+@query(sql("SELECT page_id, pos, left(h, 40) AS hpath FROM (SELECT page_id, pos, CASE WHEN pos = 0 THEN '' ELSE coalesce(first_value(CASE WHEN pos = 0 THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos), '') END AS h FROM blk)", "blk"))
+def heading_path(spark, d):
+    return I.heading_paths(base(spark, d).blocks).select("page_id", "pos", F.left("hpath", F.lit(40)).alias("hpath"))
+
+
+@query(sql("SELECT page_id, pos, n FROM (SELECT page_id, pos, count(*) OVER (PARTITION BY trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS all_, n_ AS n FROM blk JOIN (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, count(DISTINCT page_id) AS n_ FROM blk GROUP BY 1) x ON x.t = trim(regexp_replace(text, '\\s+', ' ', 'g'))) WHERE n >= 2", "blk"))
+def dup_damping(spark, d):
+    b = base(spark, d).blocks.withColumn("t", F.xxhash64(T.squeezed("text"))).select("page_id", "pos", "t")
+    n = b.groupBy("t").agg(F.count_distinct("page_id").alias("n")).filter("n >= 2")
+    return b.join(n, "t").select("page_id", "pos", "n")
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS n_bytes, ceil(octet_length(encode(text)) / 3.0)::INT AS tokens FROM documents WHERE text IS NOT NULL")
+def token_estimates(spark, d):
+    docs = tables.table(spark, d, "documents").filter("text IS NOT NULL")
+    return docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), T.token_estimate("text").alias("tokens"))
+
+
+@query("SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(left(t, 119)) || '…' END AS clipped FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)")
+def clipped_texts(spark, d):
+    docs = tables.table(spark, d, "documents").filter("text IS NOT NULL")
+    return docs.select("doc_id", T.clip("text", 120).alias("clipped"))
+
+
+@query(sql("SELECT block_id, list_extract(string_split(block_id, ':'), 2) AS slug, CASE WHEN pos = 0 THEN 'heading' ELSE 'other' END AS kind FROM blk WHERE pos < 3", "blk"))
+def block_addresses(spark, d):
+    b = base(spark, d).blocks.filter("pos < 3")
+    a = T.split_address(F.concat(F.lit("x#"), F.col("block_id")))
+    return b.select(a["block"].alias("block_id"), F.split_part("block_id", F.lit(":"), F.lit(2)).alias("slug"), F.when(F.col("pos") == 0, "heading").otherwise("other").alias("kind"))
