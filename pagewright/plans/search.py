@@ -37,6 +37,7 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def _rank(by: list[str], *order) -> Column:
+    """Place within `by`. Sums are rounded where they give the order, as their last bits depend on how rows were dealt out."""
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 
 
@@ -90,7 +91,7 @@ def page_scores(blocks: DataFrame, o: Options = Options()) -> DataFrame:
 def signals(weighed: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per query: coverage, and the scores of the best page and block. 0 where nothing was found."""
     first = F.struct("lex", F.col("best"), "n")
-    top = pages.withColumn("r", _rank(["qid"], F.desc("lex"), "page_id")).groupBy("qid").agg(F.max(F.when(F.col("r") == 1, first)).alias("t"), F.max("content_lex").alias("c"))
+    top = pages.withColumn("r", _rank(["qid"], F.desc(F.round("lex", 6)), "page_id")).groupBy("qid").agg(F.max(F.when(F.col("r") == 1, first)).alias("t"), F.max("content_lex").alias("c"))
     b = blocks.groupBy("qid").agg(F.max("score").alias("b"))
     s = coverage(weighed).join(top, "qid", "left").join(b, "qid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
@@ -109,7 +110,7 @@ def grade(signal: Column, silence: float = 0.0, hint: float = 0.0) -> Column:
 
 def reranked(index: Index, pages: DataFrame, o: Options = Options()) -> DataFrame:
     """qid, page_id, rel of the best candidates: the rest is divided by the page's length, type and hub weights are applied."""
-    cand = pages.withColumn("r_", _rank(["qid"], F.desc("lex"), "page_id")).filter(F.col("r_") <= fixed.CANDIDATES)
+    cand = pages.withColumn("r_", _rank(["qid"], F.desc(F.round("lex", 6)), "page_id")).filter(F.col("r_") <= fixed.CANDIDATES)
     if not o.rerank:
         return cand.select("qid", "page_id", F.col("lex").alias("rel"))
     facts = index.pages.select("page_id", "type", "labels", "n_blocks", "n_body")
@@ -132,7 +133,7 @@ def spread(index: Index, rel: DataFrame, o: Options = Options()) -> DataFrame:
     A page takes the strongest single path of each step. Mass over related edges is divided by their number, and doesn't go back
     over the edge that it came by.
     """
-    mass = rel.withColumn("r_", _rank(["qid"], F.desc("rel"), "page_id")).filter(F.col("r_") <= fixed.SEEDS).select("qid", F.col("page_id").alias("src"), F.col("l").alias("mass"))
+    mass = rel.withColumn("r_", _rank(["qid"], F.desc(F.round("rel", 6)), "page_id")).filter(F.col("r_") <= fixed.SEEDS).select("qid", F.col("page_id").alias("src"), F.col("l").alias("mass"))
     every, came = None, None
     for step in range(o.steps):
         rows = cut(mass).join(index.adjacency, "src") if step else mass.join(index.adjacency, "src")
@@ -141,12 +142,12 @@ def spread(index: Index, rel: DataFrame, o: Options = Options()) -> DataFrame:
         if came is not None:
             rows = rows.join(came, ["qid", "src", "dst"], "left_anti")
         came = rows.select("qid", F.col("dst").alias("src"), F.col("src").alias("dst"))
-        got = rows.groupBy("qid", "dst").agg(F.max("m").alias("m"), F.min_by("own_block", F.struct(-F.col("m"), F.col("src"))).alias("own"), F.min_by("src", F.struct(-F.col("m"), F.col("src"))).alias("via"))
+        got = rows.groupBy("qid", "dst").agg(F.max("m").alias("m"), F.min_by("own_block", F.struct(-F.round("m", 9), F.col("src"))).alias("own"), F.min_by("src", F.struct(-F.round("m", 9), F.col("src"))).alias("via"))
         d = fixed.STEP_DECAY**step
         part = got.select("qid", F.col("dst").alias("page_id"), (F.col("m") * d).alias("g"), "own", F.lit(step).alias("step"))
         every = part if every is None else every.unionByName(part)
-        mass = got.withColumn("r_", _rank(["qid"], F.desc("m"), "dst")).filter(F.col("r_") <= fixed.FRONTIER).select("qid", F.col("dst").alias("src"), F.col("m").alias("mass"))
-    return every.groupBy("qid", "page_id").agg(F.sum("g").alias("g"), F.min_by("own", F.struct(-F.col("g"), F.col("step"))).alias("own"))
+        mass = got.withColumn("r_", _rank(["qid"], F.desc(F.round("m", 9)), "dst")).filter(F.col("r_") <= fixed.FRONTIER).select("qid", F.col("dst").alias("src"), F.col("m").alias("mass"))
+    return every.groupBy("qid", "page_id").agg(F.sum("g").alias("g"), F.min_by("own", F.struct(-F.round("g", 9), F.col("step"))).alias("own"))
 
 
 def combined(rel: DataFrame, graph: DataFrame | None, o: Options = Options()) -> DataFrame:
@@ -185,7 +186,7 @@ def search(index: Index, queries: DataFrame, o: Options = Options(), terms: Data
         rows = folded(index, scores)
     else:
         rows = scores.join(index.pages.select("page_id", "slug", "head", "state", "sup_block"), "page_id").withColumn("lifted", F.lit(False)).withColumn("stale", F.lit(False))
-    ranked = cut(rows.withColumn("rank", _rank(["qid"], F.desc("score"), "page_id")))
+    ranked = cut(rows.withColumn("rank", _rank(["qid"], F.desc(F.round("score", 9)), "page_id")))
     final = cut(with_stale(ranked, o))
     return with_evidence(index, final, blocks).select("qid", "rank", "page_id", "slug", F.round("score", 6).alias("score"), "blocks", "head", "state")
 
@@ -205,7 +206,7 @@ def with_evidence(index: Index, final: DataFrame, blocks: DataFrame) -> DataFram
     """`final` with blocks: the supersedes block of a lifted head, the block of the strongest edge, the best blocks; else, for heads
     that versions lifted, the first block with evidence."""
     lex = blocks.filter("ev").join(final.select("qid", "page_id"), ["qid", "page_id"], "left_semi")
-    lex = lex.withColumn("r_", _rank(["qid", "page_id"], F.desc("score"), F.desc("pos"))).filter(F.col("r_") <= fixed.MAX_EVIDENCE)
+    lex = lex.withColumn("r_", _rank(["qid", "page_id"], F.desc(F.round("score", 6)), F.desc("pos"))).filter(F.col("r_") <= fixed.MAX_EVIDENCE)
     named = lex.join(index.blocks.select("page_id", "pos", "block_id"), ["page_id", "pos"])
     listed = named.groupBy("qid", "page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r_", "block_id"))), lambda x: x["block_id"]).alias("lex_"))  # three at most
     first = index.blocks.filter("ev").groupBy("page_id").agg(F.min_by("block_id", "pos").alias("first_"))

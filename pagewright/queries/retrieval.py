@@ -46,7 +46,7 @@ SELECT c.qid, n_terms, posted_terms, round(posted_terms::DOUBLE / n_terms, 6) AS
   round(coalesce(lex, 0), 4) AS raw_top, round(coalesce(c_, 0), 4) AS content_raw_top, round(coalesce(b_, 0), 4) AS top_block_impact, round(coalesce(best, 0), 4) AS top1_best_block,
   coalesce(n, 0) AS top1_n_blocks, round(coalesce(lex, 0) * posted_terms::DOUBLE / n_terms, 4) AS raw_x_cov FROM
 (SELECT qid, count(*) AS n_terms, count(df) AS posted_terms, sum(idf) AS alls, coalesce(sum(idf) FILTER (df IS NOT NULL), 0) AS got FROM qterm GROUP BY qid) c
-LEFT JOIN (SELECT qid, arg_min(lex, r) AS lex, arg_min(best, r) AS best, arg_min(n, r) AS n, max(content_lex) AS c_ FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lex DESC, page_id) AS r FROM pages_) GROUP BY qid) t USING (qid)
+LEFT JOIN (SELECT qid, arg_min(lex, r) AS lex, arg_min(best, r) AS best, arg_min(n, r) AS n, max(content_lex) AS c_ FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(lex, 6) DESC, page_id) AS r FROM pages_) GROUP BY qid) t USING (qid)
 LEFT JOIN (SELECT qid, max(score) AS b_ FROM blks GROUP BY qid) b USING (qid)""", "lex"))
 def coverage_signals(spark, d):
     _, _, w, b = _parts(spark, d)

@@ -86,17 +86,17 @@ facts AS (SELECT p.page_id, p.slug, p.type, 1 AS labels, count(b.pos) AS n_block
     "rel": """
 rel AS (SELECT qid, page_id, (best + 0.25::DOUBLE * CASE WHEN n_body > 0 THEN 1 / (0.75::DOUBLE + 0.25::DOUBLE * n_body / avg_body) ELSE 1.0::DOUBLE END * rest)
   * CASE WHEN type IN ('concept', 'entity', 'synthesis') THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN labels > 200 OR facts.n_blocks > 300 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS rel
-  FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lex DESC, page_id) AS r FROM pages_) JOIN facts USING (page_id), stats WHERE r <= 200),
+  FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(lex, 6) DESC, page_id) AS r FROM pages_) JOIN facts USING (page_id), stats WHERE r <= 200),
 rell AS (SELECT *, rel / CASE WHEN max(rel) OVER (PARTITION BY qid) = 0 THEN 1 ELSE max(rel) OVER (PARTITION BY qid) END AS l FROM rel)""",
     "graph": """
-seed AS (SELECT qid, page_id AS src, l AS mass FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, page_id) AS r FROM rell) WHERE r <= 30),
+seed AS (SELECT qid, page_id AS src, l AS mass FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rel, 6) DESC, page_id) AS r FROM rell) WHERE r <= 30),
 s1 AS (SELECT qid, src, dst, own_block, mass * CASE WHEN w >= 1 THEN w / count(*) FILTER (w >= 1) OVER (PARTITION BY qid, src) ELSE w END AS m FROM seed JOIN adj USING (src)),
-g1 AS (SELECT qid, dst, max(m) AS m, arg_min(own_block, {'a': -m, 'b': src}) AS own FROM s1 GROUP BY 1, 2),
-f1 AS (SELECT qid, dst AS src, m AS mass FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY m DESC, dst) AS r FROM g1) WHERE r <= 50),
+g1 AS (SELECT qid, dst, max(m) AS m, arg_min(own_block, {'a': -round(m, 9), 'b': src}) AS own FROM s1 GROUP BY 1, 2),
+f1 AS (SELECT qid, dst AS src, m AS mass FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(m, 9) DESC, dst) AS r FROM g1) WHERE r <= 50),
 s2 AS (SELECT qid, src, dst, own_block, mass * CASE WHEN w >= 1 THEN w / count(*) FILTER (w >= 1) OVER (PARTITION BY qid, src) ELSE w END AS m FROM f1 JOIN adj USING (src)),
 s2b AS (SELECT s2.* FROM s2 ANTI JOIN s1 ON s1.qid = s2.qid AND s1.src = s2.dst AND s1.dst = s2.src),
-g2 AS (SELECT qid, dst, max(m) AS m, arg_min(own_block, {'a': -m, 'b': src}) AS own FROM s2b GROUP BY 1, 2),
-graph AS (SELECT qid, page_id, sum(g) AS g, arg_min(own, {'a': -g, 'b': step}) AS own FROM (
+g2 AS (SELECT qid, dst, max(m) AS m, arg_min(own_block, {'a': -round(m, 9), 'b': src}) AS own FROM s2b GROUP BY 1, 2),
+graph AS (SELECT qid, page_id, sum(g) AS g, arg_min(own, {'a': -round(g, 9), 'b': step}) AS own FROM (
   SELECT qid, dst AS page_id, m AS g, own, 0 AS step FROM g1 UNION ALL SELECT qid, dst, m * 0.5::DOUBLE, own, 1 FROM g2) GROUP BY 1, 2)""",
     "comb": """
 comb AS (SELECT qid, page_id, coalesce(l, 0) + 0.85::DOUBLE * least(coalesce(g, 0), 1.0::DOUBLE) * (1 - coalesce(l, 0)) AS score, own FROM rell FULL JOIN graph USING (qid, page_id))""",
@@ -111,10 +111,10 @@ sc AS (SELECT e.qid, e.page_id, e.own, e.head, CASE WHEN e.head <> e.page_id THE
     "nofold": """
 sc AS (SELECT c.qid, c.page_id, c.own, coalesce(h.head, c.page_id) AS head, score, false AS stale, false AS lifted FROM comb c LEFT JOIN head h USING (page_id))""",
     "final": """
-ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_id) AS rank FROM sc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, page_id) AS rank FROM sc),
 final AS (SELECT r.* FROM ranked r WHERE rank <= 10 OR (stale AND EXISTS (SELECT 1 FROM ranked b WHERE b.qid = r.qid AND b.rank <= 10 AND b.page_id = r.head))),
 top3 AS (SELECT qid, page_id, list(block_id ORDER BY r) AS lex FROM (
-  SELECT b.qid, b.page_id, i.block_id, row_number() OVER (PARTITION BY b.qid, b.page_id ORDER BY score DESC, b.pos DESC) AS r FROM blks b JOIN iblk i ON i.page_id = b.page_id AND i.pos = b.pos WHERE b.ev) WHERE r <= 3 GROUP BY 1, 2),
+  SELECT b.qid, b.page_id, i.block_id, row_number() OVER (PARTITION BY b.qid, b.page_id ORDER BY round(score, 6) DESC, b.pos DESC) AS r FROM blks b JOIN iblk i ON i.page_id = b.page_id AND i.pos = b.pos WHERE b.ev) WHERE r <= 3 GROUP BY 1, 2),
 supb AS (SELECT page_id, arg_min(block_id, ord) AS sup_block FROM link WHERE kind = 'supersedes' AND dst IS NOT NULL GROUP BY 1),
 firstev AS (SELECT page_id, arg_min(block_id, pos) AS first FROM iblk WHERE ev GROUP BY 1),
 hos AS (SELECT DISTINCT qid, head AS page_id FROM final WHERE stale),
