@@ -7,23 +7,24 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pagewright.functions import fixed
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(x: pd.Series) -> pd.Series:
     """Unicode NFC, trimmed; null is empty. Needed only where sources aren't in NFC already."""
     return x.fillna("").map(lambda s: unicodedata.normalize("NFC", s).strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     """Unicode NFKC; null is empty."""
     return x.fillna("").map(lambda s: unicodedata.normalize("NFKC", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(x: pd.Series) -> pd.Series:
     """NFC, trimmed and case-folded, for keys of text beyond ASCII."""
     return x.fillna("").map(lambda s: unicodedata.normalize("NFC", s).strip().casefold())
