@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import small_batches
 
 #: Entries in each of the two generations of a worker's memo, for pieces and for pairs. Results don't depend on it.
-MEMO = 300_000
+MEMO = 200_000
 #: Pieces handled at once, so that a very long text needs little memory besides itself.
 CHUNK = 200_000
 
@@ -84,13 +84,13 @@ class BytePairCodec:
         found = (self.ranks.get(t[:n]) for n in range(len(t) - 1, 0, -1))
         return next((j for j in found if j is not None and (self.size[j] == 1 or self.parts[j])), None)
 
-    def _neighbours(self, pair: tuple[int, int]) -> bool:
-        """Whether the merges can leave these two tokens side by side.
+    def _neighbours(self, pair: int) -> bool:
+        """Whether the merges can leave two tokens (packed as left << 32 | right) side by side.
 
         The later of the two merges along the border is undone again and again; a pair that could merge at a moment
         before either side had become whole would have been merged.
         """
-        left, right = pair
+        left, right = pair >> 32, pair & 0xFFFFFFFF
         before = 1 << 62
         while True:
             if self.merged.get((left, right), before) < before:
@@ -119,7 +119,7 @@ class BytePairCodec:
         at, wanted = 0, longest[0]
         while at < n:
             end = at + size[wanted]
-            if open_[end] and (not out or neighbours[out[-1], wanted]):
+            if open_[end] and (not out or neighbours[out[-1] << 32 | wanted]):
                 out.append(wanted)
                 at = end
                 wanted = longest[at] if at < n else 0

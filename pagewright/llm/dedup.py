@@ -19,6 +19,8 @@ from pagewright.llm.common import checkpointed
 
 #: Bytes of a block.
 BLOCK_BYTES = 2048
+#: Names of a task on the levels above the blocks, about.
+NAMES = 100_000
 #: Deleted before texts are compared.
 WHITE = "[\\x20\\x09-\\x0D]+"
 
@@ -59,7 +61,7 @@ def block_names(df: DataFrame, raw: str, carried: list[Column], size: int = BLOC
     at = at.join(names, ["h1", "h2"]).select("row", "pos", "name", F.lit(0).alias("level"))
     # rows with one block are done; `most` bounds the number of levels
     size_of = F.size("blocks")
-    most = rows.agg(F.max(size_of)).first()[0] or 1
+    most, total = rows.agg(F.coalesce(F.max(size_of), F.lit(1)), F.coalesce(F.sum(size_of), F.lit(0))).first()
     rows = rows.select(*own, size_of.alias("n"))
     if most == 1:
         return rows.drop("n").join(at.select("row", "level", "name"), "row").drop("row")
@@ -67,11 +69,13 @@ def block_names(df: DataFrame, raw: str, carried: list[Column], size: int = BLOC
     at = at.join(rows.filter("n > 1").select("row", "n"), "row")
     while most > 1:
         level += 1
+        total = total // 2 + 1
+        parts = max(8, total // NAMES)
         half = F.shiftright("pos", 1)
         side = lambda odd: F.max(F.when(F.col("pos") % 2 == odd, F.col("name")))
-        pairs = checkpointed(at.groupBy("row", "n", half.alias("pos")).agg(side(0).alias("a"), F.coalesce(side(1), F.lit(-1)).alias("b")))
+        pairs = checkpointed(at.groupBy("row", "n", half.alias("pos")).agg(side(0).alias("a"), F.coalesce(side(1), F.lit(-1)).alias("b")).coalesce(parts))
         at = pairs.join(_named(pairs.select("a", "b"), "a", "b"), ["a", "b"])
-        at = checkpointed(at.select("row", F.shiftright(F.col("n") + 1, 1).alias("n"), "pos", "name", F.lit(level).alias("level")))
+        at = checkpointed(at.select("row", F.shiftright(F.col("n") + 1, 1).alias("n"), "pos", "name", F.lit(level).alias("level")).coalesce(parts))
         done = done.unionByName(at.filter("n = 1").select("row", "pos", "name", "level"))
         at = at.filter("n > 1")
         most = (most + 1) // 2

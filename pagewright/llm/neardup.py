@@ -41,6 +41,8 @@ SLACK = 8.0
 SAME = int(M * PERCENT / 100 - 5 * math.sqrt(M * PERCENT / 100 * (1 - PERCENT / 100)))
 #: Rows of blocks that are handled at once in step 4, about.
 CHUNK = 4_000
+#: Edges of a task in the search for components, about.
+EDGES = 100_000
 #: Members of a block in step 4.
 BLOCK = 512
 #: So many classes (of some 50 bytes) are broadcast to the texts at most; more meet them in a shuffle.
@@ -262,13 +264,15 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     before = signature(e)
+    parts = max(8, before[0] // EDGES)
+    e = e.coalesce(parts)
     while before[0]:
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").coalesce(parts)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        e = checkpointed(small.filter("a <> b").distinct())
+        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).coalesce(parts)
+        e = checkpointed(small.filter("a <> b").distinct().coalesce(parts))
         now = signature(e)
         if now == before:
             break
@@ -305,7 +309,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     links = checkpointed(_verified(likely, classes, texts))
     found = checkpointed(components(links))
     more = _across(members, found, sketch, classes, texts)
-    if more is not None:
+    if more is not None and not more.isEmpty():
         found = components(links.union(more))
 
     # rows of one key are one document: their sets' components are one, too
