@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -115,28 +115,40 @@ def build(kb: KnowledgeBase, clean=None, with_paths: bool = False) -> Index:
 TABLES = Index._fields
 
 
-def publish(index: Index, path: str, spark: SparkSession, version: str) -> str:
-    """Writes all tables to a new folder below `path` and then points to it. A reader sees the old tables or the new ones, never both.
+def publish(index: Index, path: str, spark: SparkSession, version: int = 0) -> str:
+    """Writes all tables to a new folder below `path` and then adds its number to the list of versions.
 
-    Postings are sorted by term, so that a term's rows lie in few row groups, whose statistics let a query skip the others.
+    The number is added in one commit after all tables are whole, so a reader sees the old tables or the new ones. Postings are
+    sorted by term: a term's rows lie in few row groups, whose statistics let a query skip the others.
     """
     folder = f"{path}/tables-{version}"
     for name in TABLES:
         t = getattr(index, name)
-        t = t.repartitionByRange("term").sortWithinPartitions("term", "page_id", "pos") if name in ("postings", "terms") else t
+        t = t.repartitionByRange("term").sortWithinPartitions("term") if name in ("postings", "terms") else t
         t.write.mode("overwrite").parquet(f"{folder}/{name}")
-    pointer = json.dumps({"version": INDEX_VERSION, "folder": f"tables-{version}"})
-    spark.createDataFrame([(pointer,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(INDEX_VERSION).alias("schema")).coalesce(1).write.mode("append").json(f"{path}/versions")
     return folder
 
 
+def latest(path: str, spark: SparkSession) -> int | None:
+    """The number of the version that was published last, or None."""
+    try:
+        row = spark.read.schema("version long, schema string").json(f"{path}/versions").orderBy(F.desc("version")).first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+    if row and row.schema != INDEX_VERSION:
+        raise ValueError(f"{path}: index version {row.schema!r}, not {INDEX_VERSION!r}")
+    return row.version if row else None
+
+
 def open_published(path: str, spark: SparkSession) -> Index:
-    """The tables that were published last; fails if they are of another version."""
-    row = spark.read.text(f"{path}/current").first()
-    pointer = json.loads(row[0]) if row else {}
-    if pointer.get("version") != INDEX_VERSION:
-        raise ValueError(f"{path}: index version {pointer.get('version')!r}, not {INDEX_VERSION!r}")
-    return Index(*(spark.read.parquet(f"{path}/{pointer['folder']}/{name}") for name in TABLES))
+    """The tables that were published last; fails if there are none, or of another version."""
+    version = latest(path, spark)
+    if version is None:
+        raise FileNotFoundError(f"{path}: no index")
+    return Index(*(spark.read.parquet(f"{path}/tables-{version}/{name}") for name in TABLES))
 
 
 def digest(df: DataFrame) -> DataFrame:

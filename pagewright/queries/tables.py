@@ -1 +1,101 @@
-"""Queries."""
+"""Queries of addressing, context, changes and incremental maintenance."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagewright.operators import incremental
+from pagewright.operators import index as I
+from pagewright.plans import context
+from pagewright.queries import query
+from pagewright.queries.common import base, index
+from pagewright.queries.evaluation import gold
+from pagewright.queries.sql import sql
+from pagewright.sources import json_pages, tables
+
+
+@query(sql("SELECT page_id, block_id, 1 AS level, text, pos FROM blk WHERE kind = 'heading'", "blk"))
+def outline(spark, d):
+    return json_pages.outline(base(spark, d).blocks)
+
+
+@query(sql("SELECT h.block_id AS heading_id, b.page_id, b.pos, b.block_id FROM blk b JOIN blk h ON h.page_id = b.page_id AND h.kind = 'heading'", "blk"))
+def section_range(spark, d):
+    return json_pages.sections(base(spark, d).blocks)
+
+
+@query(sql("SELECT s AS selector, page_id FROM (SELECT 'doc-' || doc_id AS s, page_id FROM page WHERE doc_id % 10 = 0 UNION ALL SELECT 'Page:DOC_' || doc_id, page_id FROM page WHERE doc_id % 10 = 1)", "page"))
+def lookup_selector(spark, d):
+    p = base(spark, d).pages
+    n = F.split_part("slug", F.lit("-"), F.lit(2))
+    s = p.filter(n.cast("long") % 10 == 0).select(F.col("slug").alias("selector")).union(p.filter(n.cast("long") % 10 == 1).select(F.concat(F.lit("Page:DOC_"), n)))
+    return json_pages.find_pages(p, s)
+
+
+@query(sql("SELECT block_id AS wanted, block_id FROM blk WHERE pos = 0 UNION SELECT print, arg_min(block_id, {'a': page_id, 'b': pos}) FROM (SELECT * FROM blk WHERE print IN (SELECT print FROM blk WHERE pos = 1)) GROUP BY print", "blk"))
+def get_blocks(spark, d):
+    b = base(spark, d).blocks
+    wanted = b.filter("pos = 0").select(F.col("block_id").alias("wanted")).union(b.filter("pos = 1").select(F.split_part("block_id", F.lit(":"), F.lit(3))))
+    return json_pages.find_blocks(b, spark.createDataFrame([], "old_id string, block_id string"), wanted)
+
+
+@query("""SELECT * FROM (VALUES ('/a~1b/0', '7'), ('/m~0n', 'x'), ('/a~1b/3', NULL), ('/none', NULL)) AS v(pointer, value)""")
+def json_pointer(spark, d):
+    v = F.parse_json(F.lit('{"a/b":[7],"m~n":"x"}'))
+    paths = ("/a~1b/0", "/m~0n", "/a~1b/3", "/none")
+    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(p).alias("pointer"), json_pages.pointer(v, p).cast("string").alias("value")) for p in paths))))
+
+
+@query("SELECT 'page:doc-' || doc_id AS page_id, CASE doc_id % 10 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'modified' END AS change FROM documents WHERE doc_id % 10 IN (0, 1, 2) AND text IS NOT NULL")
+def map_delta(spark, d):
+    t = tables.table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.concat(F.lit("page:doc-"), "doc_id").alias("page_id"), F.sha2("text", 256).alias("sha256"))
+    old = t.filter("doc_id % 10 <> 0")
+    new = t.filter("doc_id % 10 <> 1").withColumn("sha256", F.when(F.col("doc_id") % 10 == 2, F.lit("other")).otherwise(F.col("sha256")))
+    return incremental.changes(old, new)
+
+
+@query("SELECT 'raw/' || doc_id || '.txt' AS rel FROM documents WHERE doc_id % 3 <> 0")
+def pending_raw(spark, d):
+    t = tables.table(spark, d, "documents")
+    raw = t.select(F.concat(F.lit("raw/"), "doc_id", F.lit(".txt")).alias("rel"))
+    refs = t.filter("doc_id % 3 = 0").select(F.concat(F.lit("raw:./x/raw/"), "doc_id", F.lit(".txt")).alias("ref"))
+    return json_pages.pending(raw, refs)
+
+
+@query(sql("SELECT 'postings' AS name, count(*) AS n_rows, true AS equal FROM post UNION ALL SELECT 'terms', count(*), true FROM term UNION ALL SELECT 'adjacency', (SELECT count(*) FROM adj), true UNION ALL SELECT 'blocks', count(*), true FROM iblk", "post", "adj"))
+def incremental_equals_full(spark, d):
+    """An index without each tenth page's last body, brought up to date, against the index built anew."""
+    kb, full = base(spark, d), index(spark, d)
+    some = kb.pages.filter(F.split_part("slug", F.lit("-"), F.lit(2)).cast("long") % 10 == 3).select("page_id")
+    short = kb.blocks.join(some, "page_id", "left_anti").unionByName(kb.blocks.join(some, "page_id", "left_semi").filter("pos < 2"))
+    moved = incremental.apply(I.build(kb._replace(blocks=short)), kb, some)
+    out = None
+    for name in ("postings", "terms", "adjacency", "blocks"):
+        a, b = getattr(full, name), getattr(moved, name)
+        one = I.digest(a).crossJoin(I.digest(b.select(*a.columns)).toDF("n2", "d2"))  # one row each
+        one = one.select(F.lit(name).alias("name"), "n_rows", (F.col("digest") == F.col("d2")).alias("equal"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def render_context(spark, d):
+    """Context of each passage; text within budgets is a sequence of choices, which tests check."""
+    return context.contexts(index(spark, d), tables.questions(spark, d)).select("qid", "grade", "top", "text", F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@query(sql("SELECT qid, count(*) AS n FROM (SELECT r.*, max(score) OVER (PARTITION BY qid) AS best FROM result r) a WHERE score >= 0.5::DOUBLE * best OR (head <> page_id AND EXISTS (SELECT 1 FROM (SELECT r.*, max(score) OVER (PARTITION BY qid) AS best FROM result r) b WHERE b.qid = a.qid AND b.page_id = a.head AND b.score >= 0.5::DOUBLE * b.best)) GROUP BY qid", "comb", "head", "fold", "final"))
+def cut_filter(spark, d):
+    from pagewright.plans.search import search
+
+    return context.cut_hits(search(index(spark, d), tables.questions(spark, d))).groupBy("qid").agg(F.count("*").alias("n"))
+
+
+@query()
+def eval_three_numbers(spark, d):
+    """How often context holds a gold page, and what unrelated passages get."""
+    from pagewright.operators.evaluation import context_metrics
+
+    i = index(spark, d)
+    g = gold(spark, d)[0].join(i.pages.select("page_id", "slug"), "page_id").select("qid", "slug")
+    return context_metrics(context.contexts(i, tables.questions(spark, d)), g)
