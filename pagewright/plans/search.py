@@ -46,6 +46,23 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(T.tokens("text", query=True))).alias("term"), F.lit(1.0).alias("weight"))
 
 
+def expanded_terms(index: Index, queries: DataFrame, glossary) -> DataFrame:
+    """The terms of queries and those that a glossary adds, at half the weight or less.
+
+    An added term's idf is cut to that of the surface that called it, or a rare synonym would outweigh the word that was asked.
+    """
+    from pagewright.functions.glossary import added_terms
+
+    extra = cut(added_terms(queries, glossary))
+    n = index.stats.select("n_blocks")
+    of = lambda t: t.join(index.terms, "term", "left").crossJoin(F.broadcast(n)).withColumn("idf", idf(F.col("n_blocks"), F.coalesce("df", F.lit(0)).cast("double")))  # noqa: E731  one row
+    own = of(extra.select("qid", "term", "sources")).select("qid", "term", F.col("idf").alias("own"))
+    caps = of(extra.select("qid", F.col("term").alias("added"), F.explode("sources").alias("term"))).groupBy("qid", F.col("added").alias("term")).agg(F.max("idf").alias("cap"))
+    share = F.least(F.lit(1.0), F.coalesce("cap", "own") / F.col("own"))
+    weighed = own.join(caps, ["qid", "term"], "left").filter("own > 0").select("qid", "term", (fixed.SYNONYM_WEIGHT * F.pow(share, F.lit(fixed.IDF_POWER))).alias("weight"))
+    return query_terms(queries).unionByName(weighed)
+
+
 def weighed_terms(index: Index, terms: DataFrame) -> DataFrame:
     """`terms` with df (null if no block has the term), idf and the corpus figures."""
     known = terms.join(index.terms, "term", "left").crossJoin(F.broadcast(index.stats))  # one row of figures
