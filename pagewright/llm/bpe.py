@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import small_batches
+from pagewright.llm.common import small_batches, tidied
 
 #: Entries in each of the two generations of a worker's memo, for pieces and for pairs. Results don't depend on it.
-MEMO = 200_000
+MEMO = 120_000
 #: Pieces handled at once, so that a very long text needs little memory besides itself.
 CHUNK = 200_000
 
@@ -189,6 +189,7 @@ def encode_bpe(df: DataFrame, key: str = "doc_id", text: str = "text", *, path:
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             out = [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
             yield pa.RecordBatch.from_arrays(out + [pa.array(cols[3], pa.binary())] * with_ids, [k, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        c.memo.old, c.neighbours.old = {}, {}
 
-    out = kept.mapInArrow(run, schema)
+    out = kept.mapInArrow(tidied(run), schema)
     return out.withColumnRenamed(k, key)

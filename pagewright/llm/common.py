@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,27 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidied(run):
+    """`run`, a function of batches in a Python worker, that gives free memory back when its task is over.
+
+    Workers live on and their next task may be another operator's; an allocator keeps what was freed, which counts
+    against the executor.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        import pyarrow
+
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: memory stays with its allocator
+            pass
+
+    return wrapped
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the folder that all executors share.
 

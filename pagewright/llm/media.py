@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import small_batches
+from pagewright.llm.common import small_batches, tidied
 
 #: Payloads are padded with zero bytes to a positive multiple of this.
 UNIT = 64
@@ -251,7 +251,7 @@ def sniff_media(df: DataFrame, key: str, media: str, declared: str | None = None
             kinds = (pa.string(), pa.string(), pa.bool_(), pa.string(), files)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["key_", "declared", "detected", "corrected", "type", "files"])
 
-    return kept.mapInArrow(run, schema).withColumnRenamed("key_", key)
+    return kept.mapInArrow(tidied(run), schema).withColumnRenamed("key_", key)
 
 
 def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,7 +264,7 @@ def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([wav(pad(x)) for x in raw], pa.binary())], ["key_", "n_bytes", "media"])
 
     schema = f"key_ {kept.schema['key_'].dataType.simpleString()}, n_bytes bigint, media binary"
-    return kept.mapInArrow(run, schema).select(F.col("key_").alias(key), "n_bytes", "media", F.lit("application/octet-stream").alias("declared"))
+    return kept.mapInArrow(tidied(run), schema).select(F.col("key_").alias(key), "n_bytes", "media", F.lit("application/octet-stream").alias("declared"))
 
 
 def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -295,4 +295,4 @@ def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
 
-    return small_batches(media).select(F.col(key).alias("key_"), "n_bytes", "media", "declared").mapInArrow(run, schema).withColumnRenamed("key_", key)
+    return small_batches(media).select(F.col(key).alias("key_"), "n_bytes", "media", "declared").mapInArrow(tidied(run), schema).withColumnRenamed("key_", key)

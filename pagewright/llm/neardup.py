@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import checkpointed, small_batches
+from pagewright.llm.common import checkpointed, small_batches, tidied
 
 WORDS = 5
 #: Percent of the union that the intersection must reach.
@@ -175,7 +175,7 @@ def _likely(pairs: DataFrame) -> DataFrame:
                 ok = estimate(a, b, t.column("na").to_numpy(), t.column("nb").to_numpy())
                 yield t.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def _sketched(rows: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def _sketched(rows: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["key_", "n_shingles", "s1", "s2", "sketch"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def _sets(ids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def _sets(ids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "hashes"])
 
-    made = found.select("id", "s1", "s2", "t").mapInArrow(sets, "id bigint, hashes binary")
+    made = found.select("id", "s1", "s2", "t").mapInArrow(tidied(sets), "id bigint, hashes binary")
     return checkpointed(made.groupBy("id").agg(F.first("hashes").alias("hashes")))
 
 
@@ -248,7 +248,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     joined = pairs.join(full.withColumnsRenamed({"id": "a", "hashes": "ha"}), "a").join(full.withColumnsRenamed({"id": "b", "hashes": "hb"}), "b")
-    return joined.select("a", "b", "ha", "hb").mapInArrow(confirm, "a bigint, b bigint")
+    return joined.select("a", "b", "ha", "hb").mapInArrow(tidied(confirm), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import small_batches
+from pagewright.llm.common import small_batches, tidied
 
 #: Labelled rows of each class that the model is fitted on at most: those with the smallest hashes of their keys.
 PER_CLASS = 2000
@@ -121,7 +121,7 @@ def _with_terms(df: DataFrame, text: str) -> DataFrame:
             rows = [terms(v.as_buffer().to_pybytes() if v.is_valid else b"").tobytes() for v in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.binary())], ["label", "terms"])
 
-    return small_batches(df).select("key_", "label", F.col(text).cast("string").cast("binary")).mapInArrow(run, "label int, terms binary")
+    return small_batches(df).select("key_", "label", F.col(text).cast("string").cast("binary")).mapInArrow(tidied(run), "label int, terms binary")
 
 
 def held_out(key: str) -> Column:
@@ -172,4 +172,4 @@ def classify(df: DataFrame, model: Voters, text: str = "text", score: str = "sco
                 out.append(m.score(np.stack([terms(v.as_buffer().to_pybytes() if v.is_valid else b"") for v in rows[i : i + BLOCK]])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], [*b.schema.names, score])
 
-    return as_bytes.mapInArrow(run, schema)
+    return as_bytes.mapInArrow(tidied(run), schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import checkpointed, small_batches
+from pagewright.llm.common import checkpointed, small_batches, tidied
 
 #: Bytes of a record's block at most, and records of an archive file at most: a file has 32 MB or less.
 SEGMENT = 16_384
@@ -104,7 +104,7 @@ def write_warc(caps: DataFrame, path: str) -> None:
                 out += records(str(i), u, p.as_buffer().to_pybytes(), d, None if r is None else str(r))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    lines = small_batches(caps).select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, "record binary")
+    lines = small_batches(caps).select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(tidied(run), "record binary")
     lines.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).mode("overwrite").text(path)
 
 
@@ -151,7 +151,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    segments = spark.read.format("binaryFile").load(path).select("content").mapInArrow(split, schema)
+    segments = spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidied(split), schema)
     # only the segments of what was split meet in a shuffle; a capture of one record is whole where it is read
     whole = segments.filter("type IS NOT NULL AND total IS NOT NULL").select("origin", F.expr("array(block)").alias("blocks"), F.lit(True).alias("ok"), "type", "url", "digest", "refers")
     cut = segments.filter("type IS NULL OR total IS NULL")
@@ -186,7 +186,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in out.split(", ")])
 
-    return whole.unionByName(joined).mapInArrow(decode, out)
+    return whole.unionByName(joined).mapInArrow(tidied(decode), out)
 
 
 def archive_folder(spark: SparkSession) -> str:
