@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import gzip
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,20 +61,30 @@ def _record(head: dict, block: bytes) -> bytes:
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def records(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> list[bytes]:
-    """The records of one capture, each without the line ends behind it. A revisit has no payload."""
-    name = f"<urn:page:{page_id}>"
-    head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": name, "WARC-Date": DATE, "WARC-Target-URI": url.replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http;msgtype=response"}
+def _urn(key) -> str:
+    """A key in a record's name: k and its text in percent encoding, or n for null."""
+    return "urn:page:n" if key is None else "urn:page:k" + quote(str(key), safe="")
+
+
+def _key(urn: str) -> str | None:
+    bare = urn.strip("<>").removeprefix("urn:page:").split(":")[0]
+    return unquote(bare[1:]) if bare[0] == "k" else None
+
+
+def records(page_id, url: str, payload: bytes, digest: str, refers_to=None, revisit: bool = False, row: int = 0) -> list[bytes]:
+    """The records of one capture, each without the line ends behind it. A revisit has no payload. `row` tells captures of one key apart."""
+    name = f"<{_urn(page_id)}:{row}>"
+    head = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": name, "WARC-Date": DATE, "WARC-Target-URI": url.replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http;msgtype=response"}
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\nX-Payload-Length: {len(payload)}\r\n\r\n".encode()
-    if refers_to is not None:
-        return [_record(head | {"WARC-Refers-To": f"<urn:page:{refers_to}>", "WARC-Profile": PROFILE}, http)]
+    if revisit:
+        return [_record(head | {"WARC-Refers-To": f"<{_urn(refers_to)}>", "WARC-Profile": PROFILE}, http)]
     block = http + frame(payload)
     parts = [block[i : i + SEGMENT] for i in range(0, len(block), SEGMENT)]
     if len(parts) == 1:
         return [_record(head, block)]
     out = [_record(head | {"WARC-Segment-Number": 1}, parts[0])]
     for n, part in enumerate(parts[1:], 2):
-        more = {"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:page:{page_id}:{n}>", "WARC-Date": DATE, "WARC-Segment-Origin-ID": name, "WARC-Segment-Number": n}
+        more = {"WARC-Type": "continuation", "WARC-Record-ID": f"<{_urn(page_id)}:{row}:{n}>", "WARC-Date": DATE, "WARC-Segment-Origin-ID": name, "WARC-Segment-Number": n}
         out.append(_record(more | ({"WARC-Segment-Total-Length": len(block)} if n == len(parts) else {}), part))
     return out
 
@@ -81,17 +92,17 @@ def records(page_id: str, url: str, payload: bytes, digest: str, refers_to: str
 def captures(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Pages with payload, payload_digest and refers_to: of equal payloads of LEAST bytes or more, the smallest key is the response.
 
-    Keys must be distinct and not null, as they name records. Only digests and keys are shuffled to find equal payloads.
+    Rows of that key are all responses; a null key comes after all others. Only digests and keys are shuffled to find equal payloads.
     """
     raw = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), raw.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
     first = rows.filter(F.octet_length("payload") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     first = checkpointed(first.filter("n > 1").select("payload_digest", "first"))
-    again = F.when(F.octet_length("payload") < LEAST, None).when(F.col("first") != F.col("page_id"), F.col("first"))
+    again = (F.octet_length("payload") >= LEAST) & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     # payloads are only shuffled where more digests occur again than may be broadcast
     few = F.broadcast(first) if first.count() <= FEW else first
-    return rows.join(few, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", again.alias("refers_to"))
+    return rows.join(few, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", F.when(again, F.col("first")).alias("refers_to"), F.monotonically_increasing_id().alias("row"))
 
 
 def write_warc(caps: DataFrame, path: str) -> None:
@@ -100,11 +111,11 @@ def write_warc(caps: DataFrame, path: str) -> None:
     def run(batches):
         for b in batches:
             out = []
-            for i, u, p, d, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                out += records(str(i), u, p.as_buffer().to_pybytes(), d, None if r is None else str(r))
+            for i, u, p, d, r, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+                out += records(i, u, p.as_buffer().to_pybytes(), d, r, r is not None, n)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    lines = small_batches(caps).select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(tidied(run), "record binary")
+    lines = small_batches(caps).select("page_id", "url", "payload", "payload_digest", "refers_to", "row").mapInArrow(tidied(run), "record binary")
     lines.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).mode("overwrite").text(path)
 
 
@@ -167,7 +178,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches):
         import hashlib
 
-        bare = lambda s: s and s.removeprefix("<urn:page:").removesuffix(">")
         for b in batches:
             rows = []
             for origin, blocks, ok, kind, url, digest, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -181,7 +191,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     payload = unframe(body) if fields.get(b"transfer-encoding") == b"chunked" else body
                     if f"sha256:{hashlib.sha256(payload).hexdigest()}" != digest or len(payload) != n:
                         raise ValueError(f"{origin}: the payload isn't what its digest says")
-                rows.append((bare(origin), url, kind, digest.removeprefix("sha256:"), bare(refers), n, payload))
+                rows.append((_key(origin), url, kind, digest.removeprefix("sha256:"), _key(refers) if refers else None, n, payload))
             cols = list(zip(*rows, strict=True)) or [()] * 7
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in out.split(", ")])
@@ -200,8 +210,8 @@ def archive_folder(spark: SparkSession) -> str:
 def round_trip(pages: DataFrame, path: str, key: str = "page_id") -> DataFrame:
     """Writes pages as WARC files to `path`, reads them back and gives page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A null html is an empty payload, a null url an empty one. Keys that are null or repeated can't name records: the write of
-    such rows fails when they are read back. An empty table gives no rows. Other columns are not read. Lengths and digests are
+    A null html is an empty payload, a null url an empty one. Null and repeated keys and repeated rows are captures of their own. An empty
+    table gives no rows. Other columns are not read. Lengths and digests are
     of the full payload; a revisit's are those that its record states, which are its response's.
     """
     kind = pages.schema[key].dataType

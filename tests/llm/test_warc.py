@@ -44,5 +44,16 @@ def test_bad_archives(spark, tmp_path):
         W.unframe(b"5\r\nabc\r\n0\r\n\r\n")
 
 
+def test_null_and_repeated_keys(spark, tmp_path):
+    long = "z" * 150
+    rows = [(None, "u", long), (4, "u", long), (4, "u", long), (2, None, long), (None, None, None), (7, "u", "s"), (7, "u", "other")]
+    got = sorted((tuple(x)[0], x.payload_bytes, x.record_type, x.refers_to) for x in W.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "n")).collect() if x.page_id)
+    assert got == [(2, 150, "response", None), (4, 150, "revisit", 2), (4, 150, "revisit", 2), (7, 1, "response", None), (7, 5, "response", None)]
+    nulls = [x for x in W.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "m")).collect() if x.page_id is None]
+    assert sorted((x.payload_bytes, x.record_type, x.refers_to) for x in nulls) == [(0, "response", None), (150, "revisit", 2)]
+    odd = spark.createDataFrame([("a:b>\n", "u", "x")], "page_id string, url string, html string")
+    assert W.round_trip(odd, str(tmp_path / "o")).first().page_id == "a:b>\n"
+
+
 def test_empty(spark, tmp_path):
     assert W.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string"), str(tmp_path / "e")).count() == 0
