@@ -187,3 +187,17 @@ def op1_lsa_quality(spark, sf_dir):
     model = quality.train(documents, table(spark, sf_dir, "labels"))
     scored = quality.classify(documents, model).withColumn("held_out", quality.held_out("doc_id"))
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= quality.ACCEPT, 1).otherwise(0).alias("predicted"))
+
+
+ORACLE_SQL["op10_setsketch_neardup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both_ >= 75 * (a.n + b.n - both_)),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT doc_id AS x, doc_id AS m FROM documents UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.x WHERE r.m < e.y)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, d.doc_id = m AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(m) AS m FROM r GROUP BY x) USING (doc_id)
+"""
