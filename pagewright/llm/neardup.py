@@ -6,8 +6,8 @@ chance that a register agrees grows with the similarity. Steps:
 
 1. One pass over the texts gives each row its set's size, a 128-bit name of the set, and the sketch (one byte a register).
    Rows with equal sets form a class; only classes go on.
-2. ROWS registers make a band; classes that agree in a band share a bucket. Each member is compared with its bucket's head,
-   not with all: a group of many near copies becomes a few stars.
+2. ROWS registers make a band; classes that agree in a band share a bucket. In the first STAR_BANDS bands each member is compared with
+   its bucket's head, not with all: a group of many near copies becomes a few stars.
 3. A pair's similarity is first estimated from both sketches by maximum likelihood; pairs for which the threshold is out of the
    question (by a likelihood ratio of 4 standard deviations) are dropped, the others are verified on the full sets.
 4. Links make components. Buckets that then still hold several components get all their pairs across components compared, in
@@ -32,6 +32,8 @@ WORDS = 5
 #: Percent of the union that the intersection must reach.
 PERCENT = 75
 BANDS, ROWS = 51, 5
+#: Bands whose buckets' members are compared with the head in step 2.
+STAR_BANDS = 12
 M = BANDS * ROWS
 #: Base of the registers' logarithm, and what is added so that they fit a byte for sets of up to about 1e6 members; beyond, they are clamped.
 BASE, SHIFT = 1.1, 40
@@ -303,7 +305,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     heads = checkpointed(bands.groupBy("bucket").agg(F.min(F.col("id").bitwiseXOR(own)).bitwiseXOR(own).alias("head"), F.count("*").alias("n")).filter("n > 1"))
     members = checkpointed(bands.join(heads, "bucket").select("bucket", "id", "head", "n"))
 
-    stars = members.filter("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
+    # stars of some bands join most of what belongs together; what they miss is found across components, in all bands
+    stars = members.filter((F.col("id") != F.col("head")) & (F.col("bucket") % 64 < STAR_BANDS)).select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
     a, b = (sketch.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     likely = checkpointed(_likely(stars.join(a, "a").join(b, "b")))
     links = checkpointed(_verified(likely, classes, texts))
