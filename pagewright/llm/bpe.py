@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import small_batches, tidied
 
-#: Entries in each of the two generations of a worker's memo, for pieces and for pairs. Results don't depend on it.
-MEMO = 120_000
+#: Entries in each of the two generations of a worker's memo, for pieces and for pairs of tokens. Results don't depend on them.
+MEMO, PAIRS = 300_000, 100_000
 #: Pieces handled at once, so that a very long text needs little memory besides itself.
 CHUNK = 200_000
 
@@ -31,12 +31,12 @@ CHUNK = 200_000
 class _Memo(dict):
     """A dict that computes what it lacks. When it is full it becomes the old generation, from which used entries return."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, most=MEMO):
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -62,7 +62,7 @@ class BytePairCodec:
         self.automaton.make_automaton()
         self.merged = {p: i for i, p in self.parts.items() if p}
         self.shorter = _Memo(self._shorter)
-        self.neighbours = _Memo(self._neighbours)
+        self.neighbours = _Memo(self._neighbours, PAIRS)
         self.memo = _Memo(self._packed)
         self.decimal = {i: str(i) for i in self.token}
 
