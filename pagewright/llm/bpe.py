@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import small_batches, tidied
 
 #: Entries in each of the two generations of a worker's memo, for pieces and for pairs of tokens. Results don't depend on them.
-MEMO, PAIRS = 300_000, 100_000
+MEMO, PAIRS = 120_000, 60_000
 #: Pieces handled at once, so that a very long text needs little memory besides itself.
 CHUNK = 200_000
 
