@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import fixed
 from pagewright.functions import text as T
+from pagewright.plans.cut import cut
 
 
 def fields(pages: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -25,17 +29,46 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 def token_strengths(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     """token, page_id, strength (weighted over the fields) of the pages in which each distinct token is found.
 
-    Each page is held against the distinct tokens of all queries, a stated set that is sent to all tasks; only hits are kept.
+    The distinct tokens of a batch of queries, and their prefixes down to the least length, go into one Aho-Corasick automaton, with
+    which each field is read once: time grows with the text and its hits, not with the number of tokens. `match_strength` is the
+    same rule for one token as a column.
     """
-    distinct = tokens.select("token").distinct()
-    pairs = docs.crossJoin(F.broadcast(distinct))  # the tokens of a batch of queries
-    total = sum((weight * T.match_strength(F.col("token"), F.col(name)) for name, weight in fixed.FIELD_WEIGHTS.items()), F.lit(0.0))
-    return pairs.select("token", "page_id", total.alias("strength")).filter("strength > 0")
+    words = sorted(r[0] for r in tokens.select("token").distinct().collect())  # of a batch of queries
+    names = list(fixed.FIELD_WEIGHTS)
+    weights = list(fixed.FIELD_WEIGHTS.values())
+
+    def run(frames):
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        of: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            least = 2 if re.fullmatch("[가-힣]+", w) else 4
+            for n in range(min(least, len(w)), len(w) + 1):
+                of.setdefault(w[:n], []).append(i)
+        for p in of:
+            a.add_word(p, p)
+        a.make_automaton()
+        for f in frames:
+            out: list[tuple[str, str, float]] = []
+            for row in f.itertuples(index=False):
+                total: dict[int, float] = {}
+                for name, weight in zip(names, weights, strict=True):
+                    best: dict[int, int] = {}
+                    for p in {p for _, p in a.iter(getattr(row, name) or "")} if words else ():
+                        for i in of[p]:
+                            best[i] = max(best.get(i, 0), len(p))
+                    for i, n in best.items():
+                        total[i] = total.get(i, 0.0) + weight * n / len(words[i])
+                out += [(words[i], row.page_id, t) for i, t in total.items()]
+            yield pd.DataFrame(out, columns=["token", "page_id", "strength"])
+
+    return docs.select("page_id", *names).mapInPandas(run, "token string, page_id string, strength double")
 
 
 def rank(docs: DataFrame, tokens: DataFrame, strengths: DataFrame | None = None) -> DataFrame:
     """qid, rank, page_id, score, matched, wordy (whether a matched token isn't a number), n_tokens."""
-    hits = token_strengths(docs, tokens) if strengths is None else strengths
+    hits = cut(token_strengths(docs, tokens)) if strengths is None else strengths
     n = docs.agg(F.count("*").alias("n"))
     df = hits.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", F.log(1.0 + F.col("n") / (1.0 + F.col("df"))).alias("idf"))  # one row
     asked = tokens.groupBy("qid").agg(F.count("*").alias("n_tokens"))

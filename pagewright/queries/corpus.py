@@ -40,11 +40,10 @@ def term_df(spark, d):
     return index(spark, d).terms
 
 
-@query(sql("SELECT p.term, p.page_id, p.pos, p.tf, b.len, round(b.mult, 4) AS mult FROM post p JOIN iblk b ON b.page_id = p.page_id AND b.pos = p.pos WHERE p.term IN (SELECT term FROM term WHERE df BETWEEN 2 AND 50)", "post"))
+@query(sql("SELECT p.term, p.page_id, p.pos, p.tf, b.len, round(b.mult, 4) AS mult FROM post p JOIN iblk b ON b.page_id = p.page_id AND b.pos = p.pos", "post"))
 def posting_list(spark, d):
     i = index(spark, d)
-    some = i.terms.filter("df BETWEEN 2 AND 50").select("term")
-    return i.postings.join(some, "term", "left_semi").select("term", "page_id", "pos", F.col("tf").cast("long").alias("tf"), F.col("len").cast("long").alias("len"), F.round("mult", 4).alias("mult"))
+    return i.postings.select("term", "page_id", "pos", F.col("tf").cast("long").alias("tf"), F.col("len").cast("long").alias("len"), F.round("mult", 4).alias("mult"))
 
 
 @query(sql("SELECT term, df, round(ln(1.0::DOUBLE + (n_blocks - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM term, stats", "post"))
@@ -179,9 +178,9 @@ def neighbour_pages(spark, d):
     return links.neighbours(i.links, i.pages.filter("page_id LIKE '%7'").select("page_id"))
 
 
-@query(sql("SELECT page_id, pos, left(h, 40) AS hpath FROM (SELECT page_id, pos, CASE WHEN pos = 0 THEN '' ELSE coalesce(first_value(CASE WHEN pos = 0 THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos), '') END AS h FROM blk)", "blk"))
+@query(sql("SELECT page_id, pos, h AS hpath FROM (SELECT page_id, pos, CASE WHEN pos = 0 THEN '' ELSE coalesce(first_value(CASE WHEN pos = 0 THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos), '') END AS h FROM blk)", "blk"))
 def heading_path(spark, d):
-    return I.heading_paths(base(spark, d).blocks).select("page_id", "pos", F.left("hpath", F.lit(40)).alias("hpath"))
+    return I.heading_paths(base(spark, d).blocks).select("page_id", "pos", "hpath")
 
 
 @query(sql("SELECT page_id, pos, n FROM (SELECT page_id, pos, count(*) OVER (PARTITION BY trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS all_, n_ AS n FROM blk JOIN (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, count(DISTINCT page_id) AS n_ FROM blk GROUP BY 1) x ON x.t = trim(regexp_replace(text, '\\s+', ' ', 'g'))) WHERE n >= 2", "blk"))
@@ -203,8 +202,8 @@ def clipped_texts(spark, d):
     return docs.select("doc_id", T.clip("text", 120).alias("clipped"))
 
 
-@query(sql("SELECT block_id, list_extract(string_split(block_id, ':'), 2) AS slug, CASE WHEN pos = 0 THEN 'heading' ELSE 'other' END AS kind FROM blk WHERE pos < 3", "blk"))
+@query(sql("SELECT block_id, list_extract(string_split(block_id, ':'), 2) AS slug, CASE WHEN pos = 0 THEN 'heading' ELSE 'other' END AS kind FROM blk", "blk"))
 def block_addresses(spark, d):
-    b = base(spark, d).blocks.filter("pos < 3")
+    b = base(spark, d).blocks
     a = T.split_address(F.concat(F.lit("x#"), F.col("block_id")))
     return b.select(a["block"].alias("block_id"), F.split_part("block_id", F.lit(":"), F.lit(2)).alias("slug"), F.when(F.col("pos") == 0, "heading").otherwise("other").alias("kind"))

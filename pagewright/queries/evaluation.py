@@ -125,46 +125,19 @@ def vector_topk(spark, d):
 
 
 def _prompts(spark, d):
-    """The first user turn of each eighth conversation is a prompt of the scan path."""
-    c = tables.table(spark, d, "conversations").filter("role = 'user' AND turn = 0 AND text IS NOT NULL AND conv_id % 8 = 0")
-    return c.select(F.col("conv_id").alias("qid"), F.substring("text", 1, 120).alias("text"))
+    """The first user turn of each conversation is a prompt of the scan path."""
+    c = tables.table(spark, d, "conversations").filter("role = 'user' AND turn = 0 AND text IS NOT NULL")
+    return c.select(F.col("conv_id").alias("qid"), "text")
 
 
-_SCAN_STOP = None
-
-
-def _scan_sql(select: str) -> str:
-    from pagewright.functions import fixed
-
-    stop = ", ".join(f"'{w}'" for w in fixed.SCAN_STOP_WORDS)
-    return sql(select, "blk").replace("\n" + select, f""",
-body AS (SELECT page_id, string_agg(text, ' ' ORDER BY pos) AS b FROM blk GROUP BY page_id),
-fld AS (SELECT page_id, lower(title) AS t, lower(lang) AS g, lower(source) AS p, lower(CASE WHEN length(s) <= 240 THEN s ELSE rtrim(left(s, 239)) || '…' END) AS s, lower(slug || ' ' || coalesce(b, '')) AS b
-  FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM page) LEFT JOIN body USING (page_id)),
-qt AS (SELECT DISTINCT qid, lower(tok) AS token FROM (SELECT conv_id AS qid, unnest(regexp_extract_all(left(text, 120), '[0-9A-Za-z_][0-9A-Za-z_.\\-]*|[가-힣]+')) AS tok FROM conversations WHERE role = 'user' AND turn = 0 AND text IS NOT NULL AND conv_id % 8 = 0)
-  WHERE length(tok) >= 2 AND lower(tok) NOT IN ({stop})),
-dt AS (SELECT DISTINCT token, CASE WHEN regexp_matches(token, '^[가-힣]+$') THEN 2 ELSE 4 END AS least FROM qt),
-st AS (SELECT token, page_id, 8.0::DOUBLE * {_strength('t')} + 5.0::DOUBLE * {_strength('g')} + 4.0::DOUBLE * {_strength('p')} + 4.0::DOUBLE * {_strength('s')} + 1.5::DOUBLE * {_strength('b')} AS w FROM fld, dt),
-sh AS (SELECT * FROM st WHERE w > 0),
-si AS (SELECT token, ln(1.0::DOUBLE + (SELECT count(*) FROM fld) / (1.0::DOUBLE + count(*))) AS idf FROM sh GROUP BY token),
-ss AS (SELECT qid, page_id, round(sum(idf * w), 4) AS score, count(*) AS matched, bool_or(NOT regexp_matches(token, '^[0-9]+$')) AS wordy FROM qt JOIN sh USING (token) JOIN si USING (token) GROUP BY 1, 2),
-sr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_id) AS rank FROM ss WHERE score > 0)
-{select}""")
-
-
-def _strength(c: str) -> str:
-    return f"CASE WHEN contains({c}, token) THEN 1.0::DOUBLE ELSE coalesce(list_max(list_transform(list_filter(range(least, length(token)), lambda n: contains({c}, left(token, n))), lambda n: n)), 0)::DOUBLE / length(token) END"
-
-
-@query(_scan_sql("SELECT qid, rank, page_id, score, matched FROM sr WHERE rank <= 20"))
+@query()
 def scan_rank(spark, d):
+    """The best pages of each prompt. SQL holds each token against each text and is too slow for whole tables; a test does it on small ones."""
     kb = base(spark, d)
     return scan.rank(scan.fields(kb.pages, kb.blocks), scan.query_tokens(_prompts(spark, d))).filter("rank <= 20").select("qid", "rank", "page_id", "score", "matched")
 
 
-@query(_scan_sql("""SELECT qid, CASE WHEN score >= 6 AND (c >= 0.34 OR m >= 5) THEN 'body' WHEN m > 0 AND score >= 2.5 AND (c >= 0.30 OR m >= 4) THEN 'hint' ELSE 'none' END AS verdict, coalesce(score, 0) AS top, round(c, 4) AS coverage FROM (
-SELECT q.qid, score, CASE WHEN wordy THEN matched ELSE 0 END AS m, coalesce(matched::DOUBLE / n, 0) AS c FROM (SELECT conv_id AS qid FROM conversations WHERE role = 'user' AND turn = 0 AND text IS NOT NULL AND conv_id % 8 = 0) q
-LEFT JOIN (SELECT * FROM sr WHERE rank = 1) b USING (qid) LEFT JOIN (SELECT qid, count(*) AS n FROM qt GROUP BY qid) USING (qid))"""))
+@query()
 def scan_gate(spark, d):
     kb, q = base(spark, d), _prompts(spark, d)
     return scan.gate(q, scan.rank(scan.fields(kb.pages, kb.blocks), scan.query_tokens(q)))

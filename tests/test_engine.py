@@ -238,6 +238,18 @@ def test_scan_blocks(spark, kb):
     assert got == {("page:policy-1", 1), ("page:alpha", 2), ("page:hub", 1)}
 
 
+def test_scan_rank_against_the_columns(spark, kb):
+    """The automaton gives what `match_strength` gives token by token."""
+    from pagewright.functions import text as T
+
+    docs = scan.fields(kb.pages, kb.blocks)
+    t = scan.query_tokens(asked(spark, "zebras retentions alpha-platform giraffes 30 login_rate 정책은", "the ledgers policy 2", ""))
+    total = sum((w * T.match_strength(F.col("token"), F.col(c)) for c, w in fixed.FIELD_WEIGHTS.items()), F.lit(0.0))
+    want = {(r.token, r.page_id): round(r.s, 9) for r in docs.crossJoin(t.select("token").distinct()).select("token", "page_id", total.alias("s")).filter("s > 0").collect()}
+    got = {(r.token, r.page_id): round(r.strength, 9) for r in scan.token_strengths(docs, t).collect()}
+    assert got == want and len(got) > 5
+
+
 def test_stream_follows_pages(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
     pages = {s: canonical(s, k, b) for s, (k, b) in PAGES.items()}
