@@ -26,6 +26,12 @@ LAYOUTS: dict[str, tuple[str, dict]] = {
 #: Names that layouts use for the three roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "user": "user", "assistant": "assistant", "system": "system"}
 END = "</turn>\n"
+#: Code points of roles and texts up to which `records_of` writes them into the record; beyond, the record holds their places.
+INLINE = 1 << 20
+#: Column with the turns whose places a record holds; null where the record holds them itself.
+HELD = "held_"
+#: No JSON text of fewer bytes is beyond the parser's limits: a string of 20,000,000 characters, a variant of 128 MiB.
+PARSER_BYTES = 20_000_000
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -44,12 +50,20 @@ def _read(record: Column, how: dict) -> Column:
     return F.filter(F.array(*turns), lambda x: x["text"].isNotNull())
 
 
+def _taken(turns: Column, roles: bool) -> Column:
+    """Turns whose texts, and roles if `roles`, are places in HELD, with what is there."""
+    at = lambda place: F.get(F.col(HELD), place.cast("int"))
+    role = lambda x: at(x["role"])["role"] if roles else x["role"]
+    return F.transform(turns, lambda x: F.struct(role(x).alias("role"), at(x["text"])["text"].alias("text")))
+
+
 def canonical_turns(df: DataFrame, record: str = "record", layouts: dict = LAYOUTS) -> DataFrame:
     """`df` with the columns layout (null if no mapping has the record's fingerprint) and turns (then null too).
 
     Roles are mapped by ROLES whatever their case, others stay; a null role or text is empty. Text that isn't JSON, or is larger
-    than a variant can be (128 MiB), has no layout. A record with an empty list of turns has the list's path only, which is
-    no layout's fingerprint, unless a layout shows it.
+    than the parser takes (a string of 20,000,000 characters, 128 MiB in all), has no layout. A record with an empty list of turns
+    has the list's path only, which is no layout's fingerprint, unless a layout shows it. Where the column HELD isn't null,
+    the record's strings are places in it, and roles and texts are taken from there.
     """
     spark = df.sparkSession
     names = list(layouts)
@@ -59,7 +73,10 @@ def canonical_turns(df: DataFrame, record: str = "record", layouts: dict = LAYOU
     out = df.withColumn("record_", parsed).withColumn("layout", known[fingerprint(F.col("record_"))])
     turns = F.lit(None).cast(TURNS)
     for n in names:
-        turns = F.when(F.col("layout") == n, _read(F.col("record_"), layouts[n][1])).otherwise(turns)
+        read = _read(F.col("record_"), layouts[n][1])
+        if HELD in df.columns:
+            read = F.when(F.col(HELD).isNull(), read).otherwise(_taken(read, "list" in layouts[n][1]))
+        turns = F.when(F.col("layout") == n, read).otherwise(turns)
     role = F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))
     clean = lambda x: F.struct(F.coalesce(role[F.lower(x["role"])], x["role"], F.lit("")).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text"))
     return out.withColumn("turns", F.transform(turns, clean)).drop("record_")
@@ -105,9 +122,10 @@ def masked_text(formatted: Column, loss: Column) -> Column:
 
 
 def records_of(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One JSON record per conversation (columns key, record), in the layout that its roles fit.
+    """One JSON record per conversation (columns key, record, HELD), in the layout that its roles fit.
 
-    A conversation is one record, so its rows must fit in one row; turns are ordered by turn, then role, then text (nulls first).
+    A conversation is one record, so its rows must fit in one row (2 GiB). Roles and texts of more than INLINE code points in all are
+    beyond what JSON parsers take sooner or later: they stay in HELD, and the record has their places instead. Turns are ordered by turn, then role, then text (nulls first).
     Null texts and roles are empty. Rows with a null key are one conversation. user + assistant becomes "prompt", system + user + assistant
     "instruction", conversations that start with a system turn "shares", all others "messages".
     """
@@ -117,6 +135,10 @@ def records_of(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     )
     conv = rows.groupBy(F.col(key).alias("key_")).agg(turns.alias("t"))
     roles = F.transform("t", lambda x: x["role"])
+    points = F.aggregate("t", F.lit(0).cast("long"), lambda n, x: n + F.char_length(x["role"]) + F.char_length(x["text"]))
+    places = F.transform("t", lambda x, i: F.struct(i.cast("string").alias("role"), i.cast("string").alias("text")))
+    conv = conv.select("key_", roles.alias("roles"), F.when(points > INLINE, F.col("t")).alias(HELD), F.when(points > INLINE, places).otherwise(F.col("t")).alias("t"))
+    roles = F.col("roles")
     said = lambda i: F.col("t")[i]["text"]
     of = lambda *names: roles == F.array(*map(F.lit, names))
     as_list = lambda top, a, b: F.struct(F.transform("t", lambda x: F.struct(x["text"].alias(b), x["role"].alias(a))).alias(top))
@@ -126,13 +148,21 @@ def records_of(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role:
         .when(roles[0] == "system", F.to_json(as_list("conversations", "from", "value")))
         .otherwise(F.to_json(as_list("messages", "role", "content")))
     )
-    return conv.select(F.col("key_").alias(key), record.alias("record"))
+    return conv.select(F.col("key_").alias(key), record.alias("record"), HELD)
 
 
 def format_chats(records: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
-    """One row per record of a known layout: key, layout, formatted, loss. Records of no layout are left out; `canonical_turns` shows which."""
-    known = canonical_turns(records.select(F.col(key).alias("key_"), F.col(record).alias("record")))
-    return known.filter("layout IS NOT NULL").withColumn("r", render(F.col("turns"))).select(F.col("key_").alias(key), "layout", "r.formatted", "r.loss")
+    """One row per record of a known layout: key, layout, formatted, loss.
+
+    Records of no layout are left out; `canonical_turns` shows which. One that may have none because it is beyond the parser's limits,
+    and one of `records_of`, is an error.
+    """
+    held = [HELD] if HELD in records.columns else []
+    known = canonical_turns(records.select(F.col(key).alias("key_"), F.col(record).alias("record"), *held))
+    lost = F.octet_length("record") > PARSER_BYTES if not held else F.lit(True)
+    error = F.raise_error(F.concat(F.lit("no layout is found in a record of bytes: "), F.octet_length("record").cast("string"))).cast("boolean")
+    known = known.filter(F.when(F.col("layout").isNotNull(), True).when(lost, error).otherwise(False))
+    return known.withColumn("r", render(F.col("turns"))).select(F.col("key_").alias(key), "layout", "r.formatted", "r.loss")
 
 
 def digests(formatted: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -2,6 +2,9 @@ import hashlib
 import json
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from pagewright.llm import chat
 
 SAID = "\\### Assistant: </turn> ok"
@@ -53,3 +56,34 @@ def test_layouts(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.digests(chat.format_chats(chat.records_of(df))).count() == 0
+
+
+def test_held_turns(spark, monkeypatch):
+    """Turns that a record only holds the places of give what the record itself would, in every layout."""
+    r = random.Random(2)
+    rows = [(None, 0, "user", "n"), (1, 0, "user", None), (1, 1, "assistant", "<7>"), (2, 0, "system", "s"), (2, 1, "user", "1"), (2, 2, "assistant", "0"), (3, 0, None, "")]
+    rows += [(k, t, r.choice(["user", "assistant", "system", "we\nird", "7"]), r.choice(["", "0", "#", "</turn>\n", "é😀"])) for k in range(10, 60) for t in range(r.randint(1, 15))]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    plain = chat.format_chats(chat.records_of(df)).collect()
+    monkeypatch.setattr(chat, "INLINE", -1)
+    records = chat.records_of(df)
+    assert records.filter(F.col(chat.HELD).isNull()).count() == 0
+    held = chat.format_chats(records)
+    assert {x.layout for x in plain} == {"messages", "shares", "prompt", "instruction"}
+    assert sorted(map(str, held.collect())) == sorted(map(str, plain))
+    assert {x[0]: tuple(x)[1:5] for x in chat.digests(held).collect()} == brute(rows)
+
+
+def test_beyond_the_parser(spark):
+    """No conversation is lost to a text, a role or a sum of texts that JSON parsers don't take."""
+    n = 20_000_100
+    rows = spark.range(4).select(
+        F.when(F.col("id") < 2, 1).otherwise(2).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 3, F.repeat(F.lit("r"), n)).when(F.col("id") == 1, "assistant").otherwise("user").alias("role"),
+        F.when(F.col("id") == 1, F.repeat(F.lit("x"), n)).otherwise(F.lit("q")).alias("text"),
+    )
+    got = {x.conv_id: (x.n_turns, x.loss_chars) for x in chat.digests(chat.format_chats(chat.records_of(rows))).collect()}
+    assert got == {1: (2, n), 2: (2, 0)}
+    foreign = rows.filter("turn = 1").select("conv_id", F.to_json(F.struct(F.lit("q").alias("prompt"), F.col("text").alias("response"))).alias("record"))
+    with pytest.raises(Exception, match="no layout"):
+        chat.format_chats(foreign).count()
