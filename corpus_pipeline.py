@@ -17,10 +17,24 @@ from pagewright.llm.queries import rank_file
 FEW = 200_000
 
 
-def _without_dropped(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id `decisions` keeps in at least one row. A null doc_id stays."""
-    dropped = checkpointed(decisions.groupBy("doc_id").agg(F.max("kept").alias("k")).filter("NOT k").select("doc_id"))
-    return docs.join(F.broadcast(dropped) if dropped.count() <= FEW else dropped, "doc_id", "left_anti").select(*docs.columns)
+def _by_row(docs: DataFrame) -> DataFrame:
+    """`docs` with row_: what tells a row from others, in the order in which copies stay: doc_id, nulls last, and the text."""
+    text = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return docs.withColumn("row_", F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), text.alias("text")))
+
+
+def _without_dropped(docs: DataFrame, decide) -> DataFrame:
+    """The rows of `docs` that `decide`, a function of a table and its key, keeps; doc_id doesn't join rows with different texts.
+
+    Rows with the same doc_id and text are the same row twice and stay together; without a doc_id one of them stays.
+    """
+    rows = _by_row(docs)
+    dropped = checkpointed(decide(rows, key="row_").filter("NOT kept").select("row_").distinct())
+    kept = rows.join(F.broadcast(dropped) if dropped.count() <= FEW else dropped, "row_", "left_anti")
+    if docs.filter("doc_id IS NULL").isEmpty():
+        return kept.select(*docs.columns)
+    one = kept.filter("doc_id IS NULL").groupBy("row_").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return kept.filter("doc_id IS NOT NULL").select(*docs.columns).unionByName(one)
 
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +47,12 @@ def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of equal texts."""
-    return _without_dropped(docs, dedup.dedup_exact(docs))
+    return _without_dropped(docs, dedup.dedup_exact)
 
 
 def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of near duplicates."""
-    return _without_dropped(docs, neardup.near_duplicates(docs))
+    return _without_dropped(docs, neardup.near_duplicates)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,17 @@ def test_quality_without_labels(spark, sf_dir):
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert not len(quality.train(docs, labels).vectors)
+
+
+def test_decided_by_row(spark, sf_dir):
+    """A copy goes even if another row of its doc_id stays or if it has no doc_id; different texts of one doc_id stay."""
+    w = [f"w{i}" for i in range(60)]
+    near = [*w[:-1], "other"]
+    texts = [(1, "a b c"), (2, "a b  c"), (2, "d e f"), (None, "a b c"), (None, "g h i"), (None, "g h i"), (None, " g h i"), (4, "d e f"), (6, " ".join(w)), (7, " ".join(near)), (7, "j k l"), (None, " ".join([*w, "x"]))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    exact = C.once(spark, docs, sf_dir)
+    assert rows(exact) == sorted([(2, "a b  c"), (2, "d e f"), (None, " g h i"), *texts[8:]], key=str)
+    assert rows(C.distinct_enough(spark, exact, sf_dir)) == sorted([(2, "a b  c"), (2, "d e f"), (None, " g h i"), texts[8], texts[10]], key=str)
+    stripped = sorted(((i, t.strip()) for i, t in rows(C.distinct_enough(spark, docs, sf_dir))), key=str)  # of equal sets any text may stay
+    assert stripped == sorted([(1, "a b c"), (2, "d e f"), (None, "g h i"), texts[8], texts[10]], key=str)
