@@ -107,3 +107,9 @@ def secret_labels(spark, d):
 def block_leads(spark, d):
     b = base(spark, d).blocks.filter("pos = 1").filter(~F.col("text").rlike("^\\s*(?:[-*+]|\\d+\\.)\\s"))
     return b.select("page_id", "pos", F.left(T.lead_text("text"), F.lit(60)).alias("lead"))
+
+
+@query(sql("SELECT page_id, pos, left(trim(regexp_replace(regexp_replace(regexp_replace(trim(text), '^\\s*(?:[-*+]|\\d+\\.)\\s+', ''), '[*`#|]', '', 'g'), '\\s+', ' ', 'g')), 60) AS lead FROM blk", "blk"))
+def all_block_leads(spark, d):
+    """Of all blocks, list items included, where `block_leads` has the first of a page that are none. The tables' blocks hold no [[links]]."""
+    return base(spark, d).blocks.select("page_id", "pos", F.left(T.lead_text("text"), F.lit(60)).alias("lead"))

@@ -39,6 +39,21 @@ def get_blocks(spark, d):
     return json_pages.find_blocks(b, spark.createDataFrame([], "old_id string, block_id string"), wanted)
 
 
+@query(sql("SELECT s AS selector, page_id FROM (SELECT 'doc-' || doc_id AS s, page_id FROM page UNION ALL SELECT 'Page:DOC_' || doc_id, page_id FROM page)", "page"))
+def lookup_all_selectors(spark, d):
+    """Both spellings of every page, where `lookup_selector` asks for one spelling of a fifth of the pages."""
+    p = base(spark, d).pages
+    return json_pages.find_pages(p, p.select(F.col("slug").alias("selector")).union(p.select(F.concat(F.lit("Page:DOC_"), F.split_part("slug", F.lit("-"), F.lit(2))))))
+
+
+@query(sql("SELECT block_id AS wanted, block_id FROM blk UNION SELECT print, arg_min(block_id, {'a': page_id, 'b': pos}) FROM blk GROUP BY print", "blk"))
+def get_all_blocks(spark, d):
+    """Every block by its id and by its fingerprint, where `get_blocks` asks for the first two of a page."""
+    b = base(spark, d).blocks
+    wanted = b.select(F.col("block_id").alias("wanted")).union(b.select(F.split_part("block_id", F.lit(":"), F.lit(3)).alias("wanted")))
+    return json_pages.find_blocks(b, spark.createDataFrame([], "old_id string, block_id string"), wanted)
+
+
 @query("""SELECT * FROM (VALUES ('/a~1b/0', '7'), ('/m~0n', 'x'), ('/a~1b/3', NULL), ('/none', NULL)) AS v(pointer, value)""")
 def json_pointer(spark, d):
     v = F.parse_json(F.lit('{"a/b":[7],"m~n":"x"}'))
