@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -43,6 +44,30 @@ def test_against_brute_force(spark):
         assert got[i] == brute(t), t
 
 
+def test_entropy_against_brute_force(spark):
+    """Slices of a long string overlap so that no window is lost, and the bar is met exactly."""
+    r = random.Random(7)
+    texts = ["".join(r.choice(a) for _ in range(n)) for a in ("ab1", "abcdefgh0", "Zx9+/_=-", "0123456789abcdefghijk") for n in (20, 21, 40, 400)]
+    texts += ["a1" * 3000 + "Qw3rTyUiOpAsDfGhJkL9" + "b2" * n for n in range(S.STEPS // 2 - 3020, S.STEPS // 2 - 2980)]
+    df = spark.createDataFrame([(i, t, bar) for i, t in enumerate(texts) for bar in (entropy(t) - 1e-9, entropy(t) + 1e-9)], "i int, t string, bar double")
+    assert all(x[1] == (x[0] <= entropy(texts[x[2]])) for x in df.select("bar", S.reaches(F.col("t"), F.col("bar")), "i").collect())
+
+
+def test_time_grows_with_length(spark):
+    """A candidate and a run of matches of 1 MB each take seconds, not hours."""
+    r = random.Random(8)
+    texts = ["x", "".join(r.choice("ab1") for _ in range(1_000_000)), "".join(r.choice("abcdefghijklmnop1") for _ in range(1_000_000)), "token=abcdef " * 80_000]
+    took = []
+    for i, t in enumerate(texts):
+        df = spark.createDataFrame([(i, t)], "doc_id bigint, text string")
+        q = S.scan_secrets(df)
+        began = time.time()
+        row = q.first()
+        took.append(time.time() - began)
+        assert row.n_assign == (80_000 if i == 3 else 0)
+    assert max(took[1:]) < took[0] + 6
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, "token=abcdefg"), (1, "a"), (1, "a")], "doc_id bigint, text string")
     got = sorted(map(tuple, S.scan_secrets(df).collect()), key=str)
