@@ -37,10 +37,12 @@ def wav(samples: bytes) -> bytes:
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(samples) + odd, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", len(samples)) + samples + bytes(odd)
 
 
-# Validators: f(data, at) gives the offset behind the file that begins at `at`, or None.
+# Validators: f(data, at, memo) gives the offset behind the file that begins at `at`, or None. `memo` is a dict that lives as long as one value
+# is sniffed: what one attempt has learned about a place (a chain of pages that breaks off, a stream that is no stream) isn't found out again by the
+# next, so that many magic bytes in one value take time linear in its length.
 
 
-def _riff(d: bytes, at: int) -> int | None:
+def _riff(d: bytes, at: int, memo: dict) -> int | None:
     if len(d) < at + 12:
         return None
     end = at + 8 + int.from_bytes(d[at + 4 : at + 8], "little")
@@ -55,12 +57,12 @@ def _riff(d: bytes, at: int) -> int | None:
     return end if p == end and seen and needed <= seen else None
 
 
-def _png(d: bytes, at: int) -> int | None:
+def _png(d: bytes, at: int, memo: dict) -> int | None:
     p = at + 8
     while p + 12 <= len(d):
         n = int.from_bytes(d[p : p + 4], "big")
         kind, end = d[p + 4 : p + 8], p + 12 + n
-        if end > len(d) or zlib.crc32(d[p + 4 : end - 4]) != int.from_bytes(d[end - 4 : end], "big") or (p == at + 8) != (kind == b"IHDR"):
+        if end > len(d) or (p == at + 8 and n != 13) or zlib.crc32(memoryview(d)[p + 4 : end - 4]) != int.from_bytes(d[end - 4 : end], "big") or (p == at + 8) != (kind == b"IHDR"):
             return None
         if kind == b"IEND":
             return end if n == 0 else None
@@ -68,7 +70,7 @@ def _png(d: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(d: bytes, at: int) -> int | None:
+def _gif(d: bytes, at: int, memo: dict) -> int | None:
     if len(d) < at + 14:
         return None
     p = at + 13 + (3 << ((d[at + 10] & 7) + 1) if d[at + 10] & 128 else 0)
@@ -90,7 +92,7 @@ def _gif(d: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(d: bytes, at: int) -> int | None:
+def _jpeg(d: bytes, at: int, memo: dict) -> int | None:
     p = at + 2
     while p + 4 <= len(d) and d[p] == 0xFF:
         kind = d[p + 1]
@@ -112,7 +114,7 @@ def _jpeg(d: bytes, at: int) -> int | None:
     return None
 
 
-def _bmp(d: bytes, at: int) -> int | None:
+def _bmp(d: bytes, at: int, memo: dict) -> int | None:
     if len(d) < at + 26:
         return None
     size, zero, start, header = struct.unpack_from("<IIII", d, at + 2)
@@ -120,34 +122,65 @@ def _bmp(d: bytes, at: int) -> int | None:
     return at + size if ok and at + size <= len(d) else None
 
 
-def _gzip(d: bytes, at: int) -> int | None:
-    if len(d) < at + 18 or d[at + 3] & 0xE0:
-        return None
-    z = zlib.decompressobj(31)
+def _nul(d: bytes, at: int, memo: dict) -> int:
+    """Place of the first zero byte from `at` on, or -1. Places are asked for from left to right, so the bytes are looked at once."""
+    found = memo.get("nul", -2)
+    if found == -2 or 0 <= found < at or memo["nul from"] > at:
+        found = memo["nul"] = d.find(b"\0", at)
+        memo["nul from"] = at
+    return found
+
+
+def _deflated(d: bytes, at: int) -> tuple[int, int, int] | None:
+    """What the raw deflate stream at `at` holds: its end, and length and CRC of what it unpacks to. Input and output are handled in pieces."""
+    z, p, size, crc, view = zlib.decompressobj(-15), at, 0, 0, memoryview(d)
     try:
-        data = d[at:]
-        while data and not z.eof:
-            z.decompress(data, 1 << 20)
-            data = z.unconsumed_tail
+        while not z.eof and p < len(d):
+            rest = view[p : p + (1 << 16)]
+            p += len(rest)
+            while rest and not z.eof:
+                out = z.decompress(rest, 1 << 20)
+                size, crc, rest = size + len(out), zlib.crc32(out, crc), z.unconsumed_tail
     except zlib.error:
         return None
-    return len(d) - len(z.unused_data) if z.eof else None
+    return (p - len(z.unused_data), size, crc) if z.eof else None
 
 
-def _zip(d: bytes, at: int) -> int | None:
-    end = d.find(b"PK\5\6", at)
-    while end >= 0:
-        if end + 22 > len(d):
-            return None
-        entries, size, offset, note = struct.unpack_from("<HIIH", d, end + 10)
-        stop = end + 22 + note
-        if at + offset + size == end and stop <= len(d) and (not entries or d[at + offset : at + offset + 4] == b"PK\1\2"):
-            return stop
-        end = d.find(b"PK\5\6", end + 4)
-    return None
+def _gzip(d: bytes, at: int, memo: dict) -> int | None:
+    if len(d) < at + 18 or d[at + 3] & 0xE0:
+        return None
+    flags, p = d[at + 3], at + 10
+    if flags & 4:
+        p += 2 + int.from_bytes(d[p : p + 2], "little")
+    for name in (8, 16):
+        if flags & name:
+            if (end := _nul(d, p, memo)) < 0:
+                return None
+            p = end + 1
+    start = p + 2 if flags & 2 else p
+    streams = memo.setdefault("deflate", {})
+    if start not in streams:
+        streams[start] = _deflated(d, start)
+    if streams[start] is None or (flags & 2 and zlib.crc32(memoryview(d)[at:p]) & 0xFFFF != int.from_bytes(d[p : p + 2], "little")):
+        return None
+    end, size, crc = streams[start]
+    return end + 8 if d[end : end + 8] == struct.pack("<II", crc, size & 0xFFFFFFFF) else None
+
+
+def _zip(d: bytes, at: int, memo: dict) -> int | None:
+    """The closing record tells where its archive begins, so all closing records are looked up once for the whole value."""
+    if "zip" not in memo:
+        ends: dict[int, int] = memo.setdefault("zip", {})
+        end = d.find(b"PK\5\6")
+        while 0 <= end <= len(d) - 22:
+            entries, size, offset, note = struct.unpack_from("<HIIH", d, end + 10)
+            if end + 22 + note <= len(d) and (not entries or d[end - size : end - size + 4] == b"PK\1\2"):
+                ends.setdefault(end - size - offset, end + 22 + note)
+            end = d.find(b"PK\5\6", end + 4)
+    return memo["zip"].get(at)
 
 
-def _pdf(d: bytes, at: int) -> int | None:
+def _pdf(d: bytes, at: int, memo: dict) -> int | None:
     if not (d[at + 5 : at + 6].isdigit() and d[at + 6 : at + 7] == b"."):
         return None
     first = d.find(b"%PDF-", at + 5)
@@ -155,34 +188,47 @@ def _pdf(d: bytes, at: int) -> int | None:
     return end + 5 if end >= 0 and d.find(b"startxref", at, end) >= 0 else None
 
 
-def _ogg(d: bytes, at: int) -> int | None:
-    p, serial = at, d[at + 14 : at + 18]
-    while p + 27 <= len(d) and d[p : p + 5] == b"OggS\0" and d[p + 14 : p + 18] == serial:
+def _ogg(d: bytes, at: int, memo: dict) -> int | None:
+    p, serial, broken, passed = at, d[at + 14 : at + 18], memo.setdefault("ogg", set()), []
+    while p not in broken and p + 27 <= len(d) and d[p : p + 5] == b"OggS\0" and d[p + 14 : p + 18] == serial:
+        passed.append(p)
         n = d[p + 26]
         last = d[p + 5] & 4
         p += 27 + n + sum(d[p + 27 : p + 27 + n])
-        if p > len(d):
-            return None
-        if last:
+        if last and p <= len(d):
             return p
+    broken.update(passed)  # nor does the stream end for what begins at one of its pages
     return None
 
 
-def _mp4(d: bytes, magic: int) -> int | None:
-    at = magic - 4  # the magic bytes follow the length
-    p, seen = at, set()
-    while 0 <= p and p + 8 <= len(d) and d[p + 4 : p + 8] in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"udta", b"meta", b"moof", b"sidx", b"styp", b"mfra", b"uuid", b"wide", b"pdin"):
+#: Boxes that a file of this family has at its top level.
+BOXES = frozenset((b"ftyp", b"moov", b"mdat", b"free", b"skip", b"udta", b"meta", b"moof", b"sidx", b"styp", b"mfra", b"uuid", b"wide", b"pdin"))
+
+
+def _mp4(d: bytes, magic: int, memo: dict) -> int | None:
+    p, seen, passed = magic - 4, set(), []  # the magic bytes follow the length
+    known: dict[int, int | None] = memo.setdefault("mp4", {})  # box: None if its chain is cut off, else the end of a chain of ftyp only
+    while 0 <= p and p + 8 <= len(d) and d[p + 4 : p + 8] in BOXES:
         n = int.from_bytes(d[p : p + 4], "big")
         n = int.from_bytes(d[p + 8 : p + 16], "big") if n == 1 else n
-        if n < 8 or p + n > len(d):
+        end = known.get(p, -1)
+        if end is None or (end < 0 and (n < 8 or p + n > len(d))):
+            known.update(dict.fromkeys(passed))
             return None
         seen.add(d[p + 4 : p + 8])
+        if end >= 0:
+            p = end
+            break
+        passed.append(p)
         p += n
-    return p if b"ftyp" in seen and len(seen) > 1 else None
+    if b"ftyp" in seen and len(seen) > 1:
+        return p
+    known.update(dict.fromkeys(passed, p))
+    return None
 
 
 #: Type, magic bytes, offset of the magic bytes in the file, validator.
-FORMATS: tuple[tuple[str, bytes, int, Callable[[bytes, int], int | None]], ...] = (
+FORMATS: tuple[tuple[str, bytes, int, Callable[[bytes, int, dict], int | None]], ...] = (
     ("riff", b"RIFF", 0, _riff),
     ("image/png", b"\x89PNG\r\n\x1a\n", 0, _png),
     ("image/gif", b"GIF87a", 0, _gif),
@@ -211,11 +257,11 @@ def _automaton():
 
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(type, start, end) of the valid files in `data`, outermost only, by start."""
-    found, behind = [], 0
+    found, behind, memo = [], 0, {}
     for last, i in _automaton().iter(data.decode("latin-1")):
         kind, magic, offset, valid = FORMATS[i]
         at = last + 1 - len(magic)
-        if at - offset < behind or (end := valid(data, at)) is None:
+        if at - offset < behind or (end := valid(data, at, memo)) is None:
             continue
         found.append((RIFF[data[at + 8 : at + 12]] if kind == "riff" else kind, at - offset, end))
         behind = end

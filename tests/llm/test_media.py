@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -47,6 +48,30 @@ def test_formats_alone_embedded_and_broken():
     assert M.sniff(M.wav(FILES["image/png"])) == [("audio/wav", 0, len(M.wav(FILES["image/png"])))]
 
 
+def test_many_magic_bytes_take_linear_time():
+    """1 MB of magic bytes, headers without an end and chains that break off, for each format."""
+    page = b"OggS\0\0" + bytes(8) + b"ser1" + bytes(8) + b"\0"
+    parts = [magic for _, magic, _, _ in M.FORMATS] + [b"\x1f\x8b\x08\x08" + b"x" * 20, b"PK\5\6" + bytes(16), page, struct.pack(">I", 8) + b"ftyp", b"PK\3\4PK\5\6", b"RIFF\xff\xff\0\0WAVE", b"%PDF-1."]
+    for part in parts:
+        data = part * (1_000_000 // len(part))
+        began = time.time()
+        assert len(M.sniff(data)) <= len(data) // 22
+        assert time.time() - began < 2, part
+
+
+def test_gzip_headers_and_ends():
+    """Optional header fields, wrong trailers and streams that are cut off."""
+    body = gzip.compress(b"hello" * 100)[10:]
+    for flags, extra in ((0, b""), (4, b"\3\0abc"), (8, b"name\0"), (16, b"note\0"), (28, b"\1\0xn\0c\0")):
+        head = b"\x1f\x8b\x08" + bytes([flags]) + bytes(6) + extra
+        assert M.sniff(b"--" + head + body + b"--") == [("application/gzip", 2, 2 + len(head + body))]
+        assert M.sniff(head + body[:-1]) == [] and M.sniff(head + body[:-8] + bytes(8)) == []
+    head = b"\x1f\x8b\x08\x02" + bytes(6)
+    assert len(M.sniff(head + struct.pack("<H", zlib.crc32(head) & 0xFFFF) + body)) == 1 and M.sniff(head + b"zz" + body) == []
+    big = gzip.compress(bytes(30_000_000))
+    assert M.sniff(b"x" + big) == [("application/gzip", 1, 1 + len(big))]
+
+
 def test_columns(spark):
     rows = [(1, FILES["image/png"], "image/jpeg"), (2, FILES["image/gif"], "image/gif"), (3, b"text", "text/plain"), (4, None, None), (5, b"x" + FILES["image/png"], "text/plain")]
     got = {r.id: r for r in M.sniff_media(spark.createDataFrame(rows, "id int, m binary, type string"), "id", "m", "type").collect()}
