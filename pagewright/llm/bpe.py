@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import small_batches, tidied
 
-#: Entries in each of the two generations of a worker's memo, for pieces and for pairs of tokens. Results don't depend on them.
-MEMO, PAIRS = 120_000, 60_000
+#: Entries in each of the two generations of a worker's memo, for pieces and for pairs of tokens, and characters of the longest piece
+#: that is remembered, so that a generation has some 40 MB at most. Results don't depend on them.
+MEMO, PAIRS, REMEMBERED = 120_000, 60_000, 32
 #: Pieces handled at once, so that a very long text needs little memory besides itself.
 CHUNK = 200_000
 
@@ -36,6 +37,8 @@ class _Memo(dict):
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
+        if key.__class__ is str and len(key) > REMEMBERED:
+            return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

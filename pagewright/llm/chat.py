@@ -1,8 +1,9 @@
 """Chat formatting: heterogeneous records become canonical turns, and turns become text with a loss mask.
 
-A record is a JSON text in some layout. Its fingerprint is the hash of its nested field paths and their types; the fingerprint
-selects a declarative mapping (which path holds the turns, or which paths are turns of which role). Mappings are data:
-adding a layout means adding an entry to LAYOUTS. All of it is DataFrame functions.
+A record is a JSON text in some layout. Its fingerprint is the hash of those of its nested field paths that any layout knows, so
+that further fields (a name, an id) and other types (a number as content) don't matter; the fingerprint selects a declarative
+mapping (which path holds the turns, or which paths are turns of which role). Mappings are data: adding a layout means adding an entry
+to LAYOUTS. All of it is DataFrame functions.
 
 The template writes each turn as `### role`, a line feed, the text, `</turn>` and a line feed. Inside roles and texts the
 characters that control strings begin with are escaped (backslash to \\b, `<` to \\l, `#` to \\h, and in roles a
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import bound, offsets
+
 #: name: (example record, how to read it). A list of turns is read by its path and its fields for role and text; other
 #: layouts list (role, path) in the order of the turns, and an absent or null path gives no turn.
 LAYOUTS: dict[str, tuple[str, dict]] = {
@@ -26,6 +29,7 @@ LAYOUTS: dict[str, tuple[str, dict]] = {
 #: Names that layouts use for the three roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "user": "user", "assistant": "assistant", "system": "system"}
 END = "</turn>\n"
+EMPTY_LIST = '{"%s":[]}'
 #: Code points of roles and texts up to which `records_of` writes them into the record; beyond, the record holds their places.
 INLINE = 1 << 20
 #: Column with the turns whose places a record holds; null where the record holds them itself.
@@ -33,12 +37,28 @@ HELD = "held_"
 #: No JSON text of fewer bytes is beyond the parser's limits: a string of 20,000,000 characters, a variant of 128 MiB.
 PARSER_BYTES = 20_000_000
 TURNS = "array<struct<role:string,text:string>>"
+#: Why a record has no turns.
+NOT_JSON, TOO_LARGE, UNKNOWN = "not JSON", "larger than the parser takes", "unknown layout"
+
+
+def paths_of(how: dict) -> list[tuple[str, str | None]]:
+    """Field paths that a mapping reads: (path, None), or (path of a list, field of its items)."""
+    if "list" in how:
+        return [(how["list"], None), (how["list"], how["role"]), (how["list"], how["text"])]
+    return [(path, None) for _, path in how["turns"]]
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of the nested field paths and types of a variant; null where the record is null."""
-    # a null value tells nothing of a type: it counts as a string, as all leaves of the layouts are
-    return F.xxhash64(F.replace(F.schema_of_variant(record), F.lit("VOID"), F.lit("STRING")))
+def fingerprint(record: Column, layouts: dict = LAYOUTS) -> Column:
+    """Hash of the nested field paths of a variant, of those that `layouts` know; null where the record is null."""
+    known = sorted({p for _, how in layouts.values() for p in paths_of(how)}, key=str)
+
+    def there(path, field):
+        if field is None:
+            return F.variant_get(record, path, "variant").isNotNull()
+        return F.exists(F.try_variant_get(record, path, "array<variant>"), lambda x: F.variant_get(x, "$." + field, "variant").isNotNull())
+
+    found = [F.when(F.coalesce(there(p, f), F.lit(False)), F.lit(p if f is None else f"{p}[].{f}")) for p, f in known]
+    return F.when(record.isNotNull(), F.xxhash64(F.array_join(F.array_compact(F.array(*found)), "\n")))
 
 
 def _read(record: Column, how: dict) -> Column:
@@ -57,29 +77,39 @@ def _taken(turns: Column, roles: bool) -> Column:
     return F.transform(turns, lambda x: F.struct(role(x).alias("role"), at(x["text"])["text"].alias("text")))
 
 
-def canonical_turns(df: DataFrame, record: str = "record", layouts: dict = LAYOUTS) -> DataFrame:
-    """`df` with the columns layout (null if no mapping has the record's fingerprint) and turns (then null too).
+def canonical_turns(df: DataFrame, record: str = "record", layouts: dict = LAYOUTS, aliases: dict = ROLES) -> DataFrame:
+    """`df` with the columns layout (null if no mapping has the record's fingerprint), turns (then null too) and problem (why, else null).
 
-    Roles are mapped by ROLES whatever their case, others stay; a null role or text is empty. Text that isn't JSON, or is larger
-    than the parser takes (a string of 20,000,000 characters, 128 MiB in all), has no layout. A record with an empty list of turns
-    has the list's path only, which is no layout's fingerprint, unless a layout shows it. Where the column HELD isn't null,
-    the record's strings are places in it, and roles and texts are taken from there.
+    Roles are mapped by `aliases` whatever their case, others stay; a null role or text is empty. A record whose list of turns is empty has
+    no turns. Text that isn't JSON, or is larger than the parser takes (a string of 20,000,000 characters, 128 MiB in all), has no layout,
+    nor has a record with the paths of two layouts. Where the column HELD isn't null, the record's strings are places in it, and
+    roles and texts are taken from there. No other column is changed; columns named like a result are replaced.
     """
-    spark = df.sparkSession
     names = list(layouts)
-    prints = spark.range(1).select(*(fingerprint(F.parse_json(F.lit(layouts[n][0]))) for n in names)).first()
-    parsed = F.try_parse_json(F.col(record))
-    known = F.create_map(*(F.lit(x) for p, n in zip(prints, names, strict=True) for x in (p, n)))
-    out = df.withColumn("record_", parsed).withColumn("layout", known[fingerprint(F.col("record_"))])
+    shown = df.sparkSession.range(1).select(*(fingerprint(F.parse_json(F.lit(layouts[n][0])), layouts) for n in names)).first()
+    prints = {p: n for n, p in zip(names, shown, strict=True)}
+    lists = {n: how["list"] for n, (_, how) in layouts.items() if "list" in how}
+    if lists:
+        none = df.sparkSession.range(1).select(*(fingerprint(F.parse_json(F.lit(EMPTY_LIST % path.removeprefix("$."))), layouts) for path in lists.values())).first()
+        prints |= {p: n for n, p in zip(lists, none, strict=True) if p not in prints}
+    variant = "record_"
+    while variant in df.columns:
+        variant += "_"
+    known = F.create_map(*(F.lit(x) for kv in prints.items() for x in kv))
+    out = df.withColumn(variant, F.try_parse_json(F.col(record)))
+    out = out.withColumn("layout", known[fingerprint(F.col(variant), layouts)])
     turns = F.lit(None).cast(TURNS)
     for n in names:
-        read = _read(F.col("record_"), layouts[n][1])
+        read = _read(F.col(variant), layouts[n][1])
         if HELD in df.columns:
             read = F.when(F.col(HELD).isNull(), read).otherwise(_taken(read, "list" in layouts[n][1]))
         turns = F.when(F.col("layout") == n, read).otherwise(turns)
-    role = F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))
-    clean = lambda x: F.struct(F.coalesce(role[F.lower(x["role"])], x["role"], F.lit("")).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text"))
-    return out.withColumn("turns", F.transform(turns, clean)).drop("record_")
+    role = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv)) if aliases else None
+    mapped = lambda r: F.coalesce(role[F.lower(r)], r) if aliases else r
+    clean = lambda x: F.struct(F.coalesce(mapped(x["role"]), F.lit("")).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text"))
+    large = F.octet_length(record) > PARSER_BYTES
+    problem = F.when(F.col("layout").isNotNull(), F.lit(None)).when(F.col(variant).isNotNull(), UNKNOWN).when(large, TOO_LARGE).otherwise(NOT_JSON)
+    return out.withColumn("turns", F.transform(turns, clean)).withColumn("problem", problem).drop(variant)
 
 
 def _escaped(x: Column, line: bool = False) -> Column:
@@ -95,18 +125,25 @@ def _unescaped(x: Column, line: bool = False) -> Column:
 
 
 def render(turns: Column) -> Column:
-    """Struct of the formatted text and its loss spans: (start, length) in code points of each assistant text."""
+    """Struct of the formatted text and its loss spans: start and length of each assistant text in code points, and in bytes (at, bytes)."""
     parts = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit("### "), _escaped(t["role"], True), F.lit("\n")).alias("head"), _escaped(t["text"]).alias("body")))
-    text = F.array_join(F.transform(parts, lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("out"))
 
-    def step(acc, p):
-        start = acc["at"] + F.char_length(p["head"])
-        size = F.char_length(p["body"])
-        span = F.array(F.struct(start.alias("start"), size.alias("length")))
-        return F.struct((start + size + len(END)).alias("at"), F.when(p["role"] == "assistant", F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def written(p):
+        size = lambda of: offsets(F.transform(p, lambda x: of(x["head"]) + of(x["body"]) + len(END)))  # noqa: E731  of a turn with its marks
+        placed = F.transform(
+            F.arrays_zip(p.alias("p"), size(F.char_length).alias("c"), size(F.octet_length).alias("b")),
+            lambda x: F.struct(
+                x["p"]["role"].alias("role"),
+                F.struct(
+                    (x["c"] + F.char_length(x["p"]["head"])).alias("start"), F.char_length(x["p"]["body"]).cast("long").alias("length"),
+                    (x["b"] + F.octet_length(x["p"]["head"])).alias("at"), F.octet_length(x["p"]["body"]).cast("long").alias("bytes"),
+                ).alias("span"),
+            ),
+        )
+        text = F.array_join(F.transform(p, lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
+        return F.struct(text.alias("formatted"), F.transform(F.filter(placed, lambda x: x["role"] == "assistant"), lambda x: x["span"]).alias("loss"))
 
-    return F.struct(text.alias("formatted"), F.aggregate(parts, zero, step, lambda acc: acc["out"]).alias("loss"))
+    return bound(parts, written)
 
 
 def parse(formatted: Column) -> Column:
@@ -117,8 +154,9 @@ def parse(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, loss: Column) -> Column:
-    """All text under the loss spans, unescaped."""
-    return _unescaped(F.array_join(F.transform(loss, lambda s: F.substring(formatted, s["start"] + 1, s["length"])), ""))
+    """All text under the loss spans, unescaped. It is cut out of the bytes, as looking for code points would walk from the start for each span."""
+    cut = lambda raw: F.transform(loss, lambda s: F.substring(raw, (s["at"] + 1).cast("int"), s["bytes"].cast("int")).cast("string"))
+    return _unescaped(F.array_join(bound(formatted.cast("binary"), cut), ""))
 
 
 def records_of(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -126,14 +164,15 @@ def records_of(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role:
 
     A conversation is one record, so its rows must fit in one row (2 GiB). Roles and texts of more than INLINE code points in all are
     beyond what JSON parsers take sooner or later: they stay in HELD, and the record has their places instead. Turns are ordered by turn, then role, then text (nulls first).
-    Null texts and roles are empty. Rows with a null key are one conversation. user + assistant becomes "prompt", system + user + assistant
+    Null texts and roles are empty. A null key names no conversation, so each row with one is a conversation of its own (however many
+    there are, they never meet in one row). user + assistant becomes "prompt", system + user + assistant
     "instruction", conversations that start with a system turn "shares", all others "messages".
     """
     turns = F.transform(
         F.array_sort(F.collect_list(F.struct(F.col(turn).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")))),
         lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")),
     )
-    conv = rows.groupBy(F.col(key).alias("key_")).agg(turns.alias("t"))
+    conv = rows.groupBy(F.col(key).alias("key_"), F.when(F.col(key).isNull(), F.monotonically_increasing_id()).alias("own_")).agg(turns.alias("t"))
     roles = F.transform("t", lambda x: x["role"])
     points = F.aggregate("t", F.lit(0).cast("long"), lambda n, x: n + F.char_length(x["role"]) + F.char_length(x["text"]))
     places = F.transform("t", lambda x, i: F.struct(i.cast("string").alias("role"), i.cast("string").alias("text")))
@@ -151,18 +190,22 @@ def records_of(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     return conv.select(F.col("key_").alias(key), record.alias("record"), HELD)
 
 
-def format_chats(records: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
-    """One row per record of a known layout: key, layout, formatted, loss.
+def format_chats(records: DataFrame, key: str = "conv_id", record: str = "record", aliases: dict = ROLES) -> DataFrame:
+    """One row per record: key, layout, formatted, loss, problem.
 
-    Records of no layout are left out; `canonical_turns` shows which. One that may have none because it is beyond the parser's limits,
-    and one of `records_of`, is an error.
+    A record without turns of a known layout has a problem instead of a layout, a text and spans; none is left out. `aliases` are other names
+    of roles, which foreign layouts use; rows whose roles must come out as they are have none.
     """
     held = [HELD] if HELD in records.columns else []
-    known = canonical_turns(records.select(F.col(key).alias("key_"), F.col(record).alias("record"), *held))
-    lost = F.octet_length("record") > PARSER_BYTES if not held else F.lit(True)
-    error = F.raise_error(F.concat(F.lit("no layout is found in a record of bytes: "), F.octet_length("record").cast("string"))).cast("boolean")
-    known = known.filter(F.when(F.col("layout").isNotNull(), True).when(lost, error).otherwise(False))
-    return known.withColumn("r", render(F.col("turns"))).select(F.col("key_").alias(key), "layout", "r.formatted", "r.loss")
+    known = canonical_turns(records.select(F.col(key).alias("key_"), F.col(record).alias("record"), *held), aliases=aliases)
+    return known.withColumn("r", F.when(F.col("turns").isNotNull(), render(F.col("turns")))).select(F.col("key_").alias(key), "layout", "r.formatted", "r.loss", "problem")
+
+
+def format_rows(rows: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Formatted conversations from rows by turn, with roles as they are. A conversation that could not be formatted is an error, never left out."""
+    done = format_chats(records_of(rows, key), key, aliases={})
+    error = F.raise_error(F.concat(F.lit("a conversation can't be formatted: "), F.col("problem")))
+    return done.withColumn("formatted", F.when(F.col("problem").isNull(), F.col("formatted")).otherwise(error))
 
 
 def digests(formatted: DataFrame, key: str = "conv_id") -> DataFrame:

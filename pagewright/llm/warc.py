@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import checkpointed, small_batches, tidied
+from pagewright.llm.common import checkpointed, shared_folder, small_batches, tidied
 
 #: Bytes of a record's block at most, and records of an archive file at most: a file has 32 MB or less.
 SEGMENT = 16_384
@@ -71,38 +71,51 @@ def _key(urn: str) -> str | None:
     return unquote(bare[1:]) if bare[0] == "k" else None
 
 
-def records(page_id, url: str, payload: bytes, digest: str, refers_to=None, revisit: bool = False, row: int = 0) -> list[bytes]:
-    """The records of one capture, each without the line ends behind it. A revisit has no payload. `row` tells captures of one key apart."""
-    name = f"<{_urn(page_id)}:{row}>"
+def _name(key, row: int, digest: str | None) -> str:
+    """A record's name: its key and what tells it from other captures of that key: the digest of the response that revisits refer to, else a row number."""
+    return f"<{_urn(key)}:{digest or row}>"
+
+
+def records(page_id, url: str, payload: bytes, digest: str, refers_to=None, revisit: bool = False, row: int = 0, named: bool = False) -> list[bytes]:
+    """The records of one capture, each without the line ends behind it. A revisit has no payload.
+
+    A response that is `named` can be referred to: its name is its key and digest, as a revisit, which has the same digest, writes it.
+    All other captures are told apart by `row`.
+    """
+    name = _name(page_id, row, digest if named else None)
     head = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": name, "WARC-Date": DATE, "WARC-Target-URI": url.replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http;msgtype=response"}
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\nX-Payload-Length: {len(payload)}\r\n\r\n".encode()
     if revisit:
-        return [_record(head | {"WARC-Refers-To": f"<{_urn(refers_to)}>", "WARC-Profile": PROFILE}, http)]
+        return [_record(head | {"WARC-Refers-To": _name(refers_to, 0, digest), "WARC-Profile": PROFILE}, http)]
     block = http + frame(payload)
     parts = [block[i : i + SEGMENT] for i in range(0, len(block), SEGMENT)]
     if len(parts) == 1:
         return [_record(head, block)]
     out = [_record(head | {"WARC-Segment-Number": 1}, parts[0])]
     for n, part in enumerate(parts[1:], 2):
-        more = {"WARC-Type": "continuation", "WARC-Record-ID": f"<{_urn(page_id)}:{row}:{n}>", "WARC-Date": DATE, "WARC-Segment-Origin-ID": name, "WARC-Segment-Number": n}
+        more = {"WARC-Type": "continuation", "WARC-Record-ID": f"{name[:-1]}:{n}>", "WARC-Date": DATE, "WARC-Segment-Origin-ID": name, "WARC-Segment-Number": n}
         out.append(_record(more | ({"WARC-Segment-Total-Length": len(block)} if n == len(parts) else {}), part))
     return out
 
 
 def captures(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Pages with payload, payload_digest and refers_to: of equal payloads of LEAST bytes or more, the smallest key is the response.
+    """Pages with payload, payload_digest, refers_to, row and named: of equal payloads of LEAST bytes or more, the smallest key is the response.
 
-    Rows of that key are all responses; a null key comes after all others. Only digests and keys are shuffled to find equal payloads.
+    Rows of that key are all responses, of which one is `named`; a null key comes after all others. Only digests, keys and row numbers are
+    shuffled to find equal payloads. (Row numbers only decide which of several wholly equal responses is the named one, so
+    they must come out alike when `pages` is read twice, as they do from a table.)
     """
     raw = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), raw.alias("payload"))
+    rows = pages.select(F.col(key).alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), raw.alias("payload"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
-    first = rows.filter(F.octet_length("payload") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = checkpointed(first.filter("n > 1").select("payload_digest", "first"))
-    again = (F.octet_length("payload") >= LEAST) & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    first = rows.filter(F.octet_length("payload") >= LEAST).groupBy("payload_digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("null"), "page_id", "row")).alias("f"), F.count("*").alias("n"))
+    first = checkpointed(first.filter("n > 1").select("payload_digest", F.col("f.page_id").alias("first"), F.col("f.row").alias("first_row")))
+    long = F.octet_length("payload") >= LEAST
+    again = long & F.col("first_row").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    named = long & F.coalesce(F.col("row") == F.col("first_row"), F.lit(True)) & ~again
     # payloads are only shuffled where more digests occur again than may be broadcast
     few = F.broadcast(first) if first.count() <= FEW else first
-    return rows.join(few, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", F.when(again, F.col("first")).alias("refers_to"), F.monotonically_increasing_id().alias("row"))
+    return rows.join(few, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", F.when(again, F.col("first")).alias("refers_to"), "row", again.alias("revisit"), named.alias("named"))
 
 
 def write_warc(caps: DataFrame, path: str) -> None:
@@ -111,11 +124,12 @@ def write_warc(caps: DataFrame, path: str) -> None:
     def run(batches):
         for b in batches:
             out = []
-            for i, u, p, d, r, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                out += records(i, u, p.as_buffer().to_pybytes(), d, r, r is not None, n)
+            ids, urls, _, digests, refers, rows, again, named = (None if i == 2 else c.to_pylist() for i, c in enumerate(b.columns))
+            for i, u, p, d, r, n, a, f in zip(ids, urls, b.column(2), digests, refers, rows, again, named, strict=True):
+                out += records(i, u, p.as_buffer().to_pybytes(), d, r, a, n, f)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    lines = small_batches(caps).select("page_id", "url", "payload", "payload_digest", "refers_to", "row").mapInArrow(tidied(run), "record binary")
+    lines = small_batches(caps).select("page_id", "url", "payload", "payload_digest", "refers_to", "row", "revisit", "named").mapInArrow(tidied(run), "record binary")
     lines.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).mode("overwrite").text(path)
 
 
@@ -201,10 +215,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder below the one that all executors share."""
-    import tempfile
-
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="archives-")
-    return f"{top.rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
 
 
 def round_trip(pages: DataFrame, path: str, key: str = "page_id") -> DataFrame:

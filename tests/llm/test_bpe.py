@@ -34,6 +34,14 @@ def test_long_runs(reference, text):
     assert ids(text) == reference.encode_ordinary(text)
 
 
+def test_long_pieces_are_not_remembered(reference):
+    """A memo's size in bytes is bounded: long pieces, which hardly ever return, aren't kept."""
+    c = codec(PATH, P.PATTERN)
+    for t in ("日本語" * 2000, "Zx9" * 5000, "short"):
+        assert ids(t) == reference.encode_ordinary(t)
+    assert max(map(len, [*c.memo, *c.memo.old]), default=0) <= 32
+
+
 def test_rows(spark, sf_dir, reference):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = {r.doc_id: reference.encode_ordinary(r.text or "") for r in df.collect()}

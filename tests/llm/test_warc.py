@@ -55,5 +55,24 @@ def test_null_and_repeated_keys(spark, tmp_path):
     assert W.round_trip(odd, str(tmp_path / "o")).first().page_id == "a:b>\n"
 
 
+@pytest.mark.parametrize("few", [W.FEW, 0])
+def test_references_name_records(spark, tmp_path, monkeypatch, few):
+    """Names are unique, and each WARC-Refers-To names the response in the archive that has the same digest."""
+    monkeypatch.setattr(W, "FEW", few)
+    texts = [None, "", "y" * 99, *(c * n for c in "abc" for n in (100, 40_000))] * 4
+    rows = [(i if i % 5 else None, "u", t) for i, t in enumerate(texts)] + [(3, "u", "a" * 100)] * 3 + [(None, "u", "only here" * 20), (900, "u", "twice" * 30), (900, "u", "twice" * 30)]
+    path = tmp_path / "r"
+    W.write_warc(W.captures(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(3)), str(path))
+    heads = [h for f in path.glob("part-*") for h, _ in W.parse_records(W.plain(f.read_bytes()))]
+    names = {h["warc-record-id"]: h for h in heads}
+    assert len(names) == len(heads)
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(revisits) == 6 * 3
+    for h in revisits:
+        response = names[h["warc-refers-to"]]
+        assert response["warc-type"] == "response" and response["warc-payload-digest"] == h["warc-payload-digest"]
+    assert all(h["warc-segment-origin-id"] in names for h in heads if h["warc-type"] == "continuation")
+
+
 def test_empty(spark, tmp_path):
     assert W.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string"), str(tmp_path / "e")).count() == 0
