@@ -28,6 +28,8 @@ ALPHA = 0.7
 #: Rows of a hash range, about.
 RANGE_ROWS = 20_000
 LEAST_RANGES = 64
+#: Sources that a schedule is made for at most: it is made on the driver, with some 4 slots for each, and broadcast.
+SOURCES = 10_000
 
 
 def units(weights: dict, period: int = PERIOD) -> dict:
@@ -82,11 +84,12 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dic
     `weights` are any positive numbers by source; a source that they lack gets one unit. Without weights they are the sources' row counts
     to the power ALPHA. A null source is a source of its own. Rows of one source come in the order of a hash of their key, then of the
     key and of column `tie`; of wholly equal rows any may come first. An empty table gives no rows. Columns of `df` that are named
-    like a result are replaced.
+    like a result are replaced. More than SOURCES sources are an error.
     """
     df = df.drop("block", "slot", "place", "release", "deadline")
-    # the list of sources is what weights are given for: a few rows, whatever the number of documents
-    counts = {r[0]: r[1] for r in df.groupBy(source).count().collect()}
+    counts = {r[0]: r[1] for r in df.groupBy(source).count().limit(SOURCES + 1).collect()}
+    if len(counts) > SOURCES:
+        raise ValueError(f"{source} has more than {SOURCES} values: weights and a schedule are for sources, not for single documents")
     if not counts:
         return df.select("*", *(F.lit(0).cast("long").alias(c) for c in ("block", "slot", "place", "release", "deadline")))
     chosen = {k: (n**ALPHA if weights is None else weights.get(k, 0)) for k, n in counts.items()}

@@ -132,14 +132,16 @@ def op9_pfair_mix(spark, sf_dir):
     return out.select("doc_id", "source", "block", "slot", "place", "release", "deadline")
 
 
-#: Lists of op8: the tables have no list of their own, so each second domain of a page gets dated entries by a hash of its name.
+#: Lists of op8: the tables have no list of their own, so each second host, domain and first path segment of a page gets dated entries by a hash of its name.
 LISTS = ("adult", "allow", "malware", "spam")
 
 
 def list_entries(pages):
-    """Entries (list, pattern, at, action): a domain is added, removed again, and perhaps added a second time; one host in four gets an entry of its own."""
-    host = urls.host_of(F.coalesce(F.col("url"), F.lit("")))
-    names = pages.select(host.alias("h")).filter("h <> ''").select(F.explode(F.array("h", F.regexp_extract("h", "[^.]+[.][^.]+$", 0))).alias("pattern")).filter("pattern <> ''").distinct()
+    """Entries (list, pattern, at, action): a host, a domain or a host with a path segment is added, removed again, and perhaps added a second time."""
+    url = F.coalesce(F.col("url"), F.lit(""))
+    segment = F.get(F.filter(F.split(urls.path_of(url), "/"), lambda x: x != ""), F.lit(0))
+    names = pages.select(urls.host_of(url).alias("h"), segment.alias("s")).filter("h <> ''")
+    names = names.select(F.explode(F.array("h", F.regexp_extract("h", "[^.]+[.][^.]+$", 0), F.concat_ws("/", "h", F.lower("s")))).alias("pattern")).filter("pattern <> ''").distinct()
     number = lambda i: F.conv(F.substring(F.md5("pattern"), i, 4), 16, 10).cast("int")
     day = lambda d: F.date_add(F.lit("2024-01-01").cast("date"), d)
     first = number(5) % 200
@@ -163,7 +165,7 @@ WITH u AS (SELECT page_id, regexp_replace(regexp_replace(trim(coalesce(url, ''))
                   DATE '2024-01-01' + ((page_id * 37) % 365)::INT AS day FROM pages),
 c AS (SELECT page_id, day, regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?#]*'), '^.*@', ''), ':[0-9]*$', '')), '[.]+$', '') AS host,
              list_filter(string_split(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM u),
-p AS (SELECT DISTINCT unnest([host, regexp_extract(host, '[^.]+[.][^.]+$')]) AS pattern FROM c WHERE host <> ''),
+p AS (SELECT DISTINCT unnest([host, regexp_extract(host, '[^.]+[.][^.]+$'), concat_ws('/', host, lower(parts[1]))]) AS pattern FROM c WHERE host <> ''),
 n AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 4))::INT AS a, ('0x' || substr(md5(pattern), 5, 4))::INT % 200 AS f,
              ('0x' || substr(md5(pattern), 9, 4))::INT AS b, ('0x' || substr(md5(pattern), 13, 4))::INT AS d FROM p WHERE pattern <> ''),
 e AS (SELECT (['adult', 'allow', 'malware', 'spam'])[a % 4 + 1] AS list, pattern,

@@ -11,10 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Intervals (of some 100 bytes) that are broadcast at most; more meet the captures in a shuffle that is split where a host is hot.
+from pagewright.llm.common import checkpointed
+
+#: Intervals (of some 100 bytes) that are broadcast at most; more meet the captures in a shuffle that is split where a pattern is hot.
 FEW = 50_000
-#: Each capture of a pattern goes to one of so many shares of that pattern in the shuffle, and the intervals to all.
-SALT = 8
+#: Captures of one pattern that meet in one task; a pattern that more captures try is split into shares of so many.
+SHARE = 100_000
+#: Patterns that are split at most: shares grow with the number of captures so that there can't be more.
+HOT = 10_000
 #: A list whose active entries let a capture through whatever other lists say.
 ALLOW = "allow"
 
@@ -57,6 +61,22 @@ def intervals(entries: DataFrame) -> DataFrame:
     return changes.withColumn("until", F.lead("at").over(w)).filter("action = 'add'").select("list", "pattern", F.col("at").alias("since"), "until")
 
 
+def _split_join(tried: DataFrame, active: DataFrame, holds: Column) -> DataFrame:
+    """`tried` with the intervals of `active` that hold (nulls where none does), in a shuffle by pattern.
+
+    Every capture below `com` tries `com`, whether or not it is a pattern. What many captures try is split into as many shares as
+    their number asks for, and only its own intervals are sent to each share.
+    """
+    share = max(SHARE, tried.count() // HOT)
+    hot = tried.filter("try_ IS NOT NULL").groupBy("try_").count().filter(F.col("count") > share)
+    # fewer than HOT rows, as each stands for more than a HOT-th of all that is tried
+    hot = F.broadcast(checkpointed(hot.select(F.col("try_").alias("hot_"), F.ceil(F.col("count") / share).cast("int").alias("shares_"))))
+    number = F.coalesce("shares_", F.lit(1))
+    shares = active.join(hot, F.col("pattern") == F.col("hot_"), "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), number - 1))).drop("hot_", "shares_")
+    mine = tried.join(hot, F.col("try_") == F.col("hot_"), "left").withColumn("mine_", F.when(F.col("try_").isNull(), F.col("row_")).otherwise(F.pmod(F.xxhash64("row_"), number.cast("long")))).drop("hot_", "shares_")
+    return mine.join(shares, (F.col("try_") == F.col("pattern")) & (F.col("mine_") == F.col("salt_")) & holds, "left")
+
+
 def filter_urls(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", at: str = "fetched") -> DataFrame:
     """One row per capture: key, host, lists (of active entries, sorted, joined by commas), pattern (the longest, then first, that matched), blocked.
 
@@ -71,9 +91,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, key: str = "page_id", u
     if active.limit(FEW + 1).count() <= FEW:
         joined = tried.join(F.broadcast(active), (F.col("try_") == F.col("pattern")) & holds, "left")
     else:
-        shares = active.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        salted = tried.withColumn("mine_", F.pmod(F.xxhash64("row_"), F.lit(SALT)).cast("int"))
-        joined = salted.join(shares, (F.col("try_") == F.col("pattern")) & (F.col("mine_") == F.col("salt_")) & holds, "left")
+        joined = _split_join(tried, active, holds)
     best = F.min(F.when(F.col("pattern").isNotNull(), F.struct((-F.length("pattern")).alias("n"), F.col("pattern").alias("p"))))
     judged = joined.groupBy("row_", "key_", "host").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), best.alias("b"), F.max(F.col("list") != ALLOW).alias("bad"), F.max(F.col("list") == ALLOW).alias("good"))
     return judged.select(F.col("key_").alias(key), "host", "lists", F.col("b.p").alias("pattern"), (F.coalesce("bad", F.lit(False)) & ~F.coalesce("good", F.lit(False))).alias("blocked"))

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 from pagewright.llm import mixing as X
 
 
@@ -51,6 +53,14 @@ def test_rows(spark, monkeypatch):
             assert all(abs(done[s] - u[s] * (t + 1) / 100) < 1 for s in size)
 
 
+def test_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(X, "SOURCES", 3)
+    df = spark.createDataFrame([(i, f"s{i % 4}") for i in range(9)], "doc_id bigint, source string")
+    with pytest.raises(ValueError, match="more than 3"):
+        X.mix(df, tie=None)
+    assert X.mix(df.filter("source <> 's3'"), tie=None).count() == 7
+
+
 def test_default_weights_and_empty(spark):
     df = spark.createDataFrame([(i, "t", "x" if i < 90 else "y") for i in range(100)], "doc_id bigint, text string, source string")
     assert X.mix(df).count() == 100

@@ -24,9 +24,10 @@ def brute(captures, entries):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("few", [U.FEW, 1])
-def test_against_brute_force(spark, monkeypatch, few):
+@pytest.mark.parametrize(("few", "share"), [(U.FEW, U.SHARE), (1, U.SHARE), (1, 30)])
+def test_against_brute_force(spark, monkeypatch, few, share):
     monkeypatch.setattr(U, "FEW", few)
+    monkeypatch.setattr(U, "SHARE", share)
     r = random.Random(1)
     hosts = ["a.example.com", "b.a.example.com", "example.com", "x.org", "com", "y.net"]
     paths = ["/", "/p", "/p/q", "/p//q/r", ""]
