@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import small_batches, tidied
+from pagewright.llm.common import tidied
 
 #: Entries in each of the two generations of a worker's memo, for pieces and for pairs of tokens, and characters of the longest piece
 #: that is remembered, so that a generation has some 40 MB at most. Results don't depend on them.
@@ -171,7 +171,7 @@ def encode_bpe(df: DataFrame, key: str = "doc_id", text: str = "text", *, path:
     `path` must name the rank file on every executor.
     """
     k = "key_"
-    kept = small_batches(df).select(F.col(key).alias(k), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t_"))
+    kept = df.select(F.col(key).alias(k), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t_"))
     kind = kept.schema[k].dataType.simpleString()
     schema = f"`{k}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 

@@ -18,14 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """`df`, after the session's Arrow batches have been limited, so that batches of long texts need little memory beside the heap."""
-    conf = df.sparkSession.conf
+def limit_batches(spark: SparkSession) -> None:
+    """Limits the session's Arrow batches, so that batches of long texts need little memory beside the heap.
+
+    For jobs, which own their session: the queries and the pipeline call it. No operator changes a setting; with the
+    default of 10,000 rows a batch they give the same rows and need more memory.
+    """
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        size = int(conf.get(name).rstrip("b"))
+        size = int(spark.conf.get(name).rstrip("b"))
         if size <= 0 or size > most:
-            conf.set(name, str(most))
-    return df
+            spark.conf.set(name, str(most))
 
 
 def tidied(run):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import small_batches, tidied
+from pagewright.llm.common import tidied
 
 #: Payloads are padded with zero bytes to a positive multiple of this.
 UNIT = 64
@@ -282,7 +282,7 @@ def wav_samples(data: bytes, start: int, end: int) -> bytes:
 def sniff_media(df: DataFrame, key: str, media: str, declared: str | None = None) -> DataFrame:
     """One row per row of `df`: key, declared, detected (type of the file at offset 0, or null), corrected (whether both differ),
     type (detected, else declared), files (array of type, start and length, the carved ones included). A null value has no files."""
-    kept = small_batches(df).select(F.col(key).alias("key_"), F.col(media).cast("binary").alias("m"), (F.col(declared) if declared else F.lit(None)).cast("string").alias("d"))
+    kept = df.select(F.col(key).alias("key_"), F.col(media).cast("binary").alias("m"), (F.col(declared) if declared else F.lit(None)).cast("string").alias("d"))
     schema = f"key_ {kept.schema['key_'].dataType.simpleString()}, declared string, detected string, corrected boolean, type string, files array<struct<type:string,start:bigint,length:bigint>>"
     files = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
 
@@ -302,7 +302,7 @@ def sniff_media(df: DataFrame, key: str, media: str, declared: str | None = None
 
 def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Media rows of texts: key, n_bytes (of the text in UTF-8), media (a WAVE file of the padded bytes), declared (unknown)."""
-    kept = small_batches(df).select(F.col(key).alias("key_"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
+    kept = df.select(F.col(key).alias("key_"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
 
     def run(batches):
         for b in batches:
@@ -341,4 +341,4 @@ def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
 
-    return small_batches(media).select(F.col(key).alias("key_"), "n_bytes", "media", "declared").mapInArrow(tidied(run), schema).withColumnRenamed("key_", key)
+    return media.select(F.col(key).alias("key_"), "n_bytes", "media", "declared").mapInArrow(tidied(run), schema).withColumnRenamed("key_", key)

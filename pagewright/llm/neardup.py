@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import checkpointed, small_batches, tidied
+from pagewright.llm.common import checkpointed, tidied
 
 WORDS = 5
 #: Percent of the union that the intersection must reach.
@@ -41,12 +41,14 @@ BASE, SHIFT = 1.1, 40
 SLACK = 8.0
 #: Equal registers that a pair must have before its likelihood is computed: 5 standard deviations below what the threshold gives.
 SAME = int(M * PERCENT / 100 - 5 * math.sqrt(M * PERCENT / 100 * (1 - PERCENT / 100)))
-#: Rows of blocks that are handled at once in step 4, about.
-CHUNK = 4_000
+#: Rows of blocks that are handled at once in step 4, about, and bytes of their full sets, about.
+CHUNK, CHUNK_BYTES = 4_000, 48 << 20
 #: Edges of a task in the search for components, about.
 EDGES = 100_000
-#: Members of a block in step 4.
-BLOCK = 512
+#: Members of a part of a bucket in step 4, and bytes of their full sets; a block compares two parts.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: Members of a star that are verified behind one copy of its head's set.
+STAR = 1_024
 #: So many classes (of some 50 bytes) are broadcast to the texts at most; more meet them in a shuffle.
 FEW = 100_000
 _U = np.uint64
@@ -83,14 +85,11 @@ def _powers(n: int):
     return out
 
 
-def shingles(data: bytes) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles; of fewer words, of the whole sequence; none without words.
-
-    A-Z are lower-cased, words are split at the six ASCII white-space characters.
-    """
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words in order. A-Z are lower-cased, words are split at the six ASCII white-space characters."""
     if not data:
         return np.empty(0, _U)
-    per_byte, per_word, _, _ = _tables()
+    per_byte, _, _, _ = _tables()
     b = np.frombuffer(data, np.uint8)
     white = (b == 32) | ((b >= 9) & (b <= 13))
     edge = np.flatnonzero(np.diff(white, prepend=True, append=True))
@@ -100,7 +99,15 @@ def shingles(data: bytes) -> np.ndarray:
     power, inverse = _powers(1 << max(16, len(b).bit_length()))
     total = np.zeros(len(b) + 1, _U)
     np.cumsum(per_byte[b] * power[: len(b)], out=total[1:])
-    word = _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(_U))
+    return _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(_U))
+
+
+def shingles(data: bytes) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles; of fewer words, of the whole sequence; none without words."""
+    word = word_hashes(data)
+    if not len(word):
+        return word
+    _, per_word, _, _ = _tables()
     k = min(WORDS, len(word))
     s = np.full(len(word) - k + 1, k, _U)
     for j in range(k):
@@ -168,16 +175,16 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def _likely(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of those with sketches sa, sb and sizes na, nb that may reach the threshold."""
+    """Pairs (head, id) of those with sketches sa, sb and sizes na, nb that may reach the threshold."""
 
     def run(batches):
         for t in batches:
             if t.num_rows:
                 a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, M) for c in ("sa", "sb"))
                 ok = estimate(a, b, t.column("na").to_numpy(), t.column("nb").to_numpy())
-                yield t.select(["a", "b"]).filter(pa.array(ok))
+                yield t.select(["head", "id"]).filter(pa.array(ok))
 
-    return pairs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(tidied(run), "a bigint, b bigint")
+    return pairs.select("head", "id", "sa", "sb", "na", "nb").mapInArrow(tidied(run), "head bigint, id bigint")
 
 
 def _sketched(rows: DataFrame) -> DataFrame:
@@ -240,17 +247,35 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the threshold."""
-    full = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), classes, texts)
+def _verified(stars: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (head, id) of classes whose full sets reach the threshold, as (a, b).
+
+    A head's set is sent once for each STAR of its members, not once for each member: heads and members are sorted by head and
+    share, the head first, and the members' sets stream past it. So a task holds one head's set and one batch.
+    """
+    full = _sets(stars.select(F.explode(F.array("head", "id")).alias("id")), classes, texts)
+    shares = checkpointed(stars.groupBy("head").agg(F.ceil(F.count("*") / STAR).cast("int").alias("shares")))
+    few = F.broadcast(shares) if shares.count() <= FEW else shares
+    heads = full.withColumnRenamed("id", "head").join(few, "head").select("head", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("id"), "hashes")
+    members = stars.join(few, "head").select("head", F.pmod(F.xxhash64("id"), F.col("shares").cast("long")).cast("int").alias("share"), "id").join(full, "id").select("head", "share", "id", "hashes")
+    lined_up = heads.unionByName(members).repartition("head", "share").sortWithinPartitions("head", "share", F.col("id").asc_nulls_first())
 
     def confirm(batches):
-        for b in batches:
-            ok = [similar(*(np.frombuffer(v.as_buffer(), _U) for v in xy)) for xy in zip(b.column(2), b.column(3), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        head, own = None, None
+        for t in batches:
+            a, b = [], []
+            for h, i, v in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2), strict=True):
+                x = np.frombuffer(v.as_buffer(), _U)
+                if i is None:
+                    head, own = h, x.copy()  # its batch goes
+                elif h != head:
+                    raise ValueError("a member without its head")
+                elif similar(own, x):
+                    a.append(min(h, i))
+                    b.append(max(h, i))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    joined = pairs.join(full.withColumnsRenamed({"id": "a", "hashes": "ha"}), "a").join(full.withColumnsRenamed({"id": "b", "hashes": "hb"}), "b")
-    return joined.select("a", "b", "ha", "hb").mapInArrow(tidied(confirm), "a bigint, b bigint")
+    return lined_up.select("head", "id", "hashes").mapInArrow(tidied(confirm), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -290,7 +315,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     (similarity 1). A repeated key is one document with the links of all its rows, so its rows are kept or not together; a
     null key comes after all others as a component_id. An empty table gives no rows. Other columns are not read.
     """
-    texts = small_batches(df).select(F.col(key).alias("key_"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
+    texts = df.select(F.col(key).alias("key_"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
     base = checkpointed(_sketched(texts).withColumn("row", F.monotonically_increasing_id()))
     full = base.filter("s1 IS NOT NULL")
     # of each set one row, by (key, row), nulls last: what is shuffled is pre-aggregated, however many rows have the set
@@ -306,9 +331,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     members = checkpointed(bands.join(heads, "bucket").select("bucket", "id", "head", "n"))
 
     # stars of some bands join most of what belongs together; what they miss is found across components, in all bands
-    stars = members.filter((F.col("id") != F.col("head")) & (F.col("bucket") % 64 < STAR_BANDS)).select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
-    a, b = (sketch.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    likely = checkpointed(_likely(stars.join(a, "a").join(b, "b")))
+    stars = members.filter((F.col("id") != F.col("head")) & (F.col("bucket") % 64 < STAR_BANDS)).select("head", "id").distinct()
+    a, b = (sketch.select(F.col("id").alias(x), F.col("sketch").alias(f"s{y}"), F.col("n").alias(f"n{y}")) for x, y in (("head", "a"), ("id", "b")))
+    likely = checkpointed(_likely(stars.join(a, "head").join(b, "id")))
     links = checkpointed(_verified(likely, classes, texts))
     found = checkpointed(components(links))
     more = _across(members, found, sketch, classes, texts)
@@ -367,25 +392,30 @@ def _across(members: DataFrame, found: DataFrame, sketch: DataFrame, classes: Da
     m = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     m = m.join(mixed, "bucket").select("bucket", "id", "component", "n").join(sketch.select("id", "sketch", F.col("n").alias("size")), "id")
-    # a bucket of n members has ceil(n / BLOCK) parts; a block compares two of them, so a member goes to as many blocks as there are parts
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    # a bucket has as many parts as its members or their sets' bytes ask for; a block compares two of them, so a member goes to as many blocks as
+    # there are parts
+    large = m.groupBy("bucket").agg(F.ceil(F.sum(F.col("size") * 8) / BLOCK_BYTES).cast("int").alias("by_bytes"))
+    large = checkpointed(large.filter("by_bytes > 1"))
+    m = m.join(F.broadcast(large) if large.count() <= FEW else large, "bucket", "left")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK).cast("int"), F.coalesce("by_bytes", F.lit(1)))
     m = m.withColumn("part", F.pmod(F.xxhash64("id"), parts.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     m = m.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "id", "component", "sketch", "size", "part")
     m = checkpointed(m)
-    # several blocks are handled at once, about CHUNK rows of them
-    chunks = m.count() // CHUNK + 1
 
-    def chunked(d):
+    def chunked(d, chunks):  # several blocks are handled at once
         return d.groupBy(F.pmod(F.xxhash64("bucket", "x", "y"), F.lit(chunks)).alias("chunk"))
 
     def flag(t):
         return t.select(["bucket", "x", "y", "id"]).take(pa.array(np.unique(np.concatenate(_pairs(t)))))
 
-    flagged = checkpointed(chunked(m).applyInArrow(flag, "bucket bigint, x int, y int, id bigint"))
+    flagged = checkpointed(chunked(m, m.count() // CHUNK + 1).applyInArrow(flag, "bucket bigint, x int, y int, id bigint"))
     if flagged.isEmpty():
         return None
     full = _sets(flagged, classes, texts)
-    m = m.join(flagged, ["bucket", "x", "y", "id"]).join(full, "id")
+    m = m.join(flagged, ["bucket", "x", "y", "id"])
+    rows, size = m.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    chunks = max(rows // CHUNK, 8 * size // CHUNK_BYTES) + 1
+    m = m.join(full, "id")
 
     def link(t):
         i, j = _pairs(t)
@@ -408,4 +438,4 @@ def _across(members: DataFrame, found: DataFrame, sketch: DataFrame, classes: Da
                 b.append(ids[q])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return checkpointed(chunked(m).applyInArrow(link, "a bigint, b bigint"))
+    return checkpointed(chunked(m, chunks).applyInArrow(link, "a bigint, b bigint"))

@@ -1,9 +1,10 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-Terms of a text are its shape: characters are mapped to classes (lower and upper case, digits, spaces, line ends, and each
+Terms of a text are of two kinds. Subwords: the runs of GRAM bytes of the lower-cased text, hashed, which tell languages, subjects and wording
+apart in any script. Shapes: characters are mapped to classes (lower and upper case, digits, spaces, line ends, and each
 punctuation mark), runs of letters, digits or spaces count as one, and singles and pairs of classes are counted, together with two
-figures of how often words repeat. Square roots of the shares, weighted by inverse document frequency, are projected on the leading singular vectors of
-a bounded sample of labelled rows. The sample's vectors are broadcast; every document's cosines with all of
+figures of how often words repeat. Square roots of a term's share in its kind, weighted by inverse document frequency, are projected on
+the leading singular vectors of a bounded sample of labelled rows. The sample's vectors are broadcast; every document's cosines with all of
 them are computed exactly, in blocks, and its nearest neighbours vote with weights that grow with their similarity.
 """
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import small_batches, tidied
+from pagewright.llm.common import tidied
 
 #: Labelled rows of each class that the model is fitted on at most: those with the smallest hashes of their keys.
 PER_CLASS = 2000
@@ -25,6 +26,8 @@ PER_CLASS = 2000
 LATENT, NEIGHBOURS, POWER, ACCEPT = 32, 15, 8, 0.7
 #: Documents whose cosines are computed at once.
 BLOCK = 256
+#: Bytes of a subword, hashed subwords (a power of 2), weight of subwords beside shapes.
+GRAM, SUBWORDS, MEANING = 6, 1024, 0.5
 
 
 @lru_cache(maxsize=1)
@@ -45,13 +48,33 @@ def _classes() -> tuple[np.ndarray, np.ndarray, int]:
     return of, np.array([name(b) in "aA0 " for b in range(256)]), len(names)
 
 
+@lru_cache(maxsize=1)
+def _folded() -> np.ndarray:
+    """Each byte as it counts in subwords: A-Z lower-cased, white space a blank."""
+    low = np.arange(256, dtype=np.uint64)
+    low[65:91] += 32
+    low[9:14] = 32
+    return low + 1
+
+
+def subwords(b: np.ndarray) -> np.ndarray:
+    """Counts of a text's hashed runs of GRAM bytes; of a shorter text the whole is one."""
+    low = _folded()[b]
+    n = max(1, len(low) - GRAM + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(min(GRAM, len(low))):
+        h = (h + low[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+    return np.bincount((h >> np.uint64(64 - SUBWORDS.bit_length() + 1)).astype(np.int64), minlength=SUBWORDS)
+
+
 def terms(text: bytes) -> np.ndarray:
-    """Term counts of a text in UTF-8; all 0 if it is empty."""
+    """Term counts of a text in UTF-8, shapes before subwords; all 0 if it is empty."""
     of, runs, k = _classes()
-    out = np.zeros(k * k + k + 11, np.float32)
+    out = np.zeros(k * k + k + 11 + SUBWORDS, np.float32)
     if not text:
         return out
     b = np.frombuffer(text, np.uint8)
+    out[-SUBWORDS:] = subwords(b)
     s = of[b]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != s[:-1]) | ~runs[b[1:]]
@@ -67,6 +90,23 @@ def terms(text: bytes) -> np.ndarray:
     return out
 
 
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Square roots of the terms' shares, those of each kind by themselves."""
+    shapes, words = counts[:, :-SUBWORDS], counts[:, -SUBWORDS:]
+    share = lambda c: np.sqrt(c / np.maximum(c.sum(axis=1, keepdims=True), 1e-9))
+    return np.concatenate((share(shapes), np.float32(MEANING) * share(words)), axis=1)
+
+
+def _axes(x: np.ndarray, n: int) -> np.ndarray:
+    """The n leading right singular vectors of x, as columns: by subspace iteration from a fixed start, in time linear in x's size."""
+    d = x.shape[1]
+    q = np.random.default_rng(0).standard_normal((d, min(d, 2 * n))).astype(np.float32)
+    for _ in range(8):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ v.T)[:, :n].astype(np.float32)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -82,8 +122,7 @@ class Voters(NamedTuple):
     prior: float
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        share = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9))
-        return _unit(_unit(share * self.idf) @ self.axes)
+        return _unit(_unit(_shares(counts) * self.idf) @ self.axes)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         """Similarity-weighted share of label 1 among the nearest labelled vectors; the prior where none is similar at all."""
@@ -105,9 +144,7 @@ def fit(counts: np.ndarray, labels: np.ndarray, share: dict[int, float]) -> Vote
         return Voters(np.ones(d, np.float32), np.zeros((d, 0), np.float32), np.zeros((0, 0), np.float32), labels, labels, prior)
     seen = (counts > 0).sum(axis=0)
     idf = np.where(seen > 1, np.log((1 + len(counts)) / (1 + seen)) + 0.3, 0).astype(np.float32)
-    x = _unit(np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9)) * idf)
-    _, vectors = np.linalg.eigh(x.T.astype(np.float64) @ x)
-    axes = vectors[:, ::-1][:, :LATENT].astype(np.float32)
+    axes = _axes(_unit(_shares(counts) * idf), LATENT)
     size = {c: max(1, int((labels == c).sum())) for c in (0, 1)}
     weights = np.array([share.get(int(c), 0) / size[int(c)] for c in labels])
     model = Voters(idf, axes, np.zeros((0, 0), np.float32), labels.astype(float), weights / max(weights.max(), 1e-300), prior)
@@ -121,7 +158,7 @@ def _with_terms(df: DataFrame, text: str) -> DataFrame:
             rows = [terms(v.as_buffer().to_pybytes() if v.is_valid else b"").tobytes() for v in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.binary())], ["label", "terms"])
 
-    return small_batches(df).select("key_", "label", F.col(text).cast("string").cast("binary")).mapInArrow(tidied(run), "label int, terms binary")
+    return df.select("key_", "label", F.col(text).cast("string").cast("binary")).mapInArrow(tidied(run), "label int, terms binary")
 
 
 def held_out(key: str) -> Column:
@@ -133,7 +170,8 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     """A model from the labelled rows that aren't held out.
 
     PER_CLASS rows of each class, those with the smallest hashes of their keys, are the sample; their classes vote by the shares
-    of all labelled rows. Labels other than 0 and 1 and null keys are ignored; of a repeated key one row is taken.
+    of all labelled rows. Labels other than 0 and 1 and null keys are ignored; of a repeated key the row
+    whose text has the least hash is taken, so that the same tables give the same model.
     """
     known = labels.filter(~held_out(key) & F.col(label).isin(0, 1)).select(F.col(key).alias("key_"), F.col(label).cast("int").alias("label"))
     known = known.groupBy("key_").agg(F.max("label").alias("label"))
@@ -142,7 +180,8 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     pick = [known.filter(F.col("label") == c).orderBy(*order).limit(PER_CLASS) for c in (0, 1)]
     sample = pick[0].union(pick[1])
     rows = documents.select(F.col(key).alias("k_"), F.col(text).alias("t_")).join(F.broadcast(sample), F.col("k_") == F.col("key_"))  # 2 * PER_CLASS keys at most
-    rows = rows.select("key_", "label", "t_").dropDuplicates(["key_"])
+    text_ = F.coalesce(F.col("t_").cast("string"), F.lit(""))
+    rows = rows.groupBy("key_", "label").agg(F.min(F.struct(F.sha2(text_.cast("binary"), 256).alias("h"), text_.alias("t"))).alias("x")).select("key_", "label", F.col("x.t").alias("t_"))
     got = _with_terms(rows, "t_").collect()
     d = len(terms(b""))
     counts = np.frombuffer(b"".join(r[1] for r in got), np.float32).reshape(-1, d)
@@ -157,7 +196,7 @@ def classify(df: DataFrame, model: Voters, text: str = "text", score: str = "sco
     A null text counts as empty. An empty text has no terms and no neighbour, so that its score is the share of label 1; without
     any labelled rows all scores are 0.5.
     """
-    kept = small_batches(df).drop(score)
+    kept = df.drop(score)
     shared = df.sparkSession.sparkContext.broadcast(model)
     place = kept.columns.index(text)
     as_bytes = kept.withColumn(text, F.col(text).cast("string"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.llm import bpe, chat, dedup, media, mixing, neardup, quality, secrets, urls, warc
-from pagewright.llm.common import table
+from pagewright.llm.common import limit_batches, table
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -26,6 +26,7 @@ def rank_file() -> tuple[str, str]:
 
 @query
 def op3_byte_bpe(spark, sf_dir):
+    limit_batches(spark)
     path, pattern = rank_file()
     return bpe.encode_bpe(table(spark, sf_dir, "documents"), path=path, pattern=pattern)
 
@@ -104,11 +105,13 @@ FROM e GROUP BY conv_id, own
 
 @query
 def op2_media_columns(spark, sf_dir):
+    limit_batches(spark)
     return media.media_features(media.store_texts(table(spark, sf_dir, "documents")))
 
 
 @query
 def op7_warc_round_trip(spark, sf_dir):
+    limit_batches(spark)
     return warc.round_trip(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
 
 
@@ -123,6 +126,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 
 @query
 def op10_setsketch_neardup(spark, sf_dir):
+    limit_batches(spark)
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -185,6 +189,7 @@ SELECT c.page_id, c.host, coalesce(lists, '') AS lists, pattern, coalesce(blocke
 
 @query
 def op1_lsa_quality(spark, sf_dir):
+    limit_batches(spark)
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(documents, table(spark, sf_dir, "labels"))
     scored = quality.classify(documents, model).withColumn("held_out", quality.held_out("doc_id"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import checkpointed, shared_folder, small_batches, tidied
+from pagewright.llm.common import checkpointed, shared_folder, tidied
 
 #: Bytes of a record's block at most, and records of an archive file at most: a file has 32 MB or less.
 SEGMENT = 16_384
@@ -129,7 +129,7 @@ def write_warc(caps: DataFrame, path: str) -> None:
                 out += records(i, u, p.as_buffer().to_pybytes(), d, r, a, n, f)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    lines = small_batches(caps).select("page_id", "url", "payload", "payload_digest", "refers_to", "row", "revisit", "named").mapInArrow(tidied(run), "record binary")
+    lines = caps.select("page_id", "url", "payload", "payload_digest", "refers_to", "row", "revisit", "named").mapInArrow(tidied(run), "record binary")
     lines.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).mode("overwrite").text(path)
 
 

@@ -99,6 +99,57 @@ def test_groups(spark):
     check(spark, rows)
 
 
+def test_small_blocks_chunks_and_shares(spark, monkeypatch):
+    """Buckets in several parts, by members and by bytes, stars in several shares, and shuffles instead of broadcasts lose no link."""
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(6):  # a family of texts that share a template and are near the threshold of each other, and some that are nearer
+        template = [r.choice(vocabulary) for _ in range(100)]
+        for i in range(30):
+            w = list(template)
+            for at in r.sample(range(100), r.choice([1, 2, 3, 4])):
+                w[at] = r.choice(vocabulary)
+            rows.append((g * 100 + i, " ".join(w)))
+    hot = [r.choice(vocabulary) for _ in range(90)]
+    rows += [(1000 + i, " ".join([*hot, f"x{i}", f"y{i}"])) for i in range(60)]
+    for name, value in {"BLOCK": 4, "BLOCK_BYTES": 3000, "CHUNK": 10, "CHUNK_BYTES": 5000, "STAR": 3, "FEW": 0, "STAR_BANDS": 2, "EDGES": 5}.items():
+        monkeypatch.setattr(N, name, value)
+    check(spark, rows)
+
+
+def test_components_of_the_tables_are_exact(spark):
+    """All documents of sf0.1 against an exact join: texts that reach the threshold share one of the rarest shingles of each."""
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    sets = {k: N.shingles((t or "").encode()) for k, t in rows}
+    values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    up = {k: k for k in sets}
+
+    def find(k):
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    index, prints = defaultdict(list), {}
+    for k, s in sets.items():
+        if (same := prints.setdefault(s.tobytes(), k)) != k and len(s):
+            up[max(find(k), find(same))] = min(find(k), find(same))
+            continue
+        rarest = s[np.lexsort((s, counts[np.searchsorted(values, s)]))]
+        seen = set()
+        for h in rarest[: len(s) - -(-3 * len(s) // 4) + 1].tolist():
+            for j in index[h]:
+                if j not in seen and find(j) != find(k):
+                    seen.add(j)
+                    both = len(np.intersect1d(s, sets[j], assume_unique=True))
+                    if 100 * both >= 75 * (len(s) + len(sets[j]) - both):
+                        up[max(find(j), find(k))] = min(find(j), find(k))
+            index[h].append(k)
+    got = {x.doc_id: x.component_id for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {k: find(k) for k in sets}
+
+
 def test_chain_and_cross_component_links(spark):
     """A chain of texts, each near its neighbours only, is one component."""
     w = [f"v{i}" for i in range(400)]

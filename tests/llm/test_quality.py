@@ -40,6 +40,33 @@ def test_votes_against_brute_force():
         assert s == pytest.approx(sum(v * y[j] for v, (_, j) in zip(w, near, strict=True)) / sum(w), rel=1e-4)
 
 
+def test_terms_carry_meaning():
+    """Texts of the same shape but of other words or another script differ, in any script."""
+    texts = ["The ships came in late.", "The trees grew up slow.", "Суда пришли поздно ночью", "Деревья растут медленно", "船は夜遅くに港へ着いた", "木は静かな森で育っている"]
+    t = [Q.terms(x.encode()) for x in texts]
+    assert all((a[-Q.SUBWORDS :] != b[-Q.SUBWORDS :]).any() for i, a in enumerate(t) for b in t[:i])
+    again = Q.terms("船は夜遅くに港へ着いた。船は夜遅くに港へ着いた".encode())[-Q.SUBWORDS :]
+    cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    assert cos(again, t[4][-Q.SUBWORDS :]) > 0.9 > 0.3 > cos(again, t[5][-Q.SUBWORDS :])
+    assert (Q.terms(b"ABC def")[-Q.SUBWORDS :] == Q.terms(b"abc\nDEF")[-Q.SUBWORDS :]).all()
+
+
+def test_axes_are_singular_vectors():
+    g = np.random.default_rng(3)
+    x = (g.standard_normal((300, 12)) * 2.0 ** -np.arange(12)) @ g.standard_normal((12, 90)) + 1e-5 * g.standard_normal((300, 90))
+    x = x.astype(np.float32)
+    _, _, v = np.linalg.svd(x)
+    assert np.abs(np.abs(np.diag(v[:6] @ Q._axes(x, 6))) - 1).max() < 1e-3
+
+
+def test_the_model_is_reproducible(spark):
+    """A repeated key gives the same row whatever the order in which rows come."""
+    rows = [(i % 5, t) for i, t in enumerate([GOOD, BAD, "x y", "1 2 3", None] * 5 + ["other text"])]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id bigint, quality int")
+    a, b = (Q.train(spark.createDataFrame(r, "doc_id bigint, text string"), labels) for r in (rows, rows[::-1]))
+    assert (a.vectors == b.vectors).all() and (a.labels == b.labels).all()
+
+
 def test_edges(spark):
     texts = [None, "", " ", GOOD, BAD, GOOD, "x" * 200_000]
     docs = spark.createDataFrame([(i, t, 9.0, "z") for i, t in enumerate(texts)] + [(None, GOOD, 9.0, None)], "doc_id bigint, text string, score double, label string")
