@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import bpe, dedup, mixing, neardup, quality
-from pagewright.llm.common import checkpointed, table
+from pagewright.llm.common import checkpointed, limit_batches, table
 from pagewright.llm.queries import rank_file
 
 #: So many dropped ids are broadcast at most; more meet the documents in a shuffle.
@@ -24,21 +24,25 @@ def _by_row(docs: DataFrame) -> DataFrame:
 
 
 def _without_dropped(docs: DataFrame, decide) -> DataFrame:
-    """The rows of `docs` that `decide`, a function of a table and its key, keeps; doc_id doesn't join rows with different texts.
+    """The rows of `docs` that `decide`, a function of a table and its key, keeps, each once.
 
-    Rows with the same doc_id and text are the same row twice and stay together; without a doc_id one of them stays.
+    It decides by row, not by doc_id: rows with the same doc_id and different texts are different documents. Rows with the same doc_id
+    and text (or with the same text and no doc_id) are one row that came several times: one of them stays, if any, the first by its other columns.
     """
     rows = _by_row(docs)
-    dropped = checkpointed(decide(rows, key="row_").filter("NOT kept").select("row_").distinct())
-    kept = rows.join(F.broadcast(dropped) if dropped.count() <= FEW else dropped, "row_", "left_anti")
-    if docs.filter("doc_id IS NULL").isEmpty():
-        return kept.select(*docs.columns)
-    one = kept.filter("doc_id IS NULL").groupBy("row_").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return kept.filter("doc_id IS NOT NULL").select(*docs.columns).unionByName(one)
+    told = decide(rows, key="row_").groupBy("row_").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    told = checkpointed(told.filter("NOT kept OR n > 1").select("row_", F.when(F.col("kept"), "repeated").otherwise("dropped").alias("told_")))
+    kept = rows.join(F.broadcast(told) if told.count() <= FEW else told, "row_", "left")
+    once = kept.filter("told_ IS NULL").select(*docs.columns)
+    if told.filter("told_ = 'repeated'").isEmpty():
+        return once
+    first = kept.filter("told_ = 'repeated'").groupBy("row_").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return once.unionByName(first)
 
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. Without labels nothing is known, and all are kept."""
+    limit_batches(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     if not len(model.vectors):
         return docs
@@ -52,6 +56,7 @@ def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of near duplicates."""
+    limit_batches(spark)
     return _without_dropped(docs, neardup.near_duplicates)
 
 
@@ -62,6 +67,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids (32-bit little-endian) in the order of the mixture."""
+    limit_batches(spark)
     path, pattern = rank_file()
     return bpe.encode_bpe(docs, path=path, pattern=pattern, with_ids=True)
 
