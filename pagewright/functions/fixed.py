@@ -75,6 +75,18 @@ CONFLICT_MARK, CURRENT_MARK, OPEN_MARK = "⚠️ 상충", "✅ 현행", "❓ 미
 WIKILINK = "\\[\\[([^\\]|#]+)(?:#([^\\]|]+))?(?:\\|([^\\]]+))?\\]\\]"
 SOURCE_REF = "^(?:page|source|raw):\\S+$|^user:\\d{4}-\\d{2}-\\d{2}$"
 DATE = "^\\d{4}-\\d{2}-\\d{2}$"
+# Patterns of Markdown that decide what a line is, and of the head of a file.
+LIST_ITEM = r"\s*(?:[-*+]|\d+\.) "
+HEADING = r"(#{1,6})\s+(.+)"
+THEMATIC_BREAK = r"\s*(?:-{3,}|\*{3,}|_{3,})\s*"
+PARAGRAPH_END = r"#{1,6}\s|```|\||\s*>|\s*(?:[-*+] |\d+\. )"
+OPEN_OWNER = r"(?mi)^[ \t]*(?:owner|담당)[ \t]*:[ \t]*(\S.*?)[ \t]*$"
+OPEN_DUE = r"(?mi)^[ \t]*(?:due|기한)[ \t]*:[ \t]*(\d{4}-\d{2}-\d{2})[ \t]*$"
+HEAD_KEY = r"([^\s:#][^:]*):[ \t]*(.*)"
+HEAD_ITEM = r"[ \t]+-[ \t]*(.*)"
+FLOW_ITEM = r"""[ \t]*(?:"([^"]*)"|'([^']*)'|([^,]*))[ \t]*(?:,|$)"""
+BLOCK_SCALARS = (">", "|", ">-", "|-", ">+", "|+")
+NULLS = ("null", "~", "")
 # Layout.
 LAYOUT_RADIUS, GOLDEN = 18.0, 0.6180339887498949
 GROUP_COLOURS = ("#65e79c", "#ff8dca", "#ffa56d", "#56e1f2", "#91a7ff", "#c69cff")

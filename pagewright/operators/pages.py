@@ -30,7 +30,7 @@ def page_of(stem: str, text: str, today: str) -> dict:
     head, body = markdown.frontmatter(text)
     slug = re.sub(r"[\s_]+", "-", markdown.norm(stem)).strip("-")
     blocks = markdown.parse(f"page:{slug}", body)
-    names = lambda k: [markdown.norm(x) for x in (head.get(k) if isinstance(head.get(k), list) else str(head.get(k) or "").split(",")) if markdown.norm(x)]
+    names = lambda k: list(dict.fromkeys(filter(None, map(markdown.norm, head.get(k) if isinstance(head.get(k), list) else str(head.get(k) or "").split(",")))))
     sources = [s if ":" in s else f"page:{s}" for s in names("sources")]
     title = next((b["data"]["text"] for b in blocks if b["kind"] == "heading" and b["data"]["level"] == 1), slug)
     links = [
@@ -40,7 +40,7 @@ def page_of(stem: str, text: str, today: str) -> dict:
     links += [{"target": t, "label": t, "anchor": "", "kind": k, "block_id": ""} for k in ("supersedes", "related") for t in names(k)]
     return {
         "schema_version": fixed.SCHEMA_VERSION, "id": f"page:{slug}", "slug": slug, "title": title, "type": str(head.get("type") or "source"), "created": str(head.get("created") or today), "updated": str(head.get("updated") or today),
-        "tags": names("tags"), "keywords": names("keywords"), "projects": names("projects"), "sources": sources, "raw_ref": head.get("raw") or None, "summary": str(head.get("summary") or "") or summary_of(blocks),
+        "tags": names("tags"), "keywords": names("keywords"), "projects": names("projects"), "sources": sources, "raw_ref": head.get("raw") or None, "summary": markdown.frontmatter_scalar(text, "summary") or summary_of(blocks),
         "blocks": {b["id"]: b for b in blocks}, "block_order": [b["id"] for b in blocks], "links": links, "history": [{"at": today, "action": "created", "actor": "ingest"}],
         "source_snapshot": {"format": "markdown", "text": text},
     }

@@ -182,7 +182,7 @@ def test_schema_errors(spark):
     schema = {"type": "object", "required": ["id"], "additionalProperties": False, "properties": {"id": {"$ref": "#/$defs/id"}, "tags": {"type": "array", "items": {"type": "string", "minLength": 2}, "uniqueItems": True}, "at": {"type": ["string", "null"], "format": "date"}}, "$defs": {"id": {"type": "string", "pattern": "^page:"}}}
     assert integrity.schema_errors({"id": "page:x", "tags": ["ab"], "at": None}, schema) == []
     got = integrity.schema_errors({"id": "x", "tags": ["a", "a"], "at": "1.1.2024", "more": 1}, schema)
-    assert len(got) == 6 and integrity.schema_errors({}, schema) == ["/: missing required 'id'"] and integrity.schema_errors([], schema)
+    assert len(got) == 6 and integrity.schema_errors({}, schema) == ["/: lacks id"] and integrity.schema_errors([], schema)
     df = integrity.json_errors(spark.createDataFrame([('{"id":"page:x"}',), ("{",), (None,)], "j string"), "j", schema)
     assert [len(r.errors) for r in df.collect()] == [0, 1, 1]
 

@@ -135,6 +135,16 @@ def test_frontmatter_round_trip():
     assert M.frontmatter("no head") == ({}, "no head")
 
 
+def test_heads():
+    """Lists in brackets and of lines, quotes, comments, block scalars, truth values and nulls; a fence is three dashes and nothing else."""
+    text = "---\na: 1\n# a comment\ntags:\n  - x\n  - 'y z'\nl: [a, \"b, c\", 'd']\nsummary: >\n  one\n\n  - two\nn: ~\nb: TRUE\n---\nbody"
+    head, body = M.frontmatter(text)
+    assert head == {"a": "1", "tags": ["x", "y z"], "l": ["a", "b, c", "d"], "summary": ">", "n": None, "b": True} and body == "body"
+    assert M.frontmatter_scalar(text, "summary") == "one - two" and M.frontmatter_scalar(text, "l") == "[a, \"b, c\", 'd']" and M.frontmatter_scalar(text, "z") is None
+    for other in ("--- \na: 1\n---\nx", "---\na: 1\n--- \nx", "---\na: 1\n---", "a: 1"):
+        assert M.frontmatter(other) == ({}, other) and M.frontmatter_scalar(other, "a") is None
+
+
 def test_html():
     h = M.page_html({"page_id": "page:p", "blocks": M.parse("page:p", PAGE)})
     assert '<a href="#" data-wiki-target="Alpha">a link</a>' in h and "<th>b | c</th>" in h and "<hr>" in h and "---" not in h
