@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.plans.cut import cut
+
 
 def query_metrics(queries: DataFrame, hits: DataFrame, gold: DataFrame, stale: DataFrame) -> DataFrame:
     """One row per query: recall and hit at 1, 5 and 10, precision at 5, mrr, ndcg, and whether something stale stands above all gold.
@@ -75,19 +77,35 @@ def _by_score(df: DataFrame, score: str, positive: str) -> DataFrame:
     return df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
 
 
+def running(df: DataFrame, order: Column, *columns: str) -> DataFrame:
+    """`df` with a running total (to the row, inclusive) of each column by `order`, whose values are distinct, without one task for all rows.
+
+    Rows are dealt to tasks by ranges of the order; a total is what lies in the ranges before plus what lies before in its own. Only one
+    row of sums for each range goes over the driver.
+    """
+    ranged = cut(df.repartitionByRange(order).withColumn("range_", F.spark_partition_id()))
+    sums = ranged.groupBy("range_").agg(*(F.sum(c).alias(c) for c in columns)).orderBy("range_").collect()
+    starts, at = [], [0] * len(columns)
+    for row in sums:
+        starts.append((row[0], *at))
+        at = [x + y for x, y in zip(at, row[1:], strict=True)]
+    before = df.sparkSession.createDataFrame(starts, "range_ int" + "".join(f", before_{c} bigint" for c in columns))
+    own = Window.partitionBy("range_").orderBy(order)
+    joined = ranged.join(F.broadcast(before), "range_")  # one row a range
+    return joined.select(*df.columns, *((F.col(f"before_{c}") + F.sum(c).over(own)).alias(f"{c}_upto") for c in columns))
+
+
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """One row: the chance that a positive row has the higher score than a negative one, ties half. One sort of the distinct scores."""
-    s = _by_score(df, score, positive)
-    below = F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    return s.withColumn("below", F.coalesce(below, F.lit(0))).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") * 0.5)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    s = running(_by_score(df, score, positive), F.col("score"), "neg")
+    return s.agg((F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") * 0.5)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def roc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """threshold, tpr, fpr at each distinct score (accepted from the threshold on)."""
     s = _by_score(df, score, positive)
-    w = Window.orderBy(F.desc("score"))
-    up = s.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w)).crossJoin(F.broadcast(s.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))))  # one row
-    return up.select(F.col("score").alias("threshold"), (F.col("tp") / F.col("np")).alias("tpr"), (F.col("fp") / F.col("nn")).alias("fpr"))
+    up = running(s, F.desc("score"), "pos", "neg").crossJoin(F.broadcast(s.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))))  # one row
+    return up.select(F.col("score").alias("threshold"), (F.col("pos_upto") / F.col("np")).alias("tpr"), (F.col("neg_upto") / F.col("nn")).alias("fpr"))
 
 
 def best_threshold(curve: DataFrame, most_fpr: float = 0.05) -> DataFrame:
@@ -131,6 +149,7 @@ def context_metrics(contexts: DataFrame, gold: DataFrame) -> DataFrame:
 
 def recency(scores: DataFrame, pages: DataFrame, weight: float = 0.02) -> DataFrame:
     """`scores` (qid, page_id, score) with a bonus for the place of a page's date among the distinct dates."""
-    days = pages.select("updated").distinct()
-    place = days.withColumn("q", (F.dense_rank().over(Window.orderBy("updated")) - 1) / F.greatest(F.count("*").over(Window.partitionBy()) - 1, F.lit(1)))
+    days = running(pages.select("updated").distinct().withColumn("one", F.lit(1)), F.col("updated"), "one")
+    place = days.crossJoin(F.broadcast(days.agg(F.count("*").alias("n"))))  # one row
+    place = place.select("updated", ((F.col("one_upto") - 1) / F.greatest(F.col("n") - 1, F.lit(1))).alias("q"))
     return scores.join(pages.select("page_id", "updated"), "page_id").join(place, "updated").select("qid", "page_id", (F.col("score") + weight * F.col("q")).alias("score"))

@@ -1,19 +1,37 @@
-"""Where plans are cut: a table that several steps read is computed once and its lineage ends there."""
+"""Where plans are cut: a table that several steps read is written once, and its lineage ends there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, written to the folder in the session's spark.checkpoint.dir (a temporary one only where that is unset) and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    Without it the plan of a long chain of self-joins doubles at each step. The copy is in the shared folder, so a lost executor costs
-    no more than the tasks that it ran.
+    Only in local mode, where driver and executors are one process, a temporary folder may stand in for it.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    sc = spark.sparkContext
+    told = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if told is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        told = sc.getCheckpointDir()
+    return told.rstrip("/")
+
+
+def cut(df: DataFrame, sort: str | None = None) -> DataFrame:
+    """`df`, written as Parquet to the shared folder and read from there, sorted by a column if asked for.
+
+    Without it the plan of a long chain of self-joins doubles at each step. What is read back has a known size, so that Spark itself
+    decides which side of a join is small enough to be broadcast; columns that aren't needed are not read, and filters reach the
+    files. A lost executor costs no more than the tasks that it ran.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    out = df.repartitionByRange(F.col(sort)).sortWithinPartitions(sort) if sort else df
+    out.write.option("compression", "lz4_raw").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,6 +13,51 @@ from pagewright.functions import text as T
 from pagewright.plans.cut import cut
 
 
+#: Bytes of passages that are sent to all tasks in one go; more are looked for in several passes over the texts.
+PASSAGES = 64 << 20
+
+
+def holding(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """qid, page_id of the passages (qid, text) that a text (page_id, text) holds verbatim. Each text is read once for all passages.
+
+    An empty passage is in every text, a null one in none; null texts hold nothing.
+    """
+    size = passages.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    times = int(size // PASSAGES) + 1
+    out = None
+    for i in range(times):
+        some = passages.filter(F.pmod(F.xxhash64("qid"), F.lit(times)) == i) if times > 1 else passages
+        found = _holding(texts, [(r.qid, r.text) for r in some.filter("text IS NOT NULL").select("qid", "text").collect()], passages.schema["qid"].dataType.simpleString())
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _holding(texts: DataFrame, known: list, kind: str) -> DataFrame:
+    """`known` is a bounded list of (qid, passage)."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(frames):
+        import ahocorasick
+
+        of: dict[str, list] = {}
+        for qid, passage in shared.value:
+            of.setdefault(passage, []).append(qid)
+        everywhere = of.pop("", [])
+        a = ahocorasick.Automaton()
+        for passage in of:
+            a.add_word(passage, passage)
+        a.make_automaton()
+        for f in frames:
+            rows = []
+            for page, text in zip(f["page_id"], f["text"], strict=True):
+                if text is not None:
+                    found = {p for _, p in a.iter(text)} if of else ()
+                    rows += [(q, page) for p in found for q in of[p]] + [(q, page) for q in everywhere]
+            yield pd.DataFrame(rows, columns=["qid", "page_id"])
+
+    return texts.select("page_id", "text").mapInPandas(run, f"qid {kind}, page_id string")
+
+
 def fields(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """page_id and its lower-case fields. A page's blocks make one body, in order."""
     body = blocks.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("b"))

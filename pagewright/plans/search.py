@@ -89,13 +89,17 @@ def kept_terms(weighed: DataFrame) -> DataFrame:
 
 def block_scores(index: Index, weighed: DataFrame, o: Options = Options()) -> DataFrame:
     """qid, page_id, pos, ev, score, content (without the bigrams of question words)."""
-    kept = kept_terms(weighed).select("qid", "term", "weight", "idf", "avg_len")
-    hit = index.postings.join(kept, "term")
-    impact = F.col("idf") * F.col("tf") * (fixed.K1 + 1) / (F.col("tf") + fixed.K1 * (1 - fixed.B) + fixed.K1 * fixed.B / F.col("avg_len") * F.col("len")) * F.col("mult")
-    top = hit.withColumn("impact", impact).withColumn("n_", _rank(["qid", "term"], F.desc("impact"), "page_id", "pos")).filter(F.col("n_") <= fixed.MAX_POSTINGS)
-    v = F.col("impact") * F.pow("idf", F.lit(o.idf_power - 1)) * F.col("weight")
     content = ~F.array_contains(T.stop_tokens(), F.col("term"))
-    return cut(top.withColumn("v", v).groupBy("qid", "page_id", "pos", "ev").agg(F.sum("v").alias("score"), F.sum(F.when(content, F.col("v")).otherwise(0.0)).alias("content")))
+    kept = cut(kept_terms(weighed).select("qid", "term", "idf", "avg_len", (F.pow("idf", F.lit(o.idf_power - 1)) * F.col("weight")).alias("by"), content.alias("is_content")))
+    # what a posting adds depends on its term alone: the best postings are picked once for each term of the batch, however many queries ask for it.
+    # A batch has MAX_TERMS terms of each kind and query at most, so Spark broadcasts them, by their size as a file, and postings aren't shuffled but
+    # for the best of each task.
+    asked = kept.select("term", "idf", "avg_len").distinct()
+    hit = index.postings.join(asked, "term")
+    impact = F.col("idf") * F.col("tf") * (fixed.K1 + 1) / (F.col("tf") + fixed.K1 * (1 - fixed.B) + fixed.K1 * fixed.B / F.col("avg_len") * F.col("len")) * F.col("mult")
+    best = hit.withColumn("impact", impact).withColumn("n_", _rank(["term"], F.desc("impact"), "page_id", "pos")).filter(F.col("n_") <= fixed.MAX_POSTINGS)
+    top = best.select("term", "page_id", "pos", "ev", "impact").join(kept.select("qid", "term", "by", "is_content"), "term").withColumn("v", F.col("impact") * F.col("by"))
+    return cut(top.groupBy("qid", "page_id", "pos", "ev").agg(F.sum("v").alias("score"), F.sum(F.when(F.col("is_content"), F.col("v")).otherwise(0.0)).alias("content")))
 
 
 def page_scores(blocks: DataFrame, o: Options = Options()) -> DataFrame:

@@ -20,10 +20,13 @@ def index(spark: SparkSession, sf_dir: str) -> I.Index:
 
 
 def _once(kind: str, spark: SparkSession, sf_dir: str, make):
-    key = (kind, spark.sparkContext.applicationId, sf_dir)
-    if key not in _kept:
-        _kept[key] = make()
-    return _kept[key]
+    """What `make` gave for these files: files that changed give new tables, and what was kept of their earlier state goes."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select("path", "modificationTime", "length")
+    state = tuple(map(tuple, files.orderBy("path").collect()))  # a few rows: one for each file
+    place = (kind, spark.sparkContext.applicationId, sf_dir)
+    if place not in _kept or _kept[place][0] != state:
+        _kept[place] = (state, make())
+    return _kept[place][1]
 
 
 def forget() -> None:

@@ -17,8 +17,7 @@ GOLD = "gs AS (SELECT b.item_id AS qid, p.page_id, coalesce(h.head, p.page_id) <
 
 def gold(spark, d):
     """Gold and stale pages of each passage: those that hold it verbatim, current ones and older versions."""
-    docs = tables.documents_as_pages(tables.table(spark, d, "documents")).select("page_id", F.col("text").alias("body"))
-    held = docs.join(F.broadcast(tables.questions(spark, d)), F.contains("body", F.col("text"))).select("qid", "page_id")  # a set of passages
+    held = scan.holding(tables.documents_as_pages(tables.table(spark, d, "documents")).select("page_id", "text"), tables.questions(spark, d))
     known = held.join(index(spark, d).pages.select("page_id", (F.col("head") != F.col("page_id")).alias("old")), "page_id")
     return known.filter("NOT old").select("qid", "page_id"), known.filter("old").select("qid", "page_id")
 
@@ -126,8 +125,8 @@ def vector_topk(spark, d):
 
 def _prompts(spark, d):
     """The first user turn of each conversation is a prompt of the scan path."""
-    c = tables.table(spark, d, "conversations").filter("role = 'user' AND turn = 0 AND text IS NOT NULL")
-    return c.select(F.col("conv_id").alias("qid"), "text")
+    c = tables.table(spark, d, "conversations").filter("role = 'user'").groupBy(F.col("conv_id").alias("qid")).agg(F.min_by("text", F.struct("turn", "text")).alias("text"))
+    return c.withColumn("text", F.coalesce("text", F.lit("")))
 
 
 @query()
