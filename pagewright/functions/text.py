@@ -144,14 +144,14 @@ def lead_text(text) -> Column:
 
 def refs_in(text) -> Column:
     """Sorted distinct targets of the [[links]] of a text; links that name no page are none."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(_column(text), F.lit("")), F.lit(fixed.WIKILINK), F.lit(1)), F.trim)
+    found = F.transform(F.regexp_extract_all(F.coalesce(_column(text), F.lit("")), F.lit(fixed.WIKILINK), F.lit(1)), lambda x: F.trim(x))
     return F.array_sort(F.array_distinct(F.filter(found, lambda t: link_key(t) != "")))
 
 
 def links_in(text) -> Column:
     """Array of (target, anchor, label) of the [[links]] of a text, in order, repeated ones included."""
     t = F.coalesce(_column(text), F.lit(""))
-    part = lambda g: F.transform(F.regexp_extract_all(t, F.lit(fixed.WIKILINK), F.lit(g)), F.trim)
+    part = lambda g: F.transform(F.regexp_extract_all(t, F.lit(fixed.WIKILINK), F.lit(g)), lambda x: F.trim(x))
     zipped = F.arrays_zip(part(1).alias("target"), part(2).alias("anchor"), part(3).alias("label"))
     kept = F.filter(zipped, lambda x: link_key(x["target"]) != "")
     return F.transform(kept, lambda x: F.struct(x["target"].alias("target"), x["anchor"].alias("anchor"), F.when(x["label"] == "", x["target"]).otherwise(x["label"]).alias("label")))
@@ -200,7 +200,7 @@ def split_rows(raw) -> Column:
     """Rows of a block: lines, without a table's separator rows; a single line is cut into sentences."""
     lines = F.filter(F.transform(F.split(_column(raw), "\n"), squeezed), lambda x: x != "")
     rows = F.filter(lines, lambda x: ~x.rlike("^\\|?[\\s\\-:|]+\\|?$"))
-    sentences = F.filter(F.transform(F.split(lines[0], "(?<=[.!?。]) |(?<=다\\.) "), F.trim), lambda x: x != "")
+    sentences = F.filter(F.transform(F.split(lines[0], "(?<=[.!?。]) |(?<=다\\.) "), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(lines) == 0, lines).when(lines[0].startswith("|"), rows).when(F.size(lines) >= 2, lines).otherwise(sentences)
 
 
@@ -213,7 +213,7 @@ def open_question(text) -> Column:
 
 def string_list(value) -> Column:
     """Distinct trimmed items of a comma-separated string, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(_column(value), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(_column(value), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def split_address(selector) -> Column:

@@ -269,6 +269,12 @@ def content_warnings(pages: DataFrame, blocks: DataFrame, resolved: DataFrame) -
     return out.unionByName(_warn(blocks.filter("kind = 'open_question'"), "open_question", T.open_question("text")["due"], "block_id"))
 
 
+def late_questions(blocks: DataFrame, today: str) -> DataFrame:
+    """Warnings of open questions (with a column due) whose day is over; those without one are never late."""
+    late = blocks.filter((F.col("kind") == "open_question") & ~F.col("unresolved") & (F.col("due") < today))
+    return _warn(late, "late_question", F.col("due"), "block_id")
+
+
 def tag_spellings(pages: DataFrame, vocabulary: list[str] | None = None) -> DataFrame:
     """key, spelling: the listed spelling of a tag, else the most frequent, then the first one."""
     n = pages.select(F.explode("tags").alias("tag")).groupBy(T.tag_key("tag").alias("key"), "tag").agg(F.count("*").alias("n"))

@@ -19,6 +19,11 @@ def index(spark: SparkSession, sf_dir: str) -> I.Index:
     return _once("index", spark, sf_dir, lambda: I.build(base(spark, sf_dir)))
 
 
+def kept(kind: str, spark: SparkSession, sf_dir: str, make):
+    """The table that `make` gives, computed once in a session."""
+    return _once(kind, spark, sf_dir, lambda: cut(make()))
+
+
 def _once(kind: str, spark: SparkSession, sf_dir: str, make):
     """What `make` gave for these files: files that changed give new tables, and what was kept of their earlier state goes."""
     files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select("path", "modificationTime", "length")
