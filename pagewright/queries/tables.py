@@ -24,31 +24,16 @@ def section_range(spark, d):
     return json_pages.sections(base(spark, d).blocks)
 
 
-@query(sql("SELECT s AS selector, page_id FROM (SELECT 'doc-' || doc_id AS s, page_id FROM page WHERE doc_id % 10 = 0 UNION ALL SELECT 'Page:DOC_' || doc_id, page_id FROM page WHERE doc_id % 10 = 1)", "page"))
-def lookup_selector(spark, d):
-    p = base(spark, d).pages
-    n = F.split_part("slug", F.lit("-"), F.lit(2))
-    s = p.filter(n.cast("long") % 10 == 0).select(F.col("slug").alias("selector")).union(p.filter(n.cast("long") % 10 == 1).select(F.concat(F.lit("Page:DOC_"), n)))
-    return json_pages.find_pages(p, s)
-
-
-@query(sql("SELECT block_id AS wanted, block_id FROM blk WHERE pos = 0 UNION SELECT print, arg_min(block_id, {'a': page_id, 'b': pos}) FROM (SELECT * FROM blk WHERE print IN (SELECT print FROM blk WHERE pos = 1)) GROUP BY print", "blk"))
-def get_blocks(spark, d):
-    b = base(spark, d).blocks
-    wanted = b.filter("pos = 0").select(F.col("block_id").alias("wanted")).union(b.filter("pos = 1").select(F.split_part("block_id", F.lit(":"), F.lit(3))))
-    return json_pages.find_blocks(b, spark.createDataFrame([], "old_id string, block_id string"), wanted)
-
-
 @query(sql("SELECT s AS selector, page_id FROM (SELECT 'doc-' || doc_id AS s, page_id FROM page UNION ALL SELECT 'Page:DOC_' || doc_id, page_id FROM page)", "page"))
-def lookup_all_selectors(spark, d):
-    """Both spellings of every page, where `lookup_selector` asks for one spelling of a fifth of the pages."""
+def lookup_selector(spark, d):
+    """Both spellings of every page."""
     p = base(spark, d).pages
     return json_pages.find_pages(p, p.select(F.col("slug").alias("selector")).union(p.select(F.concat(F.lit("Page:DOC_"), F.split_part("slug", F.lit("-"), F.lit(2))))))
 
 
 @query(sql("SELECT block_id AS wanted, block_id FROM blk UNION SELECT print, arg_min(block_id, {'a': page_id, 'b': pos}) FROM blk GROUP BY print", "blk"))
-def get_all_blocks(spark, d):
-    """Every block by its id and by its fingerprint, where `get_blocks` asks for the first two of a page."""
+def get_blocks(spark, d):
+    """Every block by its id and by its fingerprint."""
     b = base(spark, d).blocks
     wanted = b.select(F.col("block_id").alias("wanted")).union(b.select(F.split_part("block_id", F.lit(":"), F.lit(3)).alias("wanted")))
     return json_pages.find_blocks(b, spark.createDataFrame([], "old_id string, block_id string"), wanted)
