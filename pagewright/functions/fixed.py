@@ -68,6 +68,7 @@ HINT_SCORE, HINT_COVERAGE, HINT_MATCHED, HINT_PAGES = 2.5, 0.30, 4, 3
 # Page model.
 SCHEMA_VERSION = "1.1"
 PAGE_TYPES = ("source", "entity", "concept", "synthesis", "project", "home", "index", "log")
+PAGE_DIRS = {"source": "sources", "entity": "entities", "concept": "concepts", "synthesis": "syntheses", "project": "projects", "home": "", "index": "", "log": ""}
 BLOCK_KINDS = ("heading", "paragraph", "list", "table", "quote", "conflict", "current", "open_question", "code", "thematic_break", "markdown", "raw")
 LINK_KINDS = ("wiki", "source", "supersedes", "related")
 UNLINKED_TYPES = ("home", "index", "log")

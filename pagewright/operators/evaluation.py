@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions import text as T
 from pagewright.plans.cut import cut
 
 
@@ -153,3 +154,41 @@ def recency(scores: DataFrame, pages: DataFrame, weight: float = 0.02) -> DataFr
     place = days.crossJoin(F.broadcast(days.agg(F.count("*").alias("n"))))  # one row
     place = place.select("updated", ((F.col("one_upto") - 1) / F.greatest(F.col("n") - 1, F.lit(1))).alias("q"))
     return scores.join(pages.select("page_id", "updated"), "page_id").join(place, "updated").select("qid", "page_id", (F.col("score") + weight * F.col("q")).alias("score"))
+
+
+def delivered(questions: DataFrame, payloads: DataFrame, shown: DataFrame, blocks: DataFrame, chars: int = 240) -> DataFrame:
+    """One row per question: what of its gold, and of what is out of date, its payload holds.
+
+    questions: qid, gold_pages, gold_blocks, stale_pages (arrays, null as empty), span (the answer's words, or null); payloads: qid, text; shown: what a
+    payload claims to hold (qid, page_id, block_id, body, status); blocks: page_id, block_id, text. A block is in a payload if its first `chars`
+    characters are. stale_body and stale_leak (a page out of date that isn't marked so) are null for questions without stale pages.
+    """
+    none = F.array().cast("array<string>")
+    q = questions.join(payloads.select("qid", "text"), "qid", "left").withColumn("flat", T.squeezed(F.coalesce("text", F.lit(""))))
+    keys = blocks.select("page_id", "block_id", T.clip("text", chars).alias("key")).filter("key <> ''")
+    listed = shown.filter("block_id IS NOT NULL").groupBy("qid", "block_id").agg(F.max("body").alias("body"))
+    gold = q.select("qid", "flat", F.explode(F.array_distinct("gold_blocks")).alias("block_id")).join(keys.drop("page_id"), "block_id", "left").join(listed, ["qid", "block_id"], "left")
+    seen, claimed = F.coalesce(F.contains("flat", "key"), F.lit(False)), F.coalesce("body", F.lit(False))
+    gold = gold.groupBy("qid").agg(F.count_if(seen & claimed).alias("gold_hits"), F.count_if(seen != claimed).alias("mismatch"), F.every(seen & claimed).alias("gold_block"), F.every(F.col("body").isNotNull()).alias("gold_addr"))
+    paged = q.select("qid", F.explode("gold_pages").alias("page_id")).join(shown.select("qid", "page_id"), ["qid", "page_id"], "left_semi").select("qid").distinct().withColumn("gold_page", F.lit(True))
+    old = q.select("qid", "flat", F.explode("stale_pages").alias("page_id")).join(keys, "page_id").filter(F.contains("flat", "key")).select("qid", "page_id").distinct()
+    marked = shown.filter("status = 'superseded'").select("qid", "page_id").distinct().withColumn("marked", F.lit(True))
+    old = old.join(marked, ["qid", "page_id"], "left").groupBy("qid").agg(F.lit(True).alias("stale"), F.bool_or(F.col("marked").isNull()).alias("leak"))
+    rows = q.join(gold, "qid", "left").join(paged, "qid", "left").join(old, "qid", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    dated = F.size(F.coalesce("stale_pages", none)) > 0
+    span = T.squeezed(F.coalesce("span", F.lit("")))
+    return rows.select(
+        "qid", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("payload_bytes"), yes("gold_page").alias("gold_page"), yes("gold_block").alias("gold_block"), yes("gold_addr").alias("gold_addr"),
+        F.coalesce("gold_hits", F.lit(0)).alias("gold_hits"), F.coalesce("mismatch", F.lit(0)).alias("mismatch"), ((span != "") & F.contains("flat", span)).alias("answer"),
+        F.when(dated, yes("stale")).alias("stale_body"), F.when(dated, yes("leak")).alias("stale_leak"),
+    )
+
+
+def delivery_rates(judged: DataFrame) -> DataFrame:
+    """One row from the rows of `delivered`: rates, and what a hit costs in bytes."""
+    flags = ("gold_page", "gold_block", "gold_addr", "answer", "stale_body", "stale_leak")
+    return judged.agg(
+        F.count("*").alias("n"), rate(F.col("payload_bytes") > 0).alias("injected"), *(rate(F.col(c)).alias(c) for c in flags), F.sum("mismatch").alias("mismatch"),
+        F.round(F.avg("payload_bytes"), 1).alias("bytes_mean"), F.round(F.try_divide(F.sum("payload_bytes"), F.sum("gold_hits")), 1).alias("bytes_per_hit"),
+    )

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import fnmatch
+import posixpath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.plans.cut import cut
 from pagewright.sources.tables import KnowledgeBase
 
 BLOCK = "struct<id:string,kind:string,data:struct<level:int,text:string,statement:string,language:string,ordered:boolean,items:array<string>,rows:array<array<string>>,owner:string,due:string>,refs:array<string>,source_text:string,fingerprint:string,resolution:struct<status:string,current:string,decided_at:string>>"
@@ -61,8 +63,37 @@ def write_pages(pages: DataFrame, path: str, shards: int = 64) -> None:
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """What `write_pages` wrote."""
-    return spark.read.schema(PAGE).json(path).drop("shard")
+    """What `write_pages` and `update_pages` wrote."""
+    return spark.read.schema(PAGE).json(path).filter("id IS NOT NULL").drop("shard")
+
+
+def update_pages(spark: SparkSession, path: str, changed: DataFrame, removed: DataFrame, shards: int = 64) -> None:
+    """Brings the shards of `write_pages` up to date: changed pages replace those of their id, removed ones (id) go; other shards aren't read.
+
+    A shard that loses its last page keeps a row without id, which isn't read back.
+    """
+    of = lambda d: d.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    gone = changed.select("id").union(removed.select("id")).distinct()
+    touched = sorted(r[0] for r in of(gone).select("shard").distinct().collect())  # as many numbers as there are shards
+    if not touched:
+        return
+    old = spark.read.schema(PAGE + ", shard int").json(path).filter(F.col("shard").isin(touched) & F.col("id").isNotNull())
+    none = spark.createDataFrame([(None, i) for i in touched], "id string, shard int")
+    rows = old.join(gone, "id", "left_anti").unionByName(of(changed.drop("file", "sha256")), allowMissingColumns=True).unionByName(none, allowMissingColumns=True)
+    cut(rows).repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy("shard").json(path)
+
+
+def inside(root: str, rel: str) -> str:
+    """The path of a file below `root`; an error where `rel` leads out of it."""
+    at = posixpath.normpath(rel.replace("\\", "/"))
+    if at.startswith(("/", "../")) or at in (".", ".."):
+        raise ValueError(f"{rel}: not below {root}")
+    return posixpath.join(root, at)
+
+
+def read_file(spark: SparkSession, root: str, rel: str) -> DataFrame:
+    """The pages of one file below `root`; no other file is opened."""
+    return read_pages(spark, inside(root, rel))
 
 
 def file_states(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
@@ -101,11 +132,14 @@ def append_log(entries: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str, last: int = 0) -> DataFrame:
-    """The log's entries, all or the last ones by time."""
+    """The log's entries, all or the last ones in the order in which they came: by time, then by the place where they were appended."""
     log = spark.read.json(path)
     if last <= 0:
         return log
-    return log.orderBy(F.desc("at")).limit(last).orderBy("at")
+    place = [F.col("at"), F.col("_metadata.file_modification_time").alias("w_"), F.col("_metadata.file_path").alias("f_"), F.col("_metadata.file_block_start").alias("b_"), F.monotonically_increasing_id().alias("i_")]
+    order = ["at", "w_", "f_", "b_", "i_"]
+    rows = log.select(*(c for c in log.columns if c != "at"), *place)
+    return rows.orderBy(*map(F.desc, order)).limit(last).orderBy(*order).select(*log.columns)
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -155,8 +189,57 @@ def sections(blocks: DataFrame) -> DataFrame:
     return ranges.join(blocks.select("page_id", "pos", "block_id"), "page_id").filter("pos >= from_ AND (to_ IS NULL OR pos < to_)").select("heading_id", "page_id", "pos", "block_id")
 
 
+def _part(variant: Column, step: str) -> Column:
+    """The value of a key, or the item of a number; null where there is none."""
+    if "'" in step or "\\" in step:  # paths know no escapes
+        inner = F.try_variant_get(variant, "$", "map<string,variant>")[step]
+    else:
+        inner = F.try_variant_get(variant, f"$['{step}']", "variant")
+    return F.coalesce(F.try_variant_get(variant, f"$[{step}]", "variant"), inner) if step.isdecimal() else inner
+
+
 def pointer(variant: Column, path: str) -> Column:
     """The part of a variant column that a JSON pointer names; null where there is none."""
     steps = [x.replace("~1", "/").replace("~0", "~") for x in path.lstrip("/").split("/")] if path not in ("", "/") else []
-    where = "$" + "".join(f"[{s}]" if s.isdigit() else "['" + s.replace("'", "\\'") + "']" for s in steps)
-    return F.try_variant_get(variant, where, "variant") if steps else variant
+    for s in steps:
+        variant = _part(variant, s)
+    return variant
+
+
+def picked(variant: Column, fields: list[str]) -> Column:
+    """The part of a variant column that a list of fields leads to: keys of objects, or numbers of items. An error where there is none."""
+    for f in fields:
+        inner = _part(variant, f)
+        variant = F.when(inner.isNotNull(), inner).otherwise(F.raise_error(F.lit(f"no field {f}")))
+    return variant
+
+
+def plain_ref(ref) -> Column:
+    """A reference as a path below the store: slashes one way, without source: and leading ./"""
+    blank = "^\\s+|\\s+$"
+    path = F.replace(F.regexp_replace(ref, blank, ""), F.lit("\\"), F.lit("/"))
+    return F.regexp_replace(F.regexp_replace(path, "^source:", ""), "^(?:\\./)+|" + blank, "")
+
+
+def raw_refs(pages: DataFrame, column: str = "page") -> DataFrame:
+    """page_id, ref: all raw files that pages (a column of JSON) name as their origin, in raw_ref, their snapshot, their history or their sources."""
+    v = F.try_parse_json(column)
+    said = lambda x: F.when(F.schema_of_variant(x) == "STRING", x.cast("string"))
+    at = lambda x, key: said(F.try_variant_get(x, f"$.{key}", "variant"))
+    many = lambda key: F.coalesce(F.try_variant_get(v, f"$.{key}", "array<variant>"), F.array().cast("array<variant>"))
+    own = F.array(at(v, "raw_ref"), *(at(v, f"source_snapshot.{k}") for k in ("raw_ref", "path", "source")))
+    past = F.flatten(F.transform(many("history"), lambda e: F.array(*(at(e, k) for k in ("note", "raw", "raw_ref", "source")))))
+    refs = F.transform(F.array_compact(F.concat(own, past, F.transform(many("sources"), said))), plain_ref)
+    return pages.select(F.try_variant_get(v, "$.id", "string").alias("page_id"), F.explode(F.array_distinct(refs)).alias("ref")).filter("ref <> ''")
+
+
+def follow_current(pages: DataFrame) -> DataFrame:
+    """Canonical pages whose decisions name the block that stands now where they name an old id of it."""
+    here = F.map_keys("blocks")
+
+    def moved(block: Column) -> Column:
+        current = block["resolution"]["current"]
+        live = F.when(F.array_contains(here, current), current).otherwise(F.col("block_aliases")[current])
+        return F.when(F.array_contains(here, live) & (live != current), block.withField("resolution.current", live)).otherwise(block)
+
+    return pages.withColumn("blocks", F.transform_values("blocks", lambda _, b: moved(b)))
