@@ -190,15 +190,15 @@ def dup_damping(spark, d):
     return b.join(n, "t").select("page_id", "pos", "n")
 
 
-@query("SELECT doc_id, octet_length(encode(text)) AS n_bytes, ceil(octet_length(encode(text)) / 3.0)::INT AS tokens FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, ceil(octet_length(encode(coalesce(text, ''))) / 3.0)::INT AS tokens FROM documents")
 def token_estimates(spark, d):
-    docs = tables.table(spark, d, "documents").filter("text IS NOT NULL")
+    docs = tables.table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), T.token_estimate("text").alias("tokens"))
 
 
-@query("SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(left(t, 119)) || '…' END AS clipped FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(left(t, 119)) || '…' END AS clipped FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents)")
 def clipped_texts(spark, d):
-    docs = tables.table(spark, d, "documents").filter("text IS NOT NULL")
+    docs = tables.table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return docs.select("doc_id", T.clip("text", 120).alias("clipped"))
 
 

@@ -32,6 +32,7 @@ def unintegrated_sources(spark, d):
 SELECT 'compile_debt' AS kind, p.page_id FROM near JOIN page p USING (page_id) JOIN page o ON o.page_id = near.other WHERE p.type = 'concept' AND o.type = 'source' AND o.updated > p.updated GROUP BY p.page_id
 UNION ALL SELECT 'unintegrated_source', page_id FROM page p WHERE type = 'source' AND NOT EXISTS (SELECT 1 FROM link l JOIN page o ON o.page_id = l.dst WHERE l.page_id = p.page_id AND o.type IN ('concept', 'entity', 'synthesis'))
 UNION ALL SELECT 'orphan', page_id FROM page WHERE page_id NOT IN (SELECT page_id FROM near)
+UNION ALL SELECT 'empty_summary', page_id FROM page WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) = ''
 UNION ALL SELECT 'summary_dump', page_id FROM page WHERE starts_with(trim(text), '|')
 UNION ALL SELECT 'page_too_large', page_id FROM (SELECT page_id, sum(octet_length(encode(text))) AS b FROM blk GROUP BY page_id) WHERE b > 204800
 UNION ALL SELECT 'missing_supersedes', page_id FROM blk b WHERE regexp_matches(text, '(?i)\\b(?:supersedes|replaces|obsoletes)\\b') AND NOT EXISTS (SELECT 1 FROM link l WHERE l.kind = 'supersedes' AND l.page_id = b.page_id) GROUP BY page_id) GROUP BY kind""", "link").replace("\nSELECT kind", f",\n{NEAR}\nSELECT kind", 1))
@@ -50,7 +51,7 @@ def duplicate_ids(spark, d):
     return N.duplicates(tables.table(spark, d, "documents"), "doc_id")
 
 
-@query("SELECT 'page:doc-' || doc_id AS page_id, e AS error FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 7 = 0 THEN ['created must be YYYY-MM-DD', 'invalid type'] ELSE [] END) AS e FROM documents WHERE text IS NOT NULL)")
+@query("SELECT 'page:doc-' || doc_id AS page_id, e AS error FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 7 = 0 THEN ['created must be YYYY-MM-DD', 'invalid type'] ELSE [] END) AS e FROM documents WHERE doc_id IS NOT NULL)")
 def validate_rows(spark, d):
     p = base(spark, d).pages
     bad = F.split_part("slug", F.lit("-"), F.lit(2)).cast("long") % 7 == 0

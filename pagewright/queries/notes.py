@@ -60,7 +60,7 @@ def note_links(spark, d):
 @query(_NOTE + "SELECT page_id, 'Doc ' || goal AS target, count(*) AS n FROM q WHERE k = 6 AND goal NOT IN (SELECT doc_id FROM d) GROUP BY 1, 2")
 def note_dangling(spark, d):
     """Links that lead to no page: half of the targets don't exist."""
-    pages = tables.documents_as_pages(tables.table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))).withColumn("title", F.col("slug"))
+    pages = tables.documents_as_pages(tables.table(spark, d, "documents")).withColumn("title", F.col("slug"))
     rows = _parsed(spark, d).select("page_id", "pos", F.col("id").alias("block_id"), F.explode(T.links_in("source_text")).alias("x"))
     declared = rows.select("page_id", F.col("pos").alias("ord"), "x.target", F.lit("wiki").alias("kind"), "x.label", "x.anchor", "block_id")
     return L.dangling(L.resolve(declared, pages), pages).groupBy("page_id", "target").agg(F.count("*").alias("n"))

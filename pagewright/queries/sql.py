@@ -21,7 +21,7 @@ PARTS = {
     "page": """
 page AS (SELECT doc_id, 'page:doc-' || doc_id AS page_id, 'doc-' || doc_id AS slug, trim(string_split(text, chr(10))[1]) AS title,
   CASE WHEN doc_id % 100 < 50 THEN 'source' WHEN doc_id % 100 < 75 THEN 'entity' WHEN doc_id % 100 < 94 THEN 'synthesis' WHEN doc_id % 100 < 99 THEN 'concept' ELSE 'project' END AS type,
-  strftime(DATE '2024-01-01' + (doc_id % 365)::INT, '%Y-%m-%d') AS updated, lang, source, text, sha256(text) AS sha FROM documents WHERE text IS NOT NULL)""",
+  strftime(DATE '2024-01-01' + (doc_id % 365)::INT, '%Y-%m-%d') AS updated, lang, source, text, sha256(text) AS sha FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents WHERE doc_id IS NOT NULL))""",
     "blk": """
 line AS (SELECT page_id, slug, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM page),
 printed AS (SELECT *, CASE WHEN pos = 0 THEN 'heading' ELSE 'paragraph' END AS kind,

@@ -46,9 +46,9 @@ def json_pointer(spark, d):
     return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(p).alias("pointer"), json_pages.pointer(v, p).cast("string").alias("value")) for p in paths))))
 
 
-@query("SELECT 'page:doc-' || doc_id AS page_id, CASE doc_id % 10 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'modified' END AS change FROM documents WHERE doc_id % 10 IN (0, 1, 2) AND text IS NOT NULL")
+@query("SELECT 'page:doc-' || doc_id AS page_id, CASE doc_id % 10 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'modified' END AS change FROM documents WHERE doc_id % 10 IN (0, 1, 2)")
 def map_delta(spark, d):
-    t = tables.table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.concat(F.lit("page:doc-"), "doc_id").alias("page_id"), F.sha2("text", 256).alias("sha256"))
+    t = tables.table(spark, d, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.concat(F.lit("page:doc-"), "doc_id").alias("page_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
     old = t.filter("doc_id % 10 <> 0")
     new = t.filter("doc_id % 10 <> 1").withColumn("sha256", F.when(F.col("doc_id") % 10 == 2, F.lit("other")).otherwise(F.col("sha256")))
     return incremental.changes(old, new)

@@ -27,8 +27,7 @@ UNION ALL SELECT page_id, 'duplicate slug doc-even' FROM d WHERE doc_id % 10 = 0
 UNION ALL SELECT 'page:doc-' || doc_id || '-copy', 'duplicate block id ' || block_id || ' (also in ' || page_id || ')' FROM q WHERE pos = 0""")
 def note_errors(spark, d):
     """Links and sources that lead nowhere, a slug that each tenth page has, and a copy of each page's first block."""
-    docs = tables.table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    pages = tables.documents_as_pages(docs).withColumn("title", F.col("slug")).withColumn("sources", F.array(F.concat(F.lit("page:doc-"), (_n() * 2).cast("string"))))
+    pages = tables.documents_as_pages(tables.table(spark, d, "documents")).withColumn("title", F.col("slug")).withColumn("sources", F.array(F.concat(F.lit("page:doc-"), (_n() * 2).cast("string"))))
     rows = _parsed(spark, d).select("page_id", "pos", F.col("id").alias("block_id"), F.explode(T.links_in("source_text")).alias("x"))
     declared = rows.select("page_id", F.col("pos").alias("ord"), "x.target", F.lit("wiki").alias("kind"), "x.label", "x.anchor", "block_id")
     blocks = _blocks(spark, d).select("page_id", "pos", "block_id")

@@ -28,13 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents_as_pages(docs: DataFrame) -> DataFrame:
-    """One page for each document: the first line is the title, doc_id gives type and date, lang the tag, source the project."""
+    """One page for each document: the first line is the title, doc_id gives type and date, lang the tag, source the project. A null text is an empty one."""
     r = F.col("doc_id") % 100
     kind = F.when(r < 50, "source").when(r < 75, "entity").when(r < 94, "synthesis").when(r < 99, "concept").otherwise("project")
     slug = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd")
     none = F.array().cast("array<string>")
-    return docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select(
+    return docs.filter("doc_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit(""))).select(
         "doc_id", F.concat(F.lit("page:"), slug).alias("page_id"), slug.alias("slug"), F.trim(F.substring_index("text", "\n", 1)).alias("title"), kind.alias("type"), day.alias("created"), day.alias("updated"),
         F.array("lang").alias("tags"), none.alias("keywords"), F.array("source").alias("projects"), none.alias("sources"), T.clip(F.col("text"), 240).alias("summary"), "text",
     )
