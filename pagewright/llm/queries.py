@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, chat, dedup, media, mixing, neardup, quality, secrets, urls, warc
+from pagewright.llm import bpe, chat, dedup, media, mixing, neardup, packing, quality, secrets, urls, warc
 from pagewright.llm.common import limit_batches, table
 
 QUERIES = {}
@@ -208,3 +208,11 @@ r AS (SELECT doc_id AS x, doc_id AS m FROM documents UNION SELECT e.y, r.m FROM
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, d.doc_id = m AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(m) AS m FROM r GROUP BY x) USING (doc_id)
 """
+
+
+@query
+def op13_linear_grouping_pack(spark, sf_dir):
+    import public_tokenizers as p
+
+    limit_batches(spark)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path=p.path("word_bpe_49k.json"))
