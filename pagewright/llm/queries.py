@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, chat, dedup, media, mixing, neardup, packing, quality, secrets, urls, warc
+from pagewright.llm import bpe, chat, collocation, dedup, media, mixing, neardup, packing, quality, secrets, urls, warc
 from pagewright.llm.common import limit_batches, table
 
 QUERIES = {}
@@ -216,3 +216,27 @@ def op13_linear_grouping_pack(spark, sf_dir):
 
     limit_batches(spark)
     return packing.pack_documents(table(spark, sf_dir, "documents"), path=p.path("word_bpe_49k.json"))
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    limit_batches(spark)
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op12_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(ws) >= k),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, phrase, a, k, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+x AS (SELECT lang, phrase, a, k, ws, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT x.*, l.a AS l, r.a AS r, (1000000::HUGEINT * x.a * x.a) // (l.a::HUGEINT * r.a) AS score
+      FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+d AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+t AS (SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM t JOIN n USING (lang) WHERE rank <= 2000
+"""
