@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, chat, collocation, dedup, media, mixing, neardup, packing, quality, secrets, urls, warc
+from pagewright.llm import bpe, chat, collocation, dedup, media, mixing, neardup, packing, quality, secrets, turns, urls, warc
 from pagewright.llm.common import limit_batches, table
 
 QUERIES = {}
@@ -240,3 +240,68 @@ d AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE longer IS NULL OR
 t AS (SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM t JOIN n USING (lang) WHERE rank <= 2000
 """
+
+
+def damaged(rows):
+    """Rows of `conversations` with faults by a checksum of conversation and turn; nulls are one space."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = (F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn")).cast("binary")) % 20).cast("int")
+    text = F.when(code == 1, "").when(code == 2, F.regexp_replace(told("text"), "[.!?]", "")).otherwise(told("text"))
+    role = F.when(code == 4, "user").otherwise(told("role"))
+    return rows.filter(code != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.when(code == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again")).drop("again")
+
+
+@query
+def op11_turn_repair(spark, sf_dir):
+    limit_batches(spark)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    every = rows.select(F.col("conv_id").alias("c_")).distinct()
+    fixed = turns.repair_conversations(damaged(rows))
+    out = every.join(fixed, F.col("c_").eqNullSafe(F.col("conv_id")), "left")
+    zeros = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("c_").alias("conv_id"), *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def _repair_oracle() -> str:
+    """Each conversation folded from its last row to its first: for each state the least cost, its letters and the repaired lines after it."""
+    add = lambda h, c, letter, line="''": f"{{'c': {h}.c + {c}, 'a': '{letter}' || {h}.a, 't': {line} || {h}.t}}"
+    filled = {0: ("h2", "user"), 1: ("h2", "user"), 2: ("h3", "assistant"), 3: ("h2", "user")}
+
+    def best(q):
+        stays = "CASE WHEN x.f IN (1, 2) THEN 1000000 WHEN x.f = 3 THEN 5 ELSE 0 END"
+        to = {0: "CASE x.i WHEN 's' THEN h.h1 WHEN 'u' THEN h.h2 END", 1: "CASE x.i WHEN 'u' THEN h.h2 END", 2: "CASE x.i WHEN 'a' THEN h.h3 END", 3: "CASE x.i WHEN 'u' THEN h.h2 END"}[q]
+        keep = add(f"coalesce({to}, {{'c': 1000000, 'a': '', 't': ''}})", stays, "K", "x.role || ':' || x.text || chr(10)")
+        after, role = filled[q]
+        rerole = add(f"h.{after}", f"1 + {stays}", "R", f"'{role}:' || x.text || chr(10)")
+        return f"list_min([{add(f'h.h{q}', '2', 'D')}, {keep}, {rerole}])"
+
+    inserted = lambda q: add("g." + filled[q][0], "5", "I", f"'{filled[q][1]}:' || chr(10)")
+    closed = lambda q: f"list_min([g.h{q}, {inserted(q)}])"
+    # h0 and h1 are reached from h2 after its own insertion
+    step = f"list_transform([{{{', '.join(f"'h{q}': {best(q)}" for q in range(4))}}}], lambda g: {{'h0': g.h0, 'h1': g.h1, 'h2': {closed(2)}, 'h3': {closed(3)}}})[1]"
+    step = f"list_transform([{step}], lambda g: {{'h0': {closed(0)}, 'h1': {closed(1)}, 'h2': g.h2, 'h3': g.h3}})[1]"
+    end = "{'h0': {'c': 0, 'a': '', 't': ''}, 'h1': {'c': 10, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}, 'h2': {'c': 5, 'a': 'I', 't': 'assistant:' || chr(10)}, 'h3': {'c': 0, 'a': '', 't': ''}}"
+    bits = "list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)"
+    crc = "xor(list_reduce(list_transform(string_split(s, ''), lambda c: ascii(c)::BIGINT), lambda a, b: xor(k[(xor(a, b) & 255) + 1], a >> 8), 4294967295::BIGINT), 4294967295::BIGINT)"
+    return rf"""
+WITH RECURSIVE k AS (SELECT list({bits} ORDER BY n) AS k FROM range(256) r(n)),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+z AS (SELECT o.*, {crc} % 20 AS z FROM o, k),
+d AS (SELECT conv_id, turn, CASE WHEN z = 4 THEN 'user' ELSE role END AS role,
+             CASE z WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN z = 3 THEN [0, 1] ELSE [0] END) AS again FROM z WHERE z <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS pos FROM d),
+e AS (SELECT *, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS seen,
+             role[1] AS i, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM n),
+f AS (SELECT *, CASE WHEN last = '' THEN 1 WHEN seen > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f FROM e),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated,
+             count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS rows FROM f GROUP BY conv_id),
+w AS (SELECT conv_id, rows + 1 AS pos, {end} AS h FROM g
+      UNION ALL SELECT w.conv_id, x.pos, {step} FROM (SELECT conv_id, pos, h FROM w) w JOIN f x ON x.conv_id IS NOT DISTINCT FROM w.conv_id AND x.pos = w.pos - 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(h.h0.c, 0)::BIGINT AS cost, coalesce(h.h0.a, '') AS audit, sha256(regexp_replace(coalesce(h.h0.t, ''), '
+$', '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.pos = 1
+"""
+
+
+ORACLE_SQL["op11_turn_repair"] = _repair_oracle()
