@@ -12,15 +12,17 @@ line feed to \\n), so that a text can hold any control string and reading back g
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import bound, offsets
 
-#: name: (example record, how to read it). A list of turns is read by its path and its fields for role and text; other
-#: layouts list (role, path) in the order of the turns, and an absent or null path gives no turn.
+#: name: (example record, how to read it). A list of turns is read by its path and its fields for role and text, whose value may also be a list
+#: of parts; their texts are joined. Other layouts list (role, path) in the order of the turns, and an absent or null path gives no turn.
 LAYOUTS: dict[str, tuple[str, dict]] = {
-    "messages": ('{"messages":[{"content":"","role":""}]}', {"list": "$.messages", "role": "role", "text": "content"}),
+    "messages": ('{"messages":[{"content":"","role":""}]}', {"list": "$.messages", "role": "role", "text": "content", "parts": "text"}),
     "shares": ('{"conversations":[{"from":"","value":""}]}', {"list": "$.conversations", "role": "from", "text": "value"}),
     "prompt": ('{"prompt":"","response":""}', {"turns": [("user", "$.prompt"), ("assistant", "$.response")]}),
     "instruction": ('{"input":"","instruction":"","output":""}', {"turns": [("system", "$.instruction"), ("user", "$.input"), ("assistant", "$.output")]}),
@@ -48,43 +50,64 @@ def paths_of(how: dict) -> list[tuple[str, str | None]]:
     return [(path, None) for _, path in how["turns"]]
 
 
+def _there(record: Column, path: str, field: str | None) -> Column:
+    """Whether a variant has a path, or any item of the list there has the field."""
+    if field is None:
+        return F.variant_get(record, path, "variant").isNotNull()
+    return F.coalesce(F.exists(F.try_variant_get(record, path, "array<variant>"), lambda x: F.variant_get(x, "$." + field, "variant").isNotNull()), F.lit(False))
+
+
 def fingerprint(record: Column, layouts: dict = LAYOUTS) -> Column:
     """Hash of the nested field paths of a variant, of those that `layouts` know; null where the record is null."""
     known = sorted({p for _, how in layouts.values() for p in paths_of(how)}, key=str)
+    found = [F.when(_there(record, p, f), F.lit(p if f is None else f"{p}[].{f}")) for p, f in known]
+    return F.when(record.isNotNull(), F.xxhash64(F.array_join(F.array_compact(F.array(*found)), "\n")))
 
-    def there(path, field):
-        if field is None:
-            return F.variant_get(record, path, "variant").isNotNull()
-        return F.exists(F.try_variant_get(record, path, "array<variant>"), lambda x: F.variant_get(x, "$." + field, "variant").isNotNull())
 
-    found = [F.when(F.coalesce(there(p, f), F.lit(False)), F.lit(p if f is None else f"{p}[].{f}")) for p, f in known]
-    return F.when(record.isNotNull(), F.xxhash64(F.array_join(F.array_compact(F.array(*found)), "\n")))
+def _only_complete(record: Column, layouts: dict) -> Column:
+    """The layout all of whose paths a variant has, if there is one such layout: further paths of other layouts are strays then."""
+    full = [F.when(reduce(Column.__and__, [_there(record, p, f) for p, f in paths_of(how)]), F.lit(n)) for n, (_, how) in layouts.items()]
+    return bound(F.array_compact(F.array(*full)), lambda x: F.when(F.size(x) == 1, x[0]))
 
 
 def _read(record: Column, how: dict) -> Column:
     if "list" in how:
         items = F.variant_get(record, how["list"], "array<variant>")
         get = lambda x, f: F.variant_get(x, "$." + how[f], "string")
-        return F.transform(items, lambda x: F.struct(get(x, "role").alias("role"), get(x, "text").alias("text")))
+
+        def text(x):
+            if "parts" not in how:
+                return get(x, "text")
+            part = lambda y: F.coalesce(F.variant_get(y, "$." + how["parts"], "string"), F.when(F.schema_of_variant(y) == "STRING", y.cast("string")))
+            parts = F.try_variant_get(x, "$." + how["text"], "array<variant>")
+            return F.when(parts.isNotNull(), F.array_join(F.transform(parts, part), "")).otherwise(get(x, "text"))
+
+        return F.transform(items, lambda x: F.struct(get(x, "role").alias("role"), text(x).alias("text")))
     turns = [F.struct(F.lit(role).alias("role"), F.variant_get(record, path, "string").alias("text")) for role, path in how["turns"]]
     return F.filter(F.array(*turns), lambda x: x["text"].isNotNull())
 
 
-def _taken(turns: Column, roles: bool) -> Column:
-    """Turns whose texts, and roles if `roles`, are places in HELD, with what is there."""
-    at = lambda place: F.get(F.col(HELD), place.cast("int"))
+def _places(df: DataFrame, held: str | None) -> str | None:
+    """The column that holds what records name places of: the one named, else that of `records_of`, told by name and type."""
+    return held or next((f.name for f in df.schema.fields if f.name == HELD and f.dataType.simpleString() == TURNS), None)
+
+
+def _taken(turns: Column, roles: bool, held: str) -> Column:
+    """Turns whose texts, and roles if `roles`, are places in the column `held`, with what is there."""
+    at = lambda place: F.get(F.col(held), place.cast("int"))
     role = lambda x: at(x["role"])["role"] if roles else x["role"]
     return F.transform(turns, lambda x: F.struct(role(x).alias("role"), at(x["text"])["text"].alias("text")))
 
 
-def canonical_turns(df: DataFrame, record: str = "record", layouts: dict = LAYOUTS, aliases: dict = ROLES) -> DataFrame:
+def canonical_turns(df: DataFrame, record: str = "record", layouts: dict = LAYOUTS, aliases: dict = ROLES, held: str | None = None) -> DataFrame:
     """`df` with the columns layout (null if no mapping has the record's fingerprint), turns (then null too) and problem (why, else null).
 
     Roles are mapped by `aliases` whatever their case, others stay; a null role or text is empty. A record whose list of turns is empty has
     no turns. Text that isn't JSON, or is larger than the parser takes (a string of 20,000,000 characters, 128 MiB in all), has no layout,
-    nor has a record with the paths of two layouts. Where the column HELD isn't null, the record's strings are places in it, and
-    roles and texts are taken from there. No other column is changed; columns named like a result are replaced.
+    nor has a record with all paths of two layouts; single paths of others don't matter. Where the column `held` (unless named, that of `records_of`, if the
+    table has it) isn't null, the record's strings are places in it, and roles and texts are taken from there. No other column is changed; columns named like a result are replaced.
     """
+    held = _places(df, held)
     names = list(layouts)
     shown = df.sparkSession.range(1).select(*(fingerprint(F.parse_json(F.lit(layouts[n][0])), layouts) for n in names)).first()
     prints = {p: n for n, p in zip(names, shown, strict=True)}
@@ -97,12 +120,12 @@ def canonical_turns(df: DataFrame, record: str = "record", layouts: dict = LAYOU
         variant += "_"
     known = F.create_map(*(F.lit(x) for kv in prints.items() for x in kv))
     out = df.withColumn(variant, F.try_parse_json(F.col(record)))
-    out = out.withColumn("layout", known[fingerprint(F.col(variant), layouts)])
+    out = out.withColumn("layout", F.coalesce(known[fingerprint(F.col(variant), layouts)], _only_complete(F.col(variant), layouts)))
     turns = F.lit(None).cast(TURNS)
     for n in names:
         read = _read(F.col(variant), layouts[n][1])
-        if HELD in df.columns:
-            read = F.when(F.col(HELD).isNull(), read).otherwise(_taken(read, "list" in layouts[n][1]))
+        if held:
+            read = F.when(F.col(held).isNull(), read).otherwise(_taken(read, "list" in layouts[n][1], held))
         turns = F.when(F.col("layout") == n, read).otherwise(turns)
     role = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv)) if aliases else None
     mapped = lambda r: F.coalesce(role[F.lower(r)], r) if aliases else r
@@ -190,20 +213,22 @@ def records_of(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     return conv.select(F.col("key_").alias(key), record.alias("record"), HELD)
 
 
-def format_chats(records: DataFrame, key: str = "conv_id", record: str = "record", aliases: dict = ROLES) -> DataFrame:
+def format_chats(records: DataFrame, key: str = "conv_id", record: str = "record", aliases: dict = ROLES, held: str | None = None) -> DataFrame:
     """One row per record: key, layout, formatted, loss, problem.
 
     A record without turns of a known layout has a problem instead of a layout, a text and spans; none is left out. `aliases` are other names
-    of roles, which foreign layouts use; rows whose roles must come out as they are have none.
+    of roles, which foreign layouts use; rows whose roles must come out as they are have none. `held` is as in `canonical_turns`. No other
+    column is read, whatever its name.
     """
-    held = [HELD] if HELD in records.columns else []
-    known = canonical_turns(records.select(F.col(key).alias("key_"), F.col(record).alias("record"), *held), aliases=aliases)
+    held = _places(records, held)
+    own = records.select(F.col(key).alias("key_"), F.col(record).alias("record"), *([F.col(held).alias(HELD)] if held else []))
+    known = canonical_turns(own, aliases=aliases, held=HELD if held else None)
     return known.withColumn("r", F.when(F.col("turns").isNotNull(), render(F.col("turns")))).select(F.col("key_").alias(key), "layout", "r.formatted", "r.loss", "problem")
 
 
 def format_rows(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     """Formatted conversations from rows by turn, with roles as they are. A conversation that could not be formatted is an error, never left out."""
-    done = format_chats(records_of(rows, key), key, aliases={})
+    done = format_chats(records_of(rows, key), key, aliases={}, held=HELD)
     error = F.raise_error(F.concat(F.lit("a conversation can't be formatted: "), F.col("problem")))
     return done.withColumn("formatted", F.when(F.col("problem").isNull(), F.col("formatted")).otherwise(error))
 

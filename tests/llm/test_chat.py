@@ -122,3 +122,33 @@ def test_beyond_the_parser(spark):
     assert got == {1: (2, n), 2: (2, 0)}
     foreign = rows.filter("turn = 1").select("conv_id", F.to_json(F.struct(F.lit("q").alias("prompt"), F.col("text").alias("response"))).alias("record"))
     assert [(x.formatted, x.problem) for x in chat.format_chats(foreign).collect()] == [(None, chat.TOO_LARGE)]
+
+
+def test_parts_and_strays(spark):
+    """Content in parts is joined; single paths of other layouts don't hide the one that is complete."""
+    records = {
+        "parts": {"messages": [{"role": "user", "content": [{"type": "text", "text": "hel"}, {"type": "image", "url": "u"}, {"type": "text", "text": "lo"}, "!"]}, {"role": "assistant", "content": "yo"}]},
+        "empty": {"messages": [{"role": "user", "content": []}]},
+        "stray": {"messages": [{"role": "user", "content": "hi"}], "prompt": "p"},
+        "two": {"messages": [{"role": "user", "content": "hi"}], "conversations": [{"from": "human", "value": "hi"}]},
+    }
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in records.items()], "conv_id string, record string")
+    got = {x.conv_id: x for x in chat.canonical_turns(df).collect()}
+    assert [tuple(t) for t in got["parts"].turns] == [("user", "hello!"), ("assistant", "yo")]
+    assert [tuple(t) for t in got["empty"].turns] == [("user", "")]
+    assert [tuple(t) for t in got["stray"].turns] == [("user", "hi")] and got["stray"].layout == "messages"
+    assert got["two"].layout is None and got["two"].problem == chat.UNKNOWN
+
+
+def test_names_of_helper_columns(spark):
+    """Columns of a foreign table that are named like the operator's own come out as they went in, or aren't read."""
+    names = ["held_", "key_", "record_", "record__", "r", "t", "own_", "roles", "turn"]
+    record = json.dumps({"prompt": "a", "response": "b"})
+    df = spark.createDataFrame([(1, record, *names)], "conv_id bigint, record string, " + ", ".join(f"{n} string" for n in names))
+    got = chat.canonical_turns(df).first()
+    assert [got[n] for n in names] == names and len(got.turns) == 2
+    assert chat.format_chats(df).first().problem is None
+    for n in ("held_", "key_", "t", "record"):
+        assert chat.format_chats(df.withColumn("x", F.col("record")).drop("record").withColumnRenamed("conv_id", n) if n == "record" else df.drop(n).withColumnRenamed("conv_id", n), n, "x" if n == "record" else "record").count() == 1
+    rows = spark.createDataFrame([(1, 0, "user", "a", *names[:-1]), (1, 1, "assistant", "b", *names[:-1])], "conv_id bigint, turn bigint, role string, text string, " + ", ".join(f"{n} string" for n in names[:-1]))
+    assert chat.digests(chat.format_rows(rows)).first().n_turns == 2
