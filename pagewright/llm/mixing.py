@@ -28,6 +28,8 @@ ALPHA = 0.7
 #: Rows of a hash range, about.
 RANGE_ROWS = 20_000
 LEAST_RANGES = 64
+#: Columns that `mix` adds.
+RESULT = ("block", "slot", "place", "release", "deadline")
 #: Sources that a schedule is made for at most: it is made on the driver, with some 4 slots for each, and broadcast.
 SOURCES = 10_000
 
@@ -63,19 +65,18 @@ def schedule(unit: dict) -> list[tuple]:
     return out
 
 
-def numbered(df: DataFrame, source: str, order: list[Column]) -> DataFrame:
-    """`df` with n_: the number (from 0) of a row in its source, by a hash of `order` and then `order`."""
+def numbered(rows: DataFrame, most: int, order: list[Column]) -> DataFrame:
+    """row, source, n: the number (from 0) of a row in its source, by a hash of `order` and then `order`. `rows` has row and source; `most` rows have one source at most."""
     # as many ranges for each source as hold RANGE_ROWS of the largest on average, and so many that a hot source is spread at any size
-    most = df.groupBy(source).count().agg(F.max("count")).first()[0] or 0
     ranges = most // RANGE_ROWS + LEAST_RANGES
-    h = df.withColumn("h_", F.xxhash64(*order))
-    h = h.withColumn("r_", F.floor((F.shiftrightunsigned("h_", 32) * ranges) / (1 << 32)).cast("int"))
-    counts = checkpointed(h.groupBy(source, "r_").count())
-    before = counts.withColumn("before_", F.coalesce(F.sum("count").over(Window.partitionBy(source).orderBy("r_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = before.select(F.col(source).alias("s_"), F.col("r_").alias("q_"), "before_")
-    place = F.row_number().over(Window.partitionBy(source, "r_").orderBy(F.shiftrightunsigned("h_", 1), "h_", *order))
-    joined = h.withColumn("p_", place).join(before, F.col(source).eqNullSafe(F.col("s_")) & (F.col("r_") == F.col("q_")), "left")
-    return joined.withColumn("n_", F.col("before_") + F.col("p_") - 1).drop("h_", "r_", "s_", "q_", "before_", "p_")
+    h = rows.select("row", "source", F.xxhash64(*order).alias("h"))
+    h = h.withColumn("r", F.floor((F.shiftrightunsigned("h", 32) * ranges) / (1 << 32)).cast("int"))
+    counts = checkpointed(h.groupBy("source", "r").count())
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select(F.col("source").alias("s"), F.col("r").alias("q"), before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("source", "r").orderBy(F.shiftrightunsigned("h", 1), "h", *order))
+    joined = h.withColumn("p", place).join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("r") == F.col("q")), "left")
+    return joined.select("row", "source", (F.col("before") + F.col("p") - 1).alias("n"))
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, tie: str | None = "text") -> DataFrame:
@@ -86,24 +87,27 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dic
     key and of column `tie`; of wholly equal rows any may come first. An empty table gives no rows. Columns of `df` that are named
     like a result are replaced. More than SOURCES sources are an error.
     """
-    df = df.drop("block", "slot", "place", "release", "deadline")
+    df = df.drop(*RESULT)
     counts = {r[0]: r[1] for r in df.groupBy(source).count().limit(SOURCES + 1).collect()}
     if len(counts) > SOURCES:
         raise ValueError(f"{source} has more than {SOURCES} values: weights and a schedule are for sources, not for single documents")
     if not counts:
-        return df.select("*", *(F.lit(0).cast("long").alias(c) for c in ("block", "slot", "place", "release", "deadline")))
+        return df.select("*", *(F.lit(0).cast("long").alias(c) for c in RESULT))
     chosen = {k: (n**ALPHA if weights is None else weights.get(k, 0)) for k, n in counts.items()}
     unit = units(chosen, period)
     q = sum(unit.values())
-    rows = json.dumps([{"s": k, "u": unit[k], "i": i, "at": t, "rel": r, "due": d} for k, i, t, r, d in schedule(unit)])
+    plan = json.dumps([{"s": k, "u": unit[k], "i": i, "at": t, "rel": r, "due": d} for k, i, t, r, d in schedule(unit)])
     kind = df.schema[source].dataType.simpleString()
-    table = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(rows), f"array<struct<s:{kind},u:bigint,i:bigint,at:bigint,rel:bigint,due:bigint>>")))
-    share = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"w": k, "units": u} for k, u in unit.items()])), f"array<struct<w:{kind},units:bigint>>")))
-
-    order = [F.col(key)] + ([F.xxhash64(F.col(tie))] if tie and tie in df.columns else [])
-    n = numbered(df, source, order).withColumn("block", F.floor(F.col("n_") / block_rows)).withColumn("place", F.col("n_") % block_rows)
+    told = lambda rows, fields: df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(rows), f"array<struct<{fields}>>")))
+    table = told(plan, f"s:{kind},u:bigint,i:bigint,at:bigint,rel:bigint,due:bigint")
+    share = told(json.dumps([{"w": k, "units": u} for k, u in unit.items()]), f"w:{kind},units:bigint")
+
+    # the caller's columns are fields of one struct, so that no name of theirs meets one from here
+    rows = df.select(F.struct("*").alias("row"), F.col(source).alias("source"))
+    order = [F.col("row").getField(key)] + ([F.xxhash64(F.col("row").getField(tie))] if tie and tie in df.columns else [])
+    n = numbered(rows, max(counts.values()), order).withColumn("block", F.floor(F.col("n") / block_rows)).withColumn("place", F.col("n") % block_rows)
     # both tables have at most q rows, which the weights bound
-    n = n.join(F.broadcast(share), F.col(source).eqNullSafe(F.col("w")))
-    n = n.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("s")) & (F.col("block") % F.col("units") == F.col("i")))
+    n = n.join(F.broadcast(share), F.col("source").eqNullSafe(F.col("w")))
+    n = n.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") % F.col("units") == F.col("i")))
     start = F.floor(F.col("block") / F.col("units")) * q
-    return n.select(*df.columns, "block", (start + F.col("at")).alias("slot"), "place", (start + F.col("rel")).alias("release"), (start + F.col("due")).alias("deadline"))
+    return n.select("row.*", "block", (start + F.col("at")).alias("slot"), "place", (start + F.col("rel")).alias("release"), (start + F.col("due")).alias("deadline"))

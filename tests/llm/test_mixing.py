@@ -66,3 +66,16 @@ def test_default_weights_and_empty(spark):
     assert X.mix(df).count() == 100
     empty = X.mix(df.limit(0))
     assert empty.count() == 0 and empty.columns == X.mix(df).columns
+
+
+def test_names_of_helper_columns(spark):
+    """Any column that isn't named like a result comes out as it went in."""
+    names = ["i", "at", "s", "u", "w", "q", "h", "r", "p", "n", "q_", "h_", "r_", "p_", "n_", "s_", "before", "before_", "units", "rel", "due", "row", "count", "a.b"]
+    rows = [(k, f"t{k}", f"s{k % 3}", *(f"{n}{k}" for n in names)) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = X.mix(df).collect()
+    assert sorted(tuple(x)[: len(rows[0])] for x in got) == rows
+    for n in ("row", "n", "s"):
+        renamed = df.drop(n).withColumnRenamed("source", n)
+        assert X.mix(renamed, source=n).count() == 100
+        assert X.mix(df.drop(n).withColumnRenamed("doc_id", n), key=n).count() == 100
