@@ -42,76 +42,191 @@ def wav(samples: bytes) -> bytes:
 # next, so that many magic bytes in one value take time linear in its length.
 
 
+def _followed(p: int, step: Callable[[int], int | tuple], known: dict):
+    """What ends the chain of parts from `p` on. step(p) is the place of the next part, further on, or (what ends it,).
+
+    Each place that is passed is remembered in `known`, so that chains that run together are walked once.
+    """
+    passed: list[int] = []
+    while p not in known:
+        passed.append(p)
+        after = step(p)
+        if isinstance(after, tuple):
+            known[p] = after[0]
+            break
+        p = after
+    known.update(dict.fromkeys(passed, known[p]))
+    return known[p]
+
+
+class _Chunks:
+    """The forest of RIFF chunks of one value: each place has one next place. Nodes keep a jump of a skew-binary length, so that a later place on a chain is found in log steps."""
+
+    def __init__(self, d: bytes):
+        self.d, self.node = d, {}  # place: (next, jump, length of the chain, chunks of each needed kind on it)
+
+    def _walk(self, p: int) -> None:
+        passed = []
+        while p not in self.node:
+            if p + 8 > len(self.d):
+                self.node[p] = (p, p, 0, (0, 0, 0))
+                break
+            passed.append(p)
+            n = int.from_bytes(self.d[p + 4 : p + 8], "little")
+            p += 8 + n + (n & 1)
+        for q in reversed(passed):
+            after, (_, jump, length, seen) = p, self.node[p]
+            far = self.node[jump]
+            # the lengths of two equal jumps behind each other become one
+            to = far[1] if length - far[2] == far[2] - self.node[far[1]][2] else after
+            kind = self.d[q : q + 4]
+            self.node[q] = (after, to, length + 1, tuple(s + (kind == k) for s, k in zip(seen, (b"fmt ", b"data", b"LIST"), strict=True)))
+            p = q
+
+    def between(self, p: int, end: int) -> tuple | None:
+        """How many chunks of each needed kind the chain from `p` has before `end`; None if it doesn't pass `end`."""
+        self._walk(p)
+        at = p
+        while at < end:
+            after, jump, length, _ = self.node[at]
+            if not length:
+                return None
+            at = jump if jump <= end else after
+        return tuple(a - b for a, b in zip(self.node[p][3], self.node[end][3], strict=True)) if at == end else None
+
+
 def _riff(d: bytes, at: int, memo: dict) -> int | None:
     if len(d) < at + 12:
         return None
-    end = at + 8 + int.from_bytes(d[at + 4 : at + 8], "little")
-    if end > len(d) or d[at + 8 : at + 12] not in (b"WAVE", b"WEBP", b"AVI "):
+    end, kind = at + 8 + int.from_bytes(d[at + 4 : at + 8], "little"), d[at + 8 : at + 12]
+    if end > len(d) or end < at + 20 or kind not in (b"WAVE", b"WEBP", b"AVI "):
         return None
-    p, seen = at + 12, set()
-    while p + 8 <= end:
-        seen.add(d[p : p + 4])
-        n = int.from_bytes(d[p + 4 : p + 8], "little")
-        p += 8 + n + (n & 1)
-    needed = {b"WAVE": {b"fmt ", b"data"}, b"AVI ": {b"LIST"}}.get(d[at + 8 : at + 12], set())
-    return end if p == end and seen and needed <= seen else None
+    chunks = memo.get("riff") or memo.setdefault("riff", _Chunks(d))
+    seen = chunks.between(at + 12, end)
+    if seen is None:
+        return None
+    fmt, data, listed = seen
+    return end if {b"WAVE": fmt and data, b"AVI ": listed}.get(kind, True) else None
+
+
+#: Ranges from this size on get their CRC from those of prefixes, kept at each STRIDE bytes.
+LONG, STRIDE = 1 << 16, 1 << 12
+
+
+def _times(a: int, b: int) -> int:
+    """The product of two polynomials modulo that of CRC-32; the highest bit is the constant term."""
+    out = 0
+    while a:
+        if a & 1 << 31:
+            out ^= b
+        a = a << 1 & 0xFFFFFFFF
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[int, ...]:
+    """x to the power 8 * 2^k, for k up to 40."""
+    out = [1 << 23]
+    for _ in range(40):
+        out.append(_times(out[-1], out[-1]))
+    return tuple(out)
+
+
+def _crc(d: bytes, start: int, end: int, memo: dict) -> int:
+    """CRC-32 of d[start:end]; that of a long range from two prefixes, so that long ranges that overlap don't add up."""
+    view = memoryview(d)
+    if end - start < LONG:
+        return zlib.crc32(view[start:end])
+    if "crc" not in memo:
+        kept = memo.setdefault("crc", [0])
+        for p in range(0, len(d) - STRIDE + 1, STRIDE):
+            kept.append(zlib.crc32(view[p : p + STRIDE], kept[-1]))
+    prefix = lambda p: zlib.crc32(view[p // STRIDE * STRIDE : p], memo["crc"][p // STRIDE])
+    moved, n = prefix(start), end - start
+    for k, power in enumerate(_powers()):
+        if n >> k & 1:
+            moved = _times(moved, power)
+    return prefix(end) ^ moved
 
 
 def _png(d: bytes, at: int, memo: dict) -> int | None:
-    p = at + 8
-    while p + 12 <= len(d):
-        n = int.from_bytes(d[p : p + 4], "big")
-        kind, end = d[p + 4 : p + 8], p + 12 + n
-        if end > len(d) or (p == at + 8 and n != 13) or zlib.crc32(memoryview(d)[p + 4 : end - 4]) != int.from_bytes(d[end - 4 : end], "big") or (p == at + 8) != (kind == b"IHDR"):
-            return None
-        if kind == b"IEND":
-            return end if n == 0 else None
-        p = end
-    return None
+    def whole(p: int) -> tuple[bytes, int] | None:
+        """Kind and end of the chunk at `p`, if it fits; its bytes aren't looked at."""
+        end = p + 12 + int.from_bytes(d[p : p + 4], "big")
+        return (d[p + 4 : p + 8], end) if p + 12 <= len(d) and end <= len(d) else None
+
+    sound = lambda p, end: _crc(d, p + 4, end - 4, memo) == int.from_bytes(d[end - 4 : end], "big")
+
+    def shape(p: int):
+        chunk = whole(p)
+        if chunk is None or chunk[0] == b"IHDR":
+            return (None,)
+        return (chunk[1] if chunk[1] == p + 12 else None,) if chunk[0] == b"IEND" else chunk[1]
+
+    def checked(p: int):
+        kind, end = whole(p)
+        if not sound(p, end):
+            return (None,)
+        return (end,) if kind == b"IEND" else end
+
+    head = whole(at + 8)
+    if head is None or head != (b"IHDR", at + 33) or not sound(at + 8, at + 33):
+        return None
+    # only chunks of chains that reach an end have their bytes checked
+    if _followed(at + 33, shape, memo.setdefault("png shape", {})) is None:
+        return None
+    return _followed(at + 33, checked, memo.setdefault("png", {}))
 
 
 def _gif(d: bytes, at: int, memo: dict) -> int | None:
     if len(d) < at + 14:
         return None
-    p = at + 13 + (3 << ((d[at + 10] & 7) + 1) if d[at + 10] & 128 else 0)
+    inner = memo.setdefault("gif data", {})
+    colours = lambda flags: 3 << ((flags & 7) + 1) if flags & 128 else 0
 
-    def blocks(q: int) -> int:
-        while q < len(d) and d[q]:
-            q += d[q] + 1
-        return q + 1
+    def piece(q: int):
+        return q + d[q] + 1 if q < len(d) and d[q] else (q + 1,)
 
-    while p < len(d):
+    def block(p: int):
+        if p >= len(d):
+            return (None,)
         if d[p] == 0x3B:
-            return p + 1
+            return (p + 1,)
         if d[p] == 0x21:
-            p = blocks(p + 2)
-        elif d[p] == 0x2C and p + 10 < len(d):
-            p = blocks(p + 11 + (3 << ((d[p + 9] & 7) + 1) if d[p + 9] & 128 else 0))
-        else:
-            return None
-    return None
+            return _followed(p + 2, piece, inner)
+        if d[p] == 0x2C and p + 10 < len(d):
+            return _followed(p + 11 + colours(d[p + 9]), piece, inner)
+        return (None,)
+
+    return _followed(at + 13 + colours(d[at + 10]), block, memo.setdefault("gif", {}))
 
 
 def _jpeg(d: bytes, at: int, memo: dict) -> int | None:
-    p = at + 2
-    while p + 4 <= len(d) and d[p] == 0xFF:
-        kind = d[p + 1]
-        if kind in (0x00, 0x01, 0xD8, 0xD9, 0xFF) or 0xD0 <= kind <= 0xD7:
-            return None
-        n = int.from_bytes(d[p + 2 : p + 4], "big")
-        if n < 2:
-            return None
-        p += 2 + n
-        if kind == 0xDA:  # entropy-coded data up to the next marker that isn't a restart or a stuffed byte
-            while (p := d.find(b"\xff", p)) >= 0 and p + 1 < len(d):
-                if d[p + 1] == 0xD9:
-                    return p + 2
-                if d[p + 1] and not 0xD0 <= d[p + 1] <= 0xD7:
-                    break
-                p += 2
-            if p < 0:
-                return None
-    return None
+    if at + 6 > len(d) or d[at + 3] in (0x00, 0x01, 0xFF) or 0xD0 <= d[at + 3] <= 0xD9:
+        return None  # no segment begins so
+    scans = memo.setdefault("jpeg data", {})
+
+    def coded(q: int):
+        """Entropy-coded data up to the next marker that isn't a restart or a stuffed byte: its place, or less than 0 for the end behind it."""
+        if q < 0 or q + 1 >= len(d):
+            return (None,)
+        if d[q + 1] == 0xD9:
+            return (-(q + 2),)
+        return (q,) if d[q + 1] and not 0xD0 <= d[q + 1] <= 0xD7 else _next(d, 0xFF, q + 2, memo)
+
+    def segment(p: int):
+        if p + 4 > len(d) or d[p] != 0xFF:
+            return (None,)
+        kind, n = d[p + 1], int.from_bytes(d[p + 2 : p + 4], "big")
+        if kind in (0x00, 0x01, 0xD8, 0xD9, 0xFF) or 0xD0 <= kind <= 0xD7 or n < 2:
+            return (None,)
+        if kind != 0xDA:
+            return p + 2 + n
+        stop = _followed(_next(d, 0xFF, p + 2 + n, memo), coded, scans)
+        return (None,) if stop is None else (-stop,) if stop < 0 else stop
+
+    return _followed(at + 2, segment, memo.setdefault("jpeg", {}))
 
 
 def _bmp(d: bytes, at: int, memo: dict) -> int | None:
@@ -122,12 +237,12 @@ def _bmp(d: bytes, at: int, memo: dict) -> int | None:
     return at + size if ok and at + size <= len(d) else None
 
 
-def _nul(d: bytes, at: int, memo: dict) -> int:
-    """Place of the first zero byte from `at` on, or -1. Places are asked for from left to right, so the bytes are looked at once."""
-    found = memo.get("nul", -2)
-    if found == -2 or 0 <= found < at or memo["nul from"] > at:
-        found = memo["nul"] = d.find(b"\0", at)
-        memo["nul from"] = at
+def _next(d: bytes, byte: int, at: int, memo: dict) -> int:
+    """Place of the next such byte from `at` on, or -1. What lies between a place that was asked for and the one found isn't looked at again."""
+    start, found = memo.get(("next", byte), (0, -2))
+    if found == -2 or at < start or 0 <= found < at:
+        found = d.find(byte, at)
+        memo["next", byte] = (at, found)
     return found
 
 
@@ -154,7 +269,7 @@ def _gzip(d: bytes, at: int, memo: dict) -> int | None:
         p += 2 + int.from_bytes(d[p : p + 2], "little")
     for name in (8, 16):
         if flags & name:
-            if (end := _nul(d, p, memo)) < 0:
+            if (end := _next(d, 0, p, memo)) < 0:
                 return None
             p = end + 1
     start = p + 2 if flags & 2 else p

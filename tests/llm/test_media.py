@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import random
 import struct
 import time
 import zipfile
@@ -59,6 +60,59 @@ def test_many_magic_bytes_take_linear_time():
         assert time.time() - began < 2, part
 
 
+def chains():
+    """1 MB each of files whose parts run together without an end, in the formats that have chains of parts."""
+    n = 1_000_000
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    head = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13))
+    yield "gif text", b"GIF89a" + b"abcd" + b"\0\0\0" + b"! " + (b"GIF89aabcd\0\0\0! " * (n // 15))
+    yield "gif blocks", (b"GIF89a" + bytes(7)) * (n // 26) + b"!\xf9\1\1\0" * (n // 10)
+    yield "gif data", (b"GIF89a" + bytes(7) + b"!\xfe\xf0") * (n // 32) + b"\1x" * (n // 4)
+    yield "jpeg segments", (b"\xff\xd8\xff\xe0\0\4") * (n // 6)
+    yield "jpeg tail", b"".join(b"\xff\xd8\xff\xe0" + struct.pack(">H", 60_000 - 6 * i) for i in range(10_000)) + b"\xff\xe0\0\2" * (n // 4)
+    yield "jpeg data", b"".join(b"\xff\xd8\xff\xda" + struct.pack(">H", 60_000 - 6 * i) for i in range(9_900)) + b"\xff\0" * (n // 2)
+    yield "png tail", (head + struct.pack(">I", 4) + b"IDAT") * (n // 82) + chunk(b"tEXt", b"") * (n // 24)
+    yield "png long", b"".join(head + struct.pack(">I", n - 41 * i - 53) + b"IDAT" for i in range(n // 82)).ljust(n, b"x") + chunk(b"IEND", b"")
+    yield "riff tail", b"".join(b"RIFF" + struct.pack("<I", n - 20 * i) + b"WAVE" + b"abcd" + struct.pack("<I", n // 2 - 20 * i) for i in range(n // 40)) + (b"fmt " + bytes(4)) * (n // 12)
+
+
+def test_chains_that_run_together_take_linear_time():
+    for name, data in chains():
+        began = time.time()
+        M.sniff(data)
+        took = time.time() - began
+        began = time.thread_time()
+        sum(range(5_000_000))
+        assert took < 2 + 20 * (time.thread_time() - began), (name, took)  # a slow machine has more time
+
+
+def test_crc_of_ranges():
+    r = random.Random(3)
+    d, memo = r.randbytes(400_000), {}
+    for _ in range(50):
+        a, b = sorted(r.randrange(len(d)) for _ in range(2))
+        assert M._crc(d, a, b, memo) == zlib.crc32(d[a:b])
+    assert M._crc(d, 0, len(d), memo) == zlib.crc32(d)
+
+
+def test_chunks_by_walking():
+    """Chains of RIFF chunks against a walk, over bytes full of small lengths."""
+    r = random.Random(4)
+    for _ in range(300):
+        d = b"".join(r.choice([b"fmt ", b"data", b"LIST", b"abcd"]) + struct.pack("<I", r.choice([0, 0, 1, 2, 4, 8, 13, 200])) for _ in range(40))
+        chunks = M._Chunks(d)
+        for _ in range(20):
+            start, end = r.randrange(0, 160, 2), r.randrange(0, len(d) + 1)
+            p, seen = start, [0, 0, 0]
+            while p + 8 <= min(end, len(d)):
+                for i, k in enumerate((b"fmt ", b"data", b"LIST")):
+                    seen[i] += d[p : p + 4] == k
+                n = int.from_bytes(d[p + 4 : p + 8], "little")
+                p += 8 + n + (n & 1)
+            if end > start:
+                assert chunks.between(start, end) == (tuple(seen) if p == end else None)
+
+
 def test_gzip_headers_and_ends():
     """Optional header fields, wrong trailers and streams that are cut off."""
     body = gzip.compress(b"hello" * 100)[10:]
