@@ -18,9 +18,9 @@ FEW = 200_000
 
 
 def _by_row(docs: DataFrame) -> DataFrame:
-    """`docs` with row_: what tells a row from others, in the order in which copies stay: doc_id, nulls last, and the text."""
+    """doc (all columns of `docs`, so that none of their names meets one of ours), text, and row: what tells a row from others, in the order in which copies stay: doc_id, nulls last, and the text."""
     text = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    return docs.withColumn("row_", F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), text.alias("text")))
+    return docs.select(F.struct("*").alias("doc"), "text", F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), text.alias("text")).alias("row"))
 
 
 def _without_dropped(docs: DataFrame, decide) -> DataFrame:
@@ -30,13 +30,13 @@ def _without_dropped(docs: DataFrame, decide) -> DataFrame:
     and text (or with the same text and no doc_id) are one row that came several times: one of them stays, if any, the first by its other columns.
     """
     rows = _by_row(docs)
-    told = decide(rows, key="row_").groupBy("row_").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    told = checkpointed(told.filter("NOT kept OR n > 1").select("row_", F.when(F.col("kept"), "repeated").otherwise("dropped").alias("told_")))
-    kept = rows.join(F.broadcast(told) if told.count() <= FEW else told, "row_", "left")
-    once = kept.filter("told_ IS NULL").select(*docs.columns)
-    if told.filter("told_ = 'repeated'").isEmpty():
+    told = decide(rows.select("row", "text"), key="row").groupBy("row").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    told = checkpointed(told.filter("NOT kept OR n > 1").select("row", F.when(F.col("kept"), "repeated").otherwise("dropped").alias("told")))
+    kept = rows.select("doc", "row").join(F.broadcast(told) if told.count() <= FEW else told, "row", "left")
+    once = kept.filter("told IS NULL").select("doc.*")
+    if told.filter("told = 'repeated'").isEmpty():
         return once
-    first = kept.filter("told_ = 'repeated'").groupBy("row_").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    first = kept.filter("told = 'repeated'").groupBy("row").agg(F.min("doc").alias("doc")).select("doc.*")
     return once.unionByName(first)
 
 
@@ -46,7 +46,8 @@ def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     if not len(model.vectors):
         return docs
-    return quality.classify(docs, model, score="quality_score_").filter(F.col("quality_score_") >= quality.ACCEPT).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), "text")
+    return quality.classify(rows, model, score="score").filter(F.col("score") >= quality.ACCEPT).select("doc.*")
 
 
 def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

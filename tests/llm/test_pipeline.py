@@ -95,3 +95,19 @@ def test_decided_by_row(spark, sf_dir):
     assert rows(C.distinct_enough(spark, exact, sf_dir)) == sorted([(2, "a b  c"), (2, "d e f"), (None, " g h i"), texts[8], texts[10]], key=str)
     stripped = sorted(((i, t.strip()) for i, t in rows(C.distinct_enough(spark, docs, sf_dir))), key=str)  # of equal sets any text may stay
     assert stripped == sorted([(1, "a b c"), (2, "d e f"), (None, "g h i"), texts[8], texts[10]], key=str)
+
+
+def test_names_of_helper_columns(spark, sf_dir, tmp_path):
+    """Columns that are named like those of a stage or an operator come out as they went in."""
+    names = ["row", "row_", "told", "told_", "doc", "score", "quality_score_", "key_", "k_", "n", "n_", "i", "at", "kept", "level", "name", "s"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60")
+    docs = docs.select("*", *(F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names))
+    docs = docs.union(docs.filter("doc_id < 5"))
+    for i, (_, stage) in enumerate(C.STAGES[:-1]):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        got = docs.collect()
+        assert got and all(r[n] == f"{n}:{r.doc_id}" for r in got for n in names)
+    assert C.STAGES[-1][1](spark, docs, sf_dir).count() == len(got)
