@@ -6,6 +6,7 @@ import difflib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,7 +94,8 @@ def compact(spark: SparkSession, source: str, target: str, file_bytes: int = 128
 @F.pandas_udf(ArrayType(StringType()))
 def _diffs(source: pd.Series, other: pd.Series) -> pd.Series:
     def one(a, b):
-        return [redact.redact(x) for x in difflib.unified_diff(a.splitlines(), b.splitlines(), "source_text", "data", lineterm="", n=1)]
+        # whole texts are redacted, as a credential may go over several lines
+        return list(difflib.unified_diff(redact.redact(a).splitlines(), redact.redact(b).splitlines(), "source_text", "data", lineterm="", n=1))
 
     return pd.Series([one(a or "", b or "") for a, b in zip(source, other, strict=True)], dtype=object)
 
@@ -103,60 +105,61 @@ def drift_diff(source, other) -> Column:
     return _diffs(source, other)
 
 
-def _inside(text: str, term: str, begins: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """For windows of `limit` characters: how often a term lies wholly in each, and where it does first (-1: nowhere)."""
-    at, found = [], text.find(term)
-    while found >= 0:
-        at.append(found)
-        found = text.find(term, found + 1)
-    places = np.array(at, dtype=np.int64)
-    low, high = np.searchsorted(places, begins), np.searchsorted(places, begins + limit - len(term), side="right")
-    some = high > low
-    first = np.where(some, places[np.minimum(low, len(places) - 1)] - begins if at else 0, -1)
-    if any(b - a < len(term) for a, b in zip(at, at[1:])):  # a term that overlaps itself is counted as str.count does
-        return np.array([text.count(term, b, b + limit) for b in begins.tolist()]), first
-    return np.where(some, high - low, 0), first
+def _places(text: str, term: str) -> np.ndarray:
+    """Where a term begins in a text, overlapping itself or not."""
+    at = [text.find(term)]
+    while at[-1] >= 0:
+        at.append(text.find(term, at[-1] + 1))
+    return np.array(at[:-1], dtype=np.int64)
 
 
 def densest(text: str, terms: list[str], limit: int) -> str:
     """The window of a text (blanks squeezed) that holds most different terms, then most in all, then the ones furthest from its edges, then the first.
 
     Windows begin where a term stands at their start, in their middle or at their end, at the text's start, or end with the text. What is cut off is marked.
+    A sweep: an occurrence enters the window that ends behind it and leaves with the one that begins behind its first letter, so that sums over
+    these events give what every window holds.
     """
     text = " ".join(text.split())
-    if len(text) <= limit:
+    last = len(text) - limit
+    if last <= 0:
         return text
-    low, last = text.lower(), len(text) - limit
+    low = text.lower()
     if len(low) != len(text):  # letters whose lower case is longer would shift all places
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    terms = [t for t in sorted(set(terms)) if t]
-    begins = {0, last}
-    for t in terms:
-        at = low.find(t)
-        while at >= 0:
-            begins |= {min(last, max(0, at - back)) for back in (0, limit // 2, limit - len(t))}
-            at = low.find(t, at + 1)
-    start = np.array(sorted(begins), dtype=np.int64)
-    unique, count, margin = np.zeros((3, len(start)), dtype=np.int64)
-    for t in terms:
-        n, first = _inside(low, t, start, limit)
-        unique += first >= 0
-        count += n
-        margin += np.where(first >= 0, np.maximum(0, np.minimum(first, limit - first - len(t))), 0)
-    best = int(start[np.lexsort((start, -margin, -count, -unique))[0]])
-    window = text[best : best + limit]
-    window = "…" + window[1:] if best > 0 else window
-    return window[:-1] + "…" if best < last else window
-
-
-def dense_window(text, terms, limit: int) -> Column:
-    """`densest` of a text column by a column of terms; null counts as empty. Arrow batches."""
-
-    @F.pandas_udf(StringType())
-    def run(x: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([densest(a or "", list(b) if b is not None else [], limit) for a, b in zip(x, t, strict=True)], dtype=object)
-
-    return run(text, terms)
+    seen = {t: at for t in sorted(set(terms)) if t and len(at := _places(low, t))}
+    edges = [np.array([0, last])] + [at - back for t, at in seen.items() for back in (0, limit // 2, limit - len(t))]
+    begins = np.unique(np.clip(np.concatenate(edges), 0, last))
+    held = np.zeros((3, len(begins)), dtype=np.int64)  # different terms, all occurrences, distance from the edges
+    for t, at in seen.items():
+        if len(t) > limit:
+            continue
+        events = np.zeros(last + 2, dtype=np.int64)
+        np.add.at(events, np.clip(at + len(t) - limit, 0, last + 1), 1)
+        np.add.at(events, np.minimum(at + 1, last + 1), -1)
+        inside = np.cumsum(events)[begins]
+        if (np.diff(at) < len(t)).any():  # of a term that overlaps itself, occurrences are those that don't
+            inside = np.array([low.count(t, b, b + limit) for b in begins.tolist()])
+        first = at[np.minimum(np.searchsorted(at, begins), len(at) - 1)] - begins
+        held += np.where(inside > 0, np.stack([np.ones_like(inside), inside, np.maximum(0, np.minimum(first, limit - first - len(t)))]), 0)
+    best = int(begins[np.lexsort((begins, *-held[::-1]))[0]])
+    return ("…" if best else text[0]) + text[best + 1 : best + limit - 1] + ("…" if best < last else text[-1])
+
+
+def dense_windows(df: DataFrame, text: Column | str, terms: Column | str, limit: int, key: str = "doc_id") -> DataFrame:
+    """key, window: `densest` of each row's text by its terms (an array of strings). Null texts and terms count as empty; rows stay as many as they are.
+
+    It goes through the table, not through a column function, so that `terms` may be any expression.
+    """
+    rows = df.select(F.col(key).alias("k"), F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")).alias("t"), (terms if isinstance(terms, Column) else F.col(terms)).alias("w"))
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            found = [densest(t, w or [], limit) for t, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["k", "window"])
+
+    return rows.mapInArrow(run, f"k {kind}, window string").withColumnRenamed("k", key)
 
 
 def visible(nodes: DataFrame, by: str, enabled: list[str], orphans: bool = True, conflicts_only: bool = False) -> DataFrame:

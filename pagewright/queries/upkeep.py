@@ -136,7 +136,7 @@ def delivery_summary(spark, d):
 def dense_windows(spark, d):
     """The window of 300 characters of every document that holds most of its title's words; a test holds it against all windows."""
     docs = tables.table(spark, d, "documents").withColumn("title", F.substring_index(F.coalesce("text", F.lit("")), "\n", 1))
-    return docs.select("doc_id", U.dense_window("text", T.tokens("title"), 300).alias("window"))
+    return U.dense_windows(docs, "text", T.tokens("title"), 300)
 
 
 @query()

@@ -13,24 +13,24 @@ from tests.test_engine import PAGES, wiki  # noqa: F401
 
 
 def window_by_trying(text, terms, limit):
-    """Every begin that a term can give, each scored by looking at its window."""
+    """Every place where a window can begin; those that no term touches in the asked ways are left out."""
     text = " ".join(text.split())
     if len(text) <= limit:
         return text
     low, last = text.lower(), len(text) - limit
-    begins = {0, last}
-    for t in set(terms):
-        for i in range(len(text)):
-            if low.startswith(t, i):
-                begins |= {min(last, max(0, x)) for x in (i, i - limit // 2, i - limit + len(t))}
-    def key(b):
+    best = None
+    for b in range(last + 1):
+        low_here = [t for t in set(terms) for x in (b, b + limit // 2, b + limit - len(t)) if low.startswith(t, x)]
+        clipped = b == 0 or b == last  # also what would begin before the text or end behind it
+        if not (low_here or clipped):
+            continue
         w = low[b : b + limit]
         held = [t for t in set(terms) if t in w]
-        return len(held), sum(w.count(t) for t in held), sum(max(0, min(w.find(t), limit - w.find(t) - len(t))) for t in held), -b
-    b = max(begins, key=key)
-    w = text[b : b + limit]
-    w = "…" + w[1:] if b else w
-    return w[:-1] + "…" if b < last else w
+        score = (len(held), sum(w.count(t) for t in held), sum(max(0, min(w.find(t), limit - w.find(t) - len(t))) for t in held))
+        if best is None or score > best[0]:
+            best = (score, b)
+    b = best[1]
+    return ("…" if b else text[0]) + text[b + 1 : b + limit - 1] + ("…" if b < last else text[-1])
 
 
 def test_dense_window(spark):
@@ -40,8 +40,9 @@ def test_dense_window(spark):
     for text, terms in cases:
         assert U.densest(text, terms, 40) == window_by_trying(text, terms, 40)
     rows = spark.createDataFrame([("a b", ["a"]), (None, ["a"]), ("x " * 100, None), ("", [])], "text string, terms array<string>")
-    got = [r[0] for r in rows.select(U.dense_window("text", "terms", 10)).collect()]
-    assert got == ["a b", "", ("x " * 100)[:9] + "…", ""]
+    for _ in range(2):
+        got = [r.window for r in U.dense_windows(rows.withColumn("doc_id", F.lit(1)), "text", "terms", 10).collect()]
+        assert got == ["a b", "", ("x " * 100)[:9] + "…", ""]
 
 
 def test_drift_diff(spark):
@@ -49,6 +50,9 @@ def test_drift_diff(spark):
     got = [r[0] for r in rows.select(U.drift_diff("a", "b")).collect()]
     assert got[0] == ["--- source_text", "+++ data", "@@ -2,3 +2,3 @@", " b", "-c", "+X", " d"]
     assert got[1] == [] and got[2][-1] == "+new" and not any("0123456789abcdef" in x for x in got[3])
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEabc\nMIIEdef\n-----END RSA PRIVATE KEY-----"
+    lines = spark.createDataFrame([(f"a\n{key}\nb", "a\nb")], "a string, b string").select(U.drift_diff("a", "b")).first()[0]
+    assert lines and not any("MIIE" in x for x in lines)
 
 
 def test_stale_index(spark, tmp_path):
