@@ -92,3 +92,22 @@ NULLS = ("null", "~", "")
 LAYOUT_RADIUS, GOLDEN = 18.0, 0.6180339887498949
 GROUP_COLOURS = ("#65e79c", "#ff8dca", "#ffa56d", "#56e1f2", "#91a7ff", "#c69cff")
 RESERVED_GROUPS = ("multi", "ungrouped")
+
+# The ranker by substrings, aliases and typed hops. Its words, what an ending may be, its weights and limits.
+HOP_WORD = "[0-9A-Za-zㄱ-ㆎ가-힣_][0-9A-Za-zㄱ-ㆎ가-힣_.\\-:/]*"
+HOP_PARTICLES = (
+    "으로부터 에서는 에게서 이라고 라고는 에서도 까지도 으로는 이라는 에게는 부터 까지 에서 에게 으로 라고 이나 이란 이든 한테 보다 처럼 마다 조차 "
+    "밖에 이다 한다 된다 이며 하며 하고 이고 은가 는가 인가 나요 니까 지만 면서 는데 은데 "
+    "은 는 이 가 을 를 의 에 도 만 와 과 로 야 라 며 고 든 나"
+).split()
+HOP_LEAST_CHARS, HOP_TERMS, HOP_POSTINGS, HOP_DF_SHARE = 2, 12, 400, 0.30
+HOP_RARE_SHARE, HOP_RARE_WEIGHT, HOP_CANDIDATES, HOP_TAIL = 0.002, 0.60, 200, 0.25
+ALIAS_WEIGHTS = {"alias": 1.00, "title": 0.70, "tag": 0.25}
+ALIAS_TAG_TYPES = ("concept", "entity")
+ALIAS_FANOUT, ALIAS_WORDS, ALIAS_TERM_WEIGHT, ALIAS_TERMS, ALIAS_DF_SHARE = 12, 3, 0.90, 6, 0.02
+CONCEPT_SELF, CONCEPT_HOP, CONCEPT_FANOUT = 0.20, 0.25, 40
+RELATION_WEIGHT, RELATION_MOST, RELATION_SOURCES = 0.30, 0.60, 60
+RELATED_HOP, RELATED_SOURCES, RELATED_LEAST = 0.85, 15, 0.50
+OLD_GATE, OLD_DECAY, FORWARD_WEIGHT, FORWARD_MORE, CHAIN_STEPS = 0.30, 0.70, 1.00, 0.02, 16
+HOP_ANCHOR, SOURCES_BONUS, REFS_BONUS, CURRENT_BONUS, OPEN_CONFLICT_BONUS = 0.35, 0.05, 0.03, 0.04, -0.03
+HOP_EVIDENCE, RELATION_EVIDENCE = 3, 3
