@@ -25,7 +25,7 @@ WORDS, LEAST, COVERED, TOP = 3, 10, 50, 2000
 #: Language of texts that name none.
 NO_LANG = "und"
 #: Bytes of text in a shard, bits of the bitmap of frequent phrases (16 MB, whatever the size of the corpus), rows of an Arrow batch.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 FILTER_BITS = 1 << 27
 ROWS = 100_000
 #: Parts of a language that are ranked by themselves before the language is.
