@@ -10,19 +10,25 @@ from pagewright.operators.links import weak_degree
 from pagewright.plans.cut import cut
 
 
-def adjacency(resolved: DataFrame, fanout: int = fixed.FANOUT, damp: bool = True) -> DataFrame:
+def adjacency(resolved: DataFrame, fanout: int = fixed.FANOUT, damp: bool = True, of: DataFrame | None = None) -> DataFrame:
     """src, dst, w, own_block: links in both directions with the weight of the strongest, weak ones damped by the receiver's degree.
 
     Supersedes links carry no weight, but count where own_block is the block of the first link from src to dst. Each page
-    keeps its `fanout` strongest neighbours.
+    keeps its `fanout` strongest neighbours. With `of` (page_id) only the rows of these pages are made, from the links that they and their neighbours have.
     """
     r = resolved.filter("dst IS NOT NULL")
+    every = resolved
+    if of is not None:
+        r = cut(touching(r, of))
+        every = cut(touching(resolved.filter("dst IS NOT NULL"), r.select("page_id").union(r.select("dst")).distinct()))
     own = r.groupBy("page_id", "dst").agg(F.min_by("block_id", "ord").alias("own_block"))
     w = F.when(F.col("kind") == "related", fixed.RELATED_WEIGHT).otherwise(fixed.OTHER_WEIGHT)
     both = r.filter("kind <> 'supersedes'").select(F.explode(F.array(F.struct(F.col("page_id").alias("src"), F.col("dst").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("page_id").alias("dst")))).alias("e"), w.alias("w"))
     pairs = both.groupBy("e.src", "e.dst").agg(F.max("w").alias("w"))
+    if of is not None:
+        pairs = pairs.join(of.select(F.col("page_id").alias("src")), "src", "left_semi")
     if damp:
-        into = weak_degree(resolved).withColumnRenamed("page_id", "dst")
+        into = weak_degree(every).withColumnRenamed("page_id", "dst")
         pairs = pairs.join(into, "dst", "left").withColumn("w", F.when(F.col("w") < 1, F.round(F.col("w") / (1 + F.log(F.greatest(F.coalesce("weak_in", F.lit(1)), F.lit(1)).cast("double"))), 6)).otherwise(F.col("w")))
     n = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
     top = pairs.withColumn("n", n).filter(F.col("n") <= fanout)
@@ -30,6 +36,25 @@ def adjacency(resolved: DataFrame, fanout: int = fixed.FANOUT, damp: bool = True
     return top.join(named, ["src", "dst"], "left").select("src", "dst", "w", F.coalesce("own_block", F.lit("")).alias("own_block"))
 
 
+def touching(resolved: DataFrame, pages: DataFrame) -> DataFrame:
+    """The links (with dst) that have one of the pages at either end, each once."""
+    near = pages.select(F.col("page_id").alias("p_"), F.lit(True).alias("at_"))
+    rows = resolved.join(near.select(F.col("p_").alias("page_id"), F.col("at_").alias("from_")), "page_id", "left").join(near.select(F.col("p_").alias("dst"), F.col("at_").alias("to_")), "dst", "left")
+    return rows.filter("from_ OR to_").select(*resolved.columns)
+
+
+def versions_around(supersedes: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_id of all pages that chains of the links (page_id, dst) join to the given ones: their components."""
+    ways = cut(supersedes.select("page_id", "dst").union(supersedes.select("dst", "page_id")).distinct())
+    found = cut(pages.select("page_id").distinct())
+    edge = found
+    while True:  # a round for each step away from the pages, chains being short; only new pages go on
+        edge = cut(ways.join(edge, "page_id", "left_semi").select(F.col("dst").alias("page_id")).distinct().join(found, "page_id", "left_anti"))
+        if edge.isEmpty():
+            return found
+        found = cut(found.union(edge))
+
+
 def chains(resolved: DataFrame) -> DataFrame:
     """page_id, head, state: where following the newer version leads, for all pages that have one.
 

@@ -14,7 +14,7 @@ from pagewright.operators import graph, links
 from pagewright.plans.cut import cut
 from pagewright.sources.tables import KnowledgeBase
 
-INDEX_VERSION = "1"
+INDEX_VERSION = "2"
 
 
 class Index(NamedTuple):
@@ -85,33 +85,47 @@ def statistics(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """One row: n_pages, n_blocks, total_len, avg_len, avg_body."""
     b = blocks.agg(F.count("*").alias("n_blocks"), F.coalesce(F.sum("len"), F.lit(0)).alias("total_len"))
     p = pages.agg(F.count("*").alias("n_pages"))
-    s = p.crossJoin(b)  # one row each
+    return averages(p.crossJoin(b))  # one row each
+
+
+def averages(s: DataFrame) -> DataFrame:
+    """n_pages, n_blocks, total_len and the averages that they give."""
     avg_len = F.when((F.col("n_blocks") > 0) & (F.col("total_len") > 0), F.col("total_len") / F.col("n_blocks")).otherwise(1.0)
     avg_body = F.when(F.col("n_pages") > 0, F.greatest(F.lit(1.0), (F.col("n_blocks") - F.col("n_pages")) / F.col("n_pages"))).otherwise(1.0)
     return s.select("n_pages", "n_blocks", "total_len", avg_len.alias("avg_len"), avg_body.alias("avg_body"))
 
 
 def page_facts(pages: DataFrame, all_blocks: DataFrame, indexed: DataFrame) -> DataFrame:
-    """`pages` with labels (tags and keywords), n_blocks, n_body (indexed ones) and unresolved."""
+    """`pages` with labels (tags and keywords), n_blocks, n_body (indexed ones), unresolved, and first_ev, the first block with evidence."""
     n = all_blocks.groupBy("page_id").agg(F.count("*").alias("n_blocks"), F.count_if("unresolved").alias("unresolved"))
-    body = indexed.filter("pos >= 0").groupBy("page_id").agg(F.count("*").alias("n_body"))
+    first = F.min(F.when(F.col("ev"), F.struct("pos", "block_id")))
+    body = indexed.filter("pos >= 0").groupBy("page_id").agg(F.count("*").alias("n_body"), first["block_id"].alias("first_ev"))
     labels = (F.size("tags") + F.size("keywords")).alias("labels")
     return pages.withColumn("labels", labels).join(n, "page_id", "left").join(body, "page_id", "left").na.fill(0, ["n_blocks", "n_body", "unresolved"])
 
 
+def with_heads(pages: DataFrame, heads: DataFrame, resolved: DataFrame) -> DataFrame:
+    """`pages` with head (a page of which there is no newer version is its own), state and sup_block."""
+    pages = pages.join(heads, "page_id", "left").join(graph.superseding_blocks(resolved), "page_id", "left")
+    return pages.withColumn("head", F.coalesce("head", "page_id")).withColumn("state", F.coalesce("state", F.lit(""))).withColumn("sup_block", F.coalesce("sup_block", F.lit("")))
+
+
 def build(kb: KnowledgeBase, clean=None, with_paths: bool = False) -> Index:
     """All tables of the index, each computed once."""
     resolved = cut(links.resolve(kb.links, kb.pages))
     blocks = cut(indexed_blocks(kb, resolved, clean, with_paths))
-    post = cut(postings(blocks))
+    post = cut(postings(blocks), sort="term")
     terms = cut(post.groupBy("term").agg(F.count("*").alias("df")))
-    pages = page_facts(kb.pages, kb.blocks, blocks)
     heads = cut(graph.chains(resolved))
-    pages = pages.join(heads, "page_id", "left").join(graph.superseding_blocks(resolved), "page_id", "left")
-    pages = pages.withColumn("head", F.coalesce("head", "page_id")).withColumn("state", F.coalesce("state", F.lit(""))).withColumn("sup_block", F.coalesce("sup_block", F.lit("")))
+    pages = with_heads(page_facts(kb.pages, kb.blocks, blocks), heads, resolved)
     return Index(cut(pages), blocks.drop("toks"), post, terms, cut(statistics(kb.pages, blocks)), resolved, cut(graph.adjacency(resolved)), heads)
 
 
+def settled(index: Index) -> Index:
+    """The same index with each table written whole, postings and terms sorted by term."""
+    return Index(*(cut(t, sort="term" if name in ("postings", "terms") else None) for name, t in zip(TABLES, index, strict=True)))
+
+
 TABLES = Index._fields
 
 

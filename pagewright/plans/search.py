@@ -194,13 +194,16 @@ def folded(index: Index, scores: DataFrame) -> DataFrame:
     return every.select("qid", "page_id", "slug", F.when(stale, F.col("top") * fixed.STALE_SHOW).otherwise(F.col("top")).alias("score"), "own", "head", "state", "sup_block", lifted.alias("lifted"), stale.alias("stale"))
 
 
-def search(index: Index, queries: DataFrame, o: Options = Options(), terms: DataFrame | None = None) -> DataFrame:
+def search(index: Index, queries: DataFrame, o: Options = Options(), terms: DataFrame | None = None, scored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """qid, rank, page_id, slug, score, blocks (evidence, joined by commas), head, state of the best pages of each query.
 
-    Older versions whose head is among the best follow, even beyond the limit. A query without known terms has no rows.
+    Older versions whose head is among the best follow, even beyond the limit. A query without known terms has no rows. `scored` are
+    the weighed terms and block scores of the same queries, where they are known already.
     """
-    weighed = weighed_terms(index, query_terms(queries) if terms is None else terms)
-    blocks = block_scores(index, weighed, o)
+    if scored is None:
+        weighed = weighed_terms(index, query_terms(queries) if terms is None else terms)
+        scored = weighed, block_scores(index, weighed, o)
+    blocks = scored[1]
     rel = relative(reranked(index, page_scores(blocks, o), o))
     scores = combined(rel, spread(index, rel, o) if o.graph else None, o)
     if o.fold:
@@ -230,7 +233,7 @@ def with_evidence(index: Index, final: DataFrame, blocks: DataFrame) -> DataFram
     lex = lex.withColumn("r_", _rank(["qid", "page_id"], F.desc(F.round("score", 6)), F.desc("pos"))).filter(F.col("r_") <= fixed.MAX_EVIDENCE)
     named = lex.join(index.blocks.select("page_id", "pos", "block_id"), ["page_id", "pos"])
     listed = named.groupBy("qid", "page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r_", "block_id"))), lambda x: x["block_id"]).alias("lex_"))  # three at most
-    first = index.blocks.filter("ev").groupBy("page_id").agg(F.min_by("block_id", "pos").alias("first_"))
+    first = index.pages.select("page_id", F.col("first_ev").alias("first_"))
     none = F.array().cast("array<string>")
     rows = final.join(listed, ["qid", "page_id"], "left").join(first, "page_id", "left")
     ev = F.concat(F.when(F.col("lifted"), F.array("sup_block")).otherwise(none), F.array(F.coalesce("own", F.lit(""))), F.coalesce("lex_", none))

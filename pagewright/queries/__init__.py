@@ -20,6 +20,6 @@ def query(sql: str | None = None):
 
 def load() -> tuple[dict, dict[str, str]]:
     """All queries and their SQL."""
-    from pagewright.queries import artifacts, corpus, evaluation, hops, integrity, notes, retrieval, tables, upkeep  # noqa: F401
+    from pagewright.queries import artifacts, corpus, evaluation, hops, integrity, notes, registered, retrieval, tables, trees, upkeep  # noqa: F401
 
     return QUERIES, ORACLE_SQL
