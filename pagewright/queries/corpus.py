@@ -54,19 +54,26 @@ def idf_table(spark, d):
     return i.terms.crossJoin(F.broadcast(i.stats)).select("term", "df", F.round(idf(F.col("n_blocks"), F.col("df").cast("double")), 6).alias("idf"))  # one row of figures
 
 
-_KOREAN = ("정책은", "기능에서는", "결과", "바꿨다던데 컬럼은", "v2.3.1 login_rate_limited abc. a b", "réaux 되나요?")
+_RUN = "regexp_replace(r, '[.:/\\-]+$', '')"
+_PART = f"list_filter(string_split_regex({_RUN}, '[_.:/\\-]+'), lambda p: length(p) >= 2)"
 
 
-@query("SELECT * FROM (VALUES ('v2.3.1', 'v2.3.1'), ('login_rate_limited', 'login_rate_limited,login,rate,limited'), ('abc.', 'abc'), ('a b', ''), ('réaux', 'aux'), ('정책은', '정책,책은'), ('v', ''), ('ab-cd:x', 'ab-cd:x,ab,cd')) AS v(text, tokens)")
+@query(f"""SELECT doc_id, sha256(array_to_string(flatten(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_][0-9a-z_.:/\\-]*'),
+  lambda r: CASE WHEN length({_RUN}) < 2 THEN [] WHEN len({_PART}) > 1 THEN list_concat([{_RUN}], {_PART}) ELSE [{_RUN}] END)), ',')) AS tokens FROM documents""")
 def tokenize_literals(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("v2.3.1", "login_rate_limited", "abc.", "a b", "réaux", "정책은", "v", "ab-cd:x")], "text string")
-    return rows.select("text", F.array_join(T.tokens("text"), ",").alias("tokens"))
+    """The tokens of each whole document, in order; literal cases are in the tests."""
+    return tables.table(spark, d, "documents").select("doc_id", F.sha2(F.array_join(T.tokens("text"), ","), 256).alias("tokens"))
 
 
-@query("SELECT * FROM (VALUES ('정책은', '정책'), ('기능에서는', '기능'), ('결과', '결과'), ('바꿨다던데', '바꿨'), ('회의', '회의'), ('정도', '정도')) AS v(run, stem)")
+_STEMS, _SUFFIXES = ("정책", "기능", "회의록", "배포판"), ("은", "에서는", "으로", "를", "처럼", "보다", "")
+
+
+@query(f"SELECT doc_id, ({list(_STEMS)})[1 + doc_id % 4] || ({list(_SUFFIXES)})[1 + doc_id % 7] AS run, ({list(_STEMS)})[1 + doc_id % 4] AS stem FROM documents WHERE doc_id IS NOT NULL")
 def query_stem_literals(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("정책은", "기능에서는", "결과", "바꿨다던데", "회의", "정도")], "run string")
-    return rows.select("run", T.query_stem(F.col("run")).alias("stem"))
+    """A run for each document, put together from a stem and a particle by its id, and what is left of it."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
+    rows = tables.table(spark, d, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.concat(pick(_STEMS), pick(_SUFFIXES)).alias("run"))
+    return rows.select("doc_id", "run", T.query_stem(F.col("run")).alias("stem"))
 
 
 @query(sql("SELECT block_id, print FROM blk", "blk"))
@@ -79,28 +86,41 @@ def page_lookup_keys(spark, d):
     return links.page_keys(base(spark, d).pages)
 
 
-@query("SELECT * FROM (VALUES ('Page:Alpha Platform', 'alpha-platform'), ('alpha_platform', 'alpha-platform'), (' __ ', ''), ('a  b', 'a-b')) AS v(value, key)")
+_LINK_KEY = "trim(regexp_replace(regexp_replace(lower(trim(v)), '^page:', ''), '[\\s_]+', '-', 'g'), '-')"
+
+
+@query(f"SELECT doc_id, {_LINK_KEY} AS key FROM (SELECT doc_id, ' Page:' || coalesce(source, '') || '__' || coalesce(left(text, 60), '') AS v FROM documents)")
 def link_key_cases(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("Page:Alpha Platform", "alpha_platform", " __ ", "a  b")], "value string")
-    return rows.select("value", T.link_key("value").alias("key"))
+    """The key of a target made of each document's source and the beginning of its text."""
+    v = F.concat(F.lit(" Page:"), F.coalesce("source", F.lit("")), F.lit("__"), F.coalesce(F.left("text", F.lit(60)), F.lit("")))
+    return tables.table(spark, d, "documents").select("doc_id", T.link_key(v).alias("key"))
 
 
-@query("SELECT * FROM (VALUES ('pre_v0_1-1', 'pre-v0-1-1'), ('Pre V0.1 1', 'pre-v0-1-1'), ('a/b', 'a-b'), ('--', '')) AS v(tag, key)")
+@query("SELECT doc_id, trim(regexp_replace(lower(trim(v)), '[\\s_./-]+', '-', 'g'), '-') AS key FROM (SELECT doc_id, '/' || coalesce(source, '') || '_V' || doc_id || '.' || coalesce(lang, '') || ' --' AS v FROM documents)")
 def tag_key_cases(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("pre_v0_1-1", "Pre V0.1 1", "a/b", "--")], "tag string")
-    return rows.select("tag", T.tag_key("tag").alias("key"))
+    """The key of a tag made of each document's source, id and language."""
+    v = F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("_V"), F.col("doc_id").cast("string"), F.lit("."), F.coalesce("lang", F.lit("")), F.lit(" --"))
+    return tables.table(spark, d, "documents").select("doc_id", T.tag_key(v).alias("key"))
+
+
+def _linking(spark, d):
+    """A text for each document with links to it, its language and its source, in all forms that a link has."""
+    lang, source = F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none"))
+    text = F.concat(F.lit("[[Doc "), F.col("doc_id").cast("string"), F.lit("]] x [[ "), lang, F.lit(" |label]] [[ ]] [["), source, F.lit("#part]] [["), lang, F.lit("]]"))
+    return tables.table(spark, d, "documents").filter("doc_id IS NOT NULL").select("doc_id", text.alias("text"))
+
+
+_LINKING = "l AS (SELECT doc_id, 'Doc ' || doc_id AS own, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source FROM documents WHERE doc_id IS NOT NULL)"
 
 
-@query("SELECT * FROM (VALUES ('[[b]] [[a|x]] [[b#c]] [[ ]]', 'a,b'), ('none', ''), ('[[Z z]][[y]]', 'Z z,y')) AS v(text, refs)")
+@query(f"WITH {_LINKING} SELECT doc_id, array_to_string(list_sort(list_distinct([own, lang, source])), ',') AS refs FROM l")
 def wikilink_refs(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("[[b]] [[a|x]] [[b#c]] [[ ]]", "none", "[[Z z]][[y]]")], "text string")
-    return rows.select("text", F.array_join(T.refs_in("text"), ",").alias("refs"))
+    return _linking(spark, d).select("doc_id", F.array_join(T.refs_in("text"), ",").alias("refs"))
 
 
-@query("SELECT * FROM (VALUES (0, 'b', '', 'b'), (1, 'a', '', 'x'), (2, 'b', 'c', 'b')) AS v(i, target, anchor, label)")
+@query(f"WITH {_LINKING} SELECT doc_id, unnest([0, 1, 2, 3]) AS i, unnest([own, lang, source, lang]) AS target, unnest(['', '', 'part', '']) AS anchor, unnest([own, 'label', source, lang]) AS label FROM l")
 def page_link_rows(spark, d):
-    rows = spark.createDataFrame([("[[b]] [[a|x]] [[b#c]] [[ ]]",)], "text string")
-    return rows.select(F.posexplode(T.links_in("text")).alias("i", "l")).select("i", "l.target", "l.anchor", "l.label")
+    return _linking(spark, d).select("doc_id", F.posexplode(T.links_in("text")).alias("i", "l")).select("doc_id", "i", "l.target", "l.anchor", "l.label")
 
 
 @query(sql("SELECT page_id, ord, target, kind, block_id, dst FROM link", "link"))
@@ -155,15 +175,19 @@ def supersede_state(spark, d):
 
 
 @query("""
-WITH RECURSIVE l(page_id, dst) AS (VALUES ('v3', 'v2'), ('v2', 'v1'), ('a', 'b'), ('b', 'a'), ('n1', 'old'), ('n2', 'old'), ('old', 'older'), ('a', 't')),
+WITH RECURSIVE l AS (SELECT DISTINCT 'v' || doc_id AS page_id, 'v' || unnest(CASE doc_id % 11 WHEN 0 THEN [doc_id + 1] WHEN 1 THEN [doc_id - 1] WHEN 5 THEN [doc_id - 2] WHEN 6 THEN [doc_id - 1, doc_id - 3] WHEN 10 THEN [] ELSE [doc_id - 1] END) AS dst FROM documents WHERE doc_id IS NOT NULL),
 succ AS (SELECT dst AS page_id, min(page_id) AS nxt, count(DISTINCT page_id) > 1 AS fork FROM l GROUP BY dst),
 walk AS (SELECT page_id, nxt AS hd, fork, [page_id, nxt] AS seen, false AS circle FROM succ
   UNION ALL SELECT w.page_id, s.nxt, w.fork OR s.fork, list_append(w.seen, s.nxt), list_contains(w.seen, s.nxt) FROM walk w JOIN succ s ON w.hd = s.page_id WHERE NOT w.circle),
 ends AS (SELECT page_id, arg_max(hd, len(seen)) AS hd, arg_max(fork, len(seen)) AS fork, bool_or(circle) AS circle FROM walk GROUP BY page_id)
 SELECT page_id, CASE WHEN circle THEN page_id ELSE hd END AS head, CASE WHEN circle THEN 'cycle' WHEN fork THEN 'fork' ELSE 'stale' END AS state FROM ends""")
 def chain_literals(spark, d):
-    rows = [("v3", "v2"), ("v2", "v1"), ("a", "b"), ("b", "a"), ("n1", "old"), ("n2", "old"), ("old", "older"), ("a", "t")]
-    return graph.chains(spark.createDataFrame([(a, b, "supersedes") for a, b in rows], "page_id string, dst string, kind string"))
+    """Chains, forks and circles of the documents' ids, eleven to a group."""
+    n = F.col("doc_id")
+    older = F.when(n % 11 == 0, F.array(n + 1)).when(n % 11 == 5, F.array(n - 2)).when(n % 11 == 6, F.array(n - 1, n - 3)).when(n % 11 != 10, F.array(n - 1)).otherwise(F.array().cast("array<bigint>"))
+    name = lambda c: F.concat(F.lit("v"), c.cast("string"))
+    rows = tables.table(spark, d, "documents").filter("doc_id IS NOT NULL").select(name(n).alias("page_id"), F.explode(older).alias("to"))
+    return graph.chains(rows.select("page_id", name(F.col("to")).alias("dst"), F.lit("supersedes").alias("kind")))
 
 
 @query(sql("SELECT b.block_id, l.kind, l.dst, coalesce(r.b, '') AS back FROM link l JOIN blk b ON b.block_id = l.block_id LEFT JOIN (SELECT page_id, dst, arg_min(block_id, ord) AS b FROM link WHERE dst IS NOT NULL GROUP BY 1, 2) r ON r.page_id = l.dst AND r.dst = l.page_id WHERE l.dst IS NOT NULL AND l.kind IN ('related', 'supersedes')", "link"))

@@ -39,11 +39,15 @@ def get_blocks(spark, d):
     return json_pages.find_blocks(b, spark.createDataFrame([], "old_id string, block_id string"), wanted)
 
 
-@query("""SELECT * FROM (VALUES ('/a~1b/0', '7'), ('/m~0n', 'x'), ('/a~1b/3', NULL), ('/none', NULL)) AS v(pointer, value)""")
+@query("""SELECT event_id, unnest(['/k', '/none', '/a~1b/0', '/a~1b/3', '/m~0n']) AS pointer, unnest([props->>'$.k', NULL, event_type, NULL, user_id::VARCHAR]) AS value FROM events""")
 def json_pointer(spark, d):
-    v = F.parse_json(F.lit('{"a/b":[7],"m~n":"x"}'))
-    paths = ("/a~1b/0", "/m~0n", "/a~1b/3", "/none")
-    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(p).alias("pointer"), json_pages.pointer(v, p).cast("string").alias("value")) for p in paths))))
+    """What pointers find in the properties of each event, and in a record whose keys need escapes."""
+    events = tables.table(spark, d, "events")
+    record = F.parse_json(F.to_json(F.struct(F.array("event_type").alias("a/b"), F.col("user_id").cast("string").alias("m~n"))))
+    at = lambda v, p: F.struct(F.lit(p).alias("pointer"), json_pages.pointer(v, p).cast("string").alias("value"))
+    props = F.parse_json("props")
+    rows = events.select("event_id", F.explode(F.array(at(props, "/k"), at(props, "/none"), at(record, "/a~1b/0"), at(record, "/a~1b/3"), at(record, "/m~0n"))).alias("x"))
+    return rows.select("event_id", "x.pointer", "x.value")
 
 
 @query("SELECT 'page:doc-' || doc_id AS page_id, CASE doc_id % 10 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'modified' END AS change FROM documents WHERE doc_id % 10 IN (0, 1, 2)")
