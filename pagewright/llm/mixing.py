@@ -65,18 +65,18 @@ def schedule(unit: dict) -> list[tuple]:
     return out
 
 
-def numbered(rows: DataFrame, most: int, order: list[Column]) -> DataFrame:
-    """row, source, n: the number (from 0) of a row in its source, by a hash of `order` and then `order`. `rows` has row and source; `most` rows have one source at most."""
+def numbered(rows: DataFrame, source: str, most: int, order: list[Column]) -> DataFrame:
+    """`rows` with n: the number (from 0) of a row in its source, by a hash of `order` and then `order`. No column of `rows` has a name of one letter or a word; `most` rows have one source at most."""
     # as many ranges for each source as hold RANGE_ROWS of the largest on average, and so many that a hot source is spread at any size
     ranges = most // RANGE_ROWS + LEAST_RANGES
-    h = rows.select("row", "source", F.xxhash64(*order).alias("h"))
+    h = rows.select("*", F.xxhash64(*order).alias("h"))
     h = h.withColumn("r", F.floor((F.shiftrightunsigned("h", 32) * ranges) / (1 << 32)).cast("int"))
-    counts = checkpointed(h.groupBy("source", "r").count())
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = counts.select(F.col("source").alias("s"), F.col("r").alias("q"), before.alias("before"))
-    place = F.row_number().over(Window.partitionBy("source", "r").orderBy(F.shiftrightunsigned("h", 1), "h", *order))
-    joined = h.withColumn("p", place).join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("r") == F.col("q")), "left")
-    return joined.select("row", "source", (F.col("before") + F.col("p") - 1).alias("n"))
+    counts = checkpointed(h.groupBy(F.col(source).alias("s"), "r").count())
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select("s", F.col("r").alias("q"), before.alias("before"))
+    place = F.row_number().over(Window.partitionBy(source, "r").orderBy(F.shiftrightunsigned("h", 1), "h", *order))
+    joined = h.withColumn("p", place).join(before, F.col(source).eqNullSafe(F.col("s")) & (F.col("r") == F.col("q")), "left")
+    return joined.select(*rows.columns, (F.col("before") + F.col("p") - 1).alias("n"))
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, tie: str | None = "text") -> DataFrame:
@@ -102,12 +102,13 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dic
     table = told(plan, f"s:{kind},u:bigint,i:bigint,at:bigint,rel:bigint,due:bigint")
     share = told(json.dumps([{"w": k, "units": u} for k, u in unit.items()]), f"w:{kind},units:bigint")
 
-    # the caller's columns are fields of one struct, so that no name of theirs meets one from here
-    rows = df.select(F.struct("*").alias("row"), F.col(source).alias("source"))
-    order = [F.col("row").getField(key)] + ([F.xxhash64(F.col("row").getField(tie))] if tie and tie in df.columns else [])
-    n = numbered(rows, max(counts.values()), order).withColumn("block", F.floor(F.col("n") / block_rows)).withColumn("place", F.col("n") % block_rows)
+    # the caller's columns have numbers here, so that no name of theirs meets one from here, and each can still be pruned
+    names = {c: f"column{i}" for i, c in enumerate(df.columns)}
+    rows = df.toDF(*names.values())
+    order = [F.col(names[key])] + ([F.xxhash64(names[tie])] if tie and tie in names else [])
+    n = numbered(rows, names[source], max(counts.values()), order).withColumn("block", F.floor(F.col("n") / block_rows)).withColumn("place", F.col("n") % block_rows)
     # both tables have at most q rows, which the weights bound
-    n = n.join(F.broadcast(share), F.col("source").eqNullSafe(F.col("w")))
-    n = n.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") % F.col("units") == F.col("i")))
+    n = n.join(F.broadcast(share), F.col(names[source]).eqNullSafe(F.col("w")))
+    n = n.join(F.broadcast(table), F.col(names[source]).eqNullSafe(F.col("s")) & (F.col("block") % F.col("units") == F.col("i")))
     start = F.floor(F.col("block") / F.col("units")) * q
-    return n.select("row.*", "block", (start + F.col("at")).alias("slot"), "place", (start + F.col("rel")).alias("release"), (start + F.col("due")).alias("deadline"))
+    return n.select(*(F.col(to).alias(c) for c, to in names.items()), "block", (start + F.col("at")).alias("slot"), "place", (start + F.col("rel")).alias("release"), (start + F.col("due")).alias("deadline"))
