@@ -11,7 +11,7 @@ from pagewright.operators import integrity as N
 from pagewright.operators import links as L
 from pagewright.operators import pages as P
 from pagewright.queries import query
-from pagewright.queries.common import kept
+from pagewright.queries.common import kept, limit_batches
 from pagewright.sources import json_pages, notes, tables
 
 _NOTE = f"""WITH d AS (SELECT doc_id, 'page:doc-' || doc_id AS page_id, 'doc-' || doc_id AS slug, coalesce(text, '') AS text, count(*) OVER () AS n FROM documents WHERE doc_id IS NOT NULL),
@@ -31,6 +31,7 @@ q AS (SELECT *, 'block:' || slug || ':' || print || ':' || row_number() OVER (PA
 
 def _parsed(spark, d):
     """The blocks of all notes, parsed once in a session."""
+    limit_batches(spark)
     return kept("notes", spark, d, lambda: markdown.parse_pages(notes.bodies(tables.table(spark, d, "documents"))))
 
 
