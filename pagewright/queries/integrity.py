@@ -18,14 +18,12 @@ NEAR = "near AS (SELECT page_id, dst AS other FROM link WHERE dst IS NOT NULL UN
 @query(sql("""SELECT p.page_id, count(*) AS n, array_to_string(list(o.slug ORDER BY o.slug)[1:5], ', ') AS newer FROM near JOIN page p USING (page_id) JOIN page o ON o.page_id = near.other
 WHERE p.type = 'concept' AND o.type = 'source' AND o.updated > p.updated GROUP BY p.page_id""", "link").replace("\nSELECT p.page_id", f",\n{NEAR}\nSELECT p.page_id"))
 def compile_debt(spark, d):
-    i = index(spark, d)
-    return N.compile_debt(i.pages, i.links)
+    return N.compile_debt(base(spark, d).pages, index(spark, d).links)
 
 
 @query(sql("SELECT page_id FROM page p WHERE type = 'source' AND NOT EXISTS (SELECT 1 FROM link l JOIN page o ON o.page_id = l.dst WHERE l.page_id = p.page_id AND o.type IN ('concept', 'entity', 'synthesis'))", "link"))
 def unintegrated_sources(spark, d):
-    i = index(spark, d)
-    return N.unintegrated(i.pages, i.links)
+    return N.unintegrated(base(spark, d).pages, index(spark, d).links)
 
 
 @query(sql("""SELECT kind, count(*) AS n FROM (
