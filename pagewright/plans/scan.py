@@ -15,6 +15,8 @@ from pagewright.plans.cut import cut
 
 #: Bytes of passages that are sent to all tasks in one go; more are looked for in several passes over the texts.
 PASSAGES = 64 << 20
+#: Distinct tokens that are looked for in one pass over the texts, and found rows that a worker holds at most (and those of one page).
+WORDS, HITS = 100_000, 20_000
 
 
 def holding(texts: DataFrame, passages: DataFrame) -> DataFrame:
@@ -76,15 +78,30 @@ def token_strengths(docs: DataFrame, tokens: DataFrame) -> DataFrame:
 
     The distinct tokens of a batch of queries, and their prefixes down to the least length, go into one Aho-Corasick automaton, with
     which each field is read once: time grows with the text and its hits, not with the number of tokens. `match_strength` is the
-    same rule for one token as a column.
+    same rule for one token as a column. Tokens are looked for in passes over the fields, each for so many of them (WORDS) that the
+    automaton of a worker is bounded; what is found comes out in parts of HITS rows.
     """
-    words = sorted(r[0] for r in tokens.select("token").distinct().collect())  # of a batch of queries
+    times = int(tokens.agg(F.count_distinct("token")).first()[0] // WORDS) + 1
+    out = None
+    for i in range(times):
+        some = tokens.select("token").distinct()
+        some = some.filter(F.pmod(F.xxhash64("token"), F.lit(times)) == i) if times > 1 else some
+        found = _strengths(docs, sorted(r[0] for r in some.collect()))  # bounded by WORDS
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _strengths(docs: DataFrame, words: list[str]) -> DataFrame:
+    """`token_strengths` of a bounded list of distinct tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
     names = list(fixed.FIELD_WEIGHTS)
     weights = list(fixed.FIELD_WEIGHTS.values())
+    most = HITS
 
     def run(frames):
         import ahocorasick
 
+        words = shared.value
         a = ahocorasick.Automaton()
         of: dict[str, list[int]] = {}
         for i, w in enumerate(words):
@@ -94,6 +111,7 @@ def token_strengths(docs: DataFrame, tokens: DataFrame) -> DataFrame:
         for p in of:
             a.add_word(p, p)
         a.make_automaton()
+        made = lambda out: pd.DataFrame(out, columns=["token", "page_id", "strength"])
         for f in frames:
             out: list[tuple[str, str, float]] = []
             for row in f.itertuples(index=False):
@@ -106,7 +124,10 @@ def token_strengths(docs: DataFrame, tokens: DataFrame) -> DataFrame:
                     for i, n in best.items():
                         total[i] = total.get(i, 0.0) + weight * n / len(words[i])
                 out += [(words[i], row.page_id, t) for i, t in total.items()]
-            yield pd.DataFrame(out, columns=["token", "page_id", "strength"])
+                if len(out) >= most:
+                    yield made(out)
+                    out = []
+            yield made(out)
 
     return docs.select("page_id", *names).mapInPandas(run, "token string, page_id string, strength double")
 

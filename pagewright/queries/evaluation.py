@@ -8,7 +8,7 @@ from pagewright.operators import evaluation as E
 from pagewright.operators import vectors
 from pagewright.plans import scan, search
 from pagewright.queries import query
-from pagewright.queries.common import base, index
+from pagewright.queries.common import base, index, limit_batches
 from pagewright.queries.sql import sql
 from pagewright.sources import tables
 
@@ -18,7 +18,7 @@ GOLD = "gs AS (SELECT b.item_id AS qid, p.page_id, coalesce(h.head, p.page_id) <
 def gold(spark, d):
     """Gold and stale pages of each passage: those that hold it verbatim, current ones and older versions."""
     held = scan.holding(tables.documents_as_pages(tables.table(spark, d, "documents")).select("page_id", "text"), tables.questions(spark, d))
-    known = held.join(index(spark, d).pages.select("page_id", (F.col("head") != F.col("page_id")).alias("old")), "page_id")
+    known = held.join(index(spark, d).heads, "page_id", "left").select("qid", "page_id", (F.coalesce("head", "page_id") != F.col("page_id")).alias("old"))
     return known.filter("NOT old").select("qid", "page_id"), known.filter("old").select("qid", "page_id")
 
 
@@ -129,17 +129,21 @@ def _prompts(spark, d):
     return c.withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def _scanned(spark, d):
+    limit_batches(spark)
+    kb = base(spark, d)
+    return scan.rank(scan.fields(kb.pages, kb.blocks), scan.query_tokens(_prompts(spark, d)))
+
+
 @query()
 def scan_rank(spark, d):
     """The best pages of each prompt. SQL holds each token against each text and is too slow for whole tables; a test does it on small ones."""
-    kb = base(spark, d)
-    return scan.rank(scan.fields(kb.pages, kb.blocks), scan.query_tokens(_prompts(spark, d))).filter("rank <= 20").select("qid", "rank", "page_id", "score", "matched")
+    return _scanned(spark, d).filter("rank <= 20").select("qid", "rank", "page_id", "score", "matched")
 
 
 @query()
 def scan_gate(spark, d):
-    kb, q = base(spark, d), _prompts(spark, d)
-    return scan.gate(q, scan.rank(scan.fields(kb.pages, kb.blocks), scan.query_tokens(q)))
+    return scan.gate(_prompts(spark, d), _scanned(spark, d))
 
 
 @query(sql("SELECT qid, page_id, round(l + 0.02::DOUBLE * q, 6) AS score FROM rell JOIN page USING (page_id) JOIN (SELECT updated, (dense_rank() OVER (ORDER BY updated) - 1)::DOUBLE / greatest(count(*) OVER () - 1, 1) AS q FROM (SELECT DISTINCT updated FROM page)) USING (updated)", "rel"))

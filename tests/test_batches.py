@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagewright.functions import markdown
+from pagewright.plans import scan
 from pagewright.queries import common
 
 
@@ -13,6 +14,15 @@ def test_parsed_blocks_come_out_in_parts(spark, monkeypatch):
     assert sorted(map(str, markdown.parse_pages(df).collect())) == whole and len(whole) == 21
 
 
+def test_strengths_in_passes_and_parts_are_those_of_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"p{i}", "alpha beta", "en", "s", "gammas", f"delta{i} beta alphabet") for i in range(9)], "page_id string, title string, tags string, projects string, summary string, body string").coalesce(1)
+    tokens = spark.createDataFrame([(1, "alpha"), (1, "gammasteel"), (2, "delta3"), (2, "alpha"), (3, "nowhere")], "qid int, token string")
+    whole = sorted(map(tuple, scan.token_strengths(docs, tokens).collect()))
+    monkeypatch.setattr(scan, "WORDS", 1)
+    monkeypatch.setattr(scan, "HITS", 1)
+    assert sorted(map(tuple, scan.token_strengths(docs, tokens).collect())) == whole and len(whole) > 20
+
+
 def test_batches_are_limited_and_smaller_limits_stay(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = spark.conf.get(name)
