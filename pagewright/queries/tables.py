@@ -72,7 +72,7 @@ def incremental_equals_full(spark, d):
     kb, full = base(spark, d), index(spark, d)
     some = kb.pages.filter(F.split_part("slug", F.lit("-"), F.lit(2)).cast("long") % 10 == 3).select("page_id")
     short = kb.blocks.join(some, "page_id", "left_anti").unionByName(kb.blocks.join(some, "page_id", "left_semi").filter("pos < 2"))
-    moved = incremental.apply(I.build(kb._replace(blocks=short)), kb, some)
+    moved = incremental.apply(I.build(tables.KnowledgeBase(kb.pages, short, kb.links)), kb, some)
     out = None
     for name in ("postings", "terms", "adjacency", "blocks"):
         a, b = getattr(full, name), getattr(moved, name)
