@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import evaluation as E
 from pagewright.operators import vectors
-from pagewright.plans import scan, search
+from pagewright.plans import scan, scan_best, search
 from pagewright.queries import query
 from pagewright.queries.common import base, index, limit_batches
 from pagewright.queries.sql import sql
@@ -129,21 +129,21 @@ def _prompts(spark, d):
     return c.withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def _scanned(spark, d):
+def _scanned(spark, d, top):
     limit_batches(spark)
     kb = base(spark, d)
-    return scan.rank(scan.fields(kb.pages, kb.blocks), scan.query_tokens(_prompts(spark, d)))
+    return scan_best.best(scan.fields(kb.pages, kb.blocks_once()), scan.query_tokens(_prompts(spark, d)), top)
 
 
 @query()
 def scan_rank(spark, d):
     """The best pages of each prompt. SQL holds each token against each text and is too slow for whole tables; a test does it on small ones."""
-    return _scanned(spark, d).filter("rank <= 20").select("qid", "rank", "page_id", "score", "matched")
+    return _scanned(spark, d, 20).select("qid", "rank", "page_id", "score", "matched")
 
 
 @query()
 def scan_gate(spark, d):
-    return scan.gate(_prompts(spark, d), _scanned(spark, d))
+    return scan.gate(_prompts(spark, d), _scanned(spark, d, 1))
 
 
 @query(sql("SELECT qid, page_id, round(l + 0.02::DOUBLE * q, 6) AS score FROM rell JOIN page USING (page_id) JOIN (SELECT updated, (dense_rank() OVER (ORDER BY updated) - 1)::DOUBLE / greatest(count(*) OVER () - 1, 1) AS q FROM (SELECT DISTINCT updated FROM page)) USING (updated)", "rel"))
