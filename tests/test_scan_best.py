@@ -82,7 +82,7 @@ def test_parts_of_pages_against_all_pairs(monkeypatch, part):
         assert got.get(q, []) == [(p, pytest.approx(s)) for p, s in want]
 
 
-@pytest.mark.parametrize("query", [evaluation.scan_gate])
+@pytest.mark.parametrize("query", [evaluation.scan_rank, evaluation.scan_gate])
 def test_queries_make_no_row_for_each_pair(spark, sf_dir, monkeypatch, query):
     """They did: all pairs of prompts and pages that share a token were grouped, which 0.1 GB didn't finish."""
 
